@@ -25,14 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.llm.common import records, written
-from evidara.llm.textarrays import buffers, mix, slices, word_hashes, word_spans
+from evidara.llm.textarrays import LOWER, buffers, mix, slices, word_hashes, word_spans
 
 #: Fixed masks over consecutive tokens: 1 counts, 0 is ignored.
 MASKS = ("11101", "1101011", "10110011")
 MIN_TOKENS = 13
 MIN_ITEM = 5
 SIMILARITY = 0.8
-LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 OUTSIDE = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from evidara.llm.common import records, written
 from evidara.llm.textarrays import slices
-from evidara.llm.tokens import END_ID, encoder
+from evidara.llm.tokens import END_ID, binary, encoder, id_width
 
 SIZE = 4096
 MAX_QUEUES = 10_000
@@ -125,19 +125,22 @@ def cut(plan: list[Phase], queue: int, lo: int, hi: int, size: int) -> tuple[np.
 
 
 def tokenised(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", source: str = "source", end: int = END_ID) -> DataFrame:
-    """(part, queue, own, doc_id, n, ids): ids as little-endian unsigned 32-bit; own: ids before it in its part's queue."""
+    """(queue, own, doc_id, n, ids, part): ids little-endian, two bytes each if the vocabulary allows, else four; own: ids
+    before the document's in its part's queue."""
+    width = id_width(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, int] = {}
         own = encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
-                ids = own.encode(part.column(1).to_pylist(), end)
+            for part in slices(batch, "text"):
+                ids, bounds = own.encode(part.column(1), end)
                 before = []
-                for q, x in zip(part.column(2).to_pylist(), ids, strict=True):
+                sizes = np.diff(bounds)
+                for q, n in zip(part.column(2).to_pylist(), sizes.tolist(), strict=True):
                     before.append(sums.get(q, 0))
-                    sums[q] = before[-1] + len(x) // 4
-                yield pa.record_batch([part.column(2), pa.array(before, pa.int64()), part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["queue", "own", "doc_id", "n", "ids"])
+                    sums[q] = before[-1] + n
+                yield pa.record_batch([part.column(2), pa.array(before, pa.int64()), part.column(0), pa.array(sizes), binary(ids.astype(width), bounds)], names=["queue", "own", "doc_id", "n", "ids"])
 
     rows = records(docs, key, text, source)
     if rows.select(source).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
@@ -165,6 +168,8 @@ def pack(
     before = sums.select("part", "queue", F.coalesce(earlier, F.lit(0)).alias("before"))
     placed = table.join(before, ["part", "queue"]).select("queue", (F.col("before") + F.col("own")).alias("at"), "doc_id", "n", "ids")
 
+    width = id_width(tokenizer)
+
     def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             queue, at, doc, n = (batch.column(i).to_pylist() for i in range(4))
@@ -179,7 +184,7 @@ def pack(
                 lo, hi = at[run[0]], at[run[-1]] + n[run[-1]]
                 pos, seq, offset = cut(plan, number[q], lo, hi, size)
                 for d in run:
-                    raw = ids[d].as_py()
+                    raw = np.frombuffer(ids[d].as_buffer(), dtype=width).astype("<u4").tobytes()
                     a, b = at[d], at[d] + n[d]
                     k = int(np.searchsorted(pos, a, side="right")) - 1
                     while a < b:

@@ -1,68 +1,131 @@
 """Whole texts to token ids with a public tokenizer file, fast on corpora whose words repeat.
 
-Both vocabularies split a text into pieces before merging, and never merge across a piece. The places used here are
-always piece borders, so the ids of a text are the ids of its parts in turn; each distinct part goes
-through the tokenizers library once per worker and its ids are kept (KEEP parts at most, then the store starts anew).
+Both kinds of vocabulary split a text into pieces before merging and never merge across a piece. The places used here
+are always piece borders, so the ids of a text are the ids of its parts in turn. The distinct parts of a slice of texts are found by hash
+with NumPy; each goes through the tokenizers library once while its ids are kept. The store has two generations of KEEP parts:
+when the young one is full it becomes the old one, and parts that are met again move back to the young.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterable
+from array import array
 
 import numpy as np
+import pyarrow as pa
+
+from evidara.llm.textarrays import LOWER, SPACE, buffers, word_hashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-KEEP = 300_000
+KEEP = 500_000
 END_ID = 2
-#: A blank before a printable ASCII or Latin character always starts a new piece of the byte-level vocabulary.
-BLANK = re.compile(r" (?=[!-~À-ɏ])")
+#: Bytes that, after a blank, start a new piece of the byte-level vocabulary: printable ASCII, and first bytes of U+00C0 to U+023F.
+OPENS = np.array([0x21 <= b <= 0x7E or 0xC3 <= b <= 0xC8 for b in range(256)])
+#: ASCII letters, digits and signs (but the apostrophe, which can begin a piece with letters after it): no piece holds two of these kinds.
+KIND = np.array([1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 if chr(b).isprintable() and chr(b) not in " '" else 0 for b in range(128)] + [0] * 128, dtype=np.uint8)
+#: Words that both vocabularies keep whole, and that a normaliser changes in case alone.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: itself if visible, else the next free one from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit integers; special tokens' strings are ordinary text."""
+    """Token ids of whole texts; strings of special tokens are ordinary text."""
+
+    letters = _byte_letters()
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        # white space dropped before merging: words stand alone; else a word keeps the blank before it
+        # with a normaliser that drops white space words stand alone; else a word keeps the blank before it
         self.drops_space = self.library.normalizer is not None
-        self.kept: dict = {}
-
-    def parts(self, text: str) -> list:
+        # for single words: the same vocabulary and merges without the steps that find words
+        self.merges = Tokenizer.from_str(json.dumps(json.loads(self.library.to_str()) | {"normalizer": None, "pre_tokenizer": None}))
+        self.size = self.library.get_vocab_size()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        kind = KIND[data]
+        opens = np.zeros(len(data) + 1, dtype=bool)
+        opens[1:-1] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        opens[offsets] = True
+        if self.drops_space:
+            space = SPACE[data]
+            opens[1:-1] |= space[:-1] & ~space[1:]
+            starts = np.flatnonzero(opens[:-1] & ~space)
+            opens[:-1] |= space
+            ends = np.flatnonzero(opens)
+            return starts, ends[np.searchsorted(ends, starts, side="right")], np.searchsorted(starts, offsets)
+        opens[: max(len(data) - 1, 0)] |= (data[:-1] == 0x20) & OPENS[data[1:]]
+        opens[2:-1] |= (kind[:-2] > 0) & (data[1:-1] == 0x0A) & (kind[2:] == 1)
+        starts = np.flatnonzero(opens[:-1])
+        return starts, np.append(starts[1:], len(data))[: len(starts)], np.searchsorted(starts, offsets)
+
+    def _learn(self, parts: list[bytes]) -> list[bytes]:
+        whole, words, is_word = [], [], []
+        for x in parts:
+            text = x.decode()
+            word = text[1:] if not self.drops_space and text[0] == " " else text
+            is_word.append(LETTERS.fullmatch(word) is not None)
+            if is_word[-1]:
+                words.append((text.lower() if self.drops_space else text).encode().decode("latin-1").translate(self.letters))
+            else:
+                whole.append(text)
+        made = iter(self.merges.encode_batch_fast(words, add_special_tokens=False)), iter(self.library.encode_batch_fast(whole, add_special_tokens=False))
+        return [array("I", next(made[not w]).ids).tobytes() for w in is_word]
+
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        found = list(map(self.young.get, parts))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            if len(self.young) > KEEP:
+                self.old, self.young = self.young, {}
+            back = list(map(self.old.get, [parts[i] for i in missing]))
+            learnt = iter(self._learn([parts[i] for i, x in zip(missing, back, strict=True) if x is None]))
+            for i, x in zip(missing, back, strict=True):
+                found[i] = self.young[parts[i]] = next(learnt) if x is None else x
+        return found
+
+    def encode(self, column: pa.Array, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows back to back (unsigned 32-bit), each row's end id after them; token offsets of the rows."""
+        data, offsets = buffers(column)
         if self.drops_space:
-            return text.encode().split()
-        first, *rest = BLANK.split(text)
-        return [(first,), *rest]
-
-    def _learn(self, parts: Iterable) -> None:
-        new = list(parts)
-        if len(self.kept) + len(new) > KEEP:
-            self.kept.clear()
-        texts = [x.decode() for x in new] if self.drops_space else [x[0] if isinstance(x, tuple) else " " + x for x in new]
-        for x, e in zip(new, self.library.encode_batch(texts, add_special_tokens=False), strict=True):
-            self.kept[x] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str | None], end: int = END_ID) -> list[bytes]:
-        """Ids of each text with the end id after them."""
-        tail = np.array([end], dtype="<u4").tobytes()
-        out = []
-        for text in texts:
-            parts = self.parts(text or "")
-            get = self.kept.get
-            found = [get(x) for x in parts]
-            if None in found:
-                missing = {x for x, y in zip(parts, found, strict=True) if y is None}
-                self._learn(missing)
-                if len(missing) + len(self.kept) > KEEP or any(x not in self.kept for x in set(parts)):
-                    self._learn(set(parts) - self.kept.keys())
-                found = [self.kept[x] for x in parts]
-            out.append(b"".join(found) + tail)
-        return out
+            data = LOWER[data]
+        starts, ends, first = self._spans(data, offsets)
+        hashes = word_hashes(data, starts, ends)
+        _, index, code = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        found = self._ids([raw[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)])
+        found.append(array("I", [end]).tobytes())
+        code = np.insert(code, first[1:], len(found) - 1)  # the end of each row is one more part
+        joined = pa.array(found, pa.large_binary()).take(pa.array(code))
+        if not len(code):
+            return np.zeros(0, np.uint32), np.zeros(len(first), np.int64)
+        bounds = np.frombuffer(joined.buffers()[1], dtype=np.int64)[: len(code) + 1] // 4
+        return np.frombuffer(joined.buffers()[2], dtype="<u4")[: bounds[-1]], bounds[np.concatenate([[0], first[1:] + np.arange(1, len(first))])]
+
+
+def binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """One binary value per row from values of equal width laid back to back."""
+    bounds = (offsets * values.dtype.itemsize).astype(np.int64)
+    made = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(values))])
+    return made.cast(pa.binary())
+
+
+def id_width(path: str) -> str:
+    """Type of stored ids: two bytes if the vocabulary (and the end id) fits."""
+    return "<u2" if encoder(path).size <= 1 << 16 else "<u4"
 
 
 _encoders: dict[str, Encoder] = {}
