@@ -9,6 +9,7 @@ OPERATORS = {
     "op2_decontamination": "decontamination",
     "op3_language_id": "language_id",
     "op5_simhash_near_dedup": "simhash",
+    "op7_token_file": "huffman",
     "op9_packing": "packing",
 }
 
