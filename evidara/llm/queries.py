@@ -10,6 +10,7 @@ OPERATORS = {
     "op3_language_id": "language_id",
     "op5_simhash_near_dedup": "simhash",
     "op7_token_file": "huffman",
+    "op8_substring_dedup": "substring_dedup",
     "op9_packing": "packing",
 }
 
