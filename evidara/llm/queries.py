@@ -9,6 +9,7 @@ OPERATORS = {
     "op2_decontamination": "decontamination",
     "op3_language_id": "language_id",
     "op5_simhash_near_dedup": "simhash",
+    "op6_suffix_dedup": "suffix_dedup",
     "op7_token_file": "huffman",
     "op8_substring_dedup": "substring_dedup",
     "op9_packing": "packing",
