@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -66,24 +66,17 @@ def records(df: DataFrame, key: str, *columns: str) -> DataFrame:
     return out.select(key, *rest).groupBy(key).agg(F.min("_row").alias("_row")).select(key, "_row.*")
 
 
-def running_total(
-    df: DataFrame, order: Sequence[str], value: str, out: str, *, by: Sequence[str] = (), partitions: int | None = None
-) -> DataFrame:
-    """Sum of ``value`` over all earlier rows in the given order (of the same ``by`` key, if any).
+def running_total(df: DataFrame, order: Sequence[str], values: dict[str, str], *, by: Sequence[str] = (), kind: str = "bigint") -> DataFrame:
+    """Sums of columns over all earlier rows in the given order (of the same ``by`` key, if any). values: column to name of its sum.
 
     Two levels: rows are range-partitioned, so that one key may span many tasks; each partition sums its own rows
     and a table with one row per partition (and key) carries what went before."""
-    cols = [*by, *order]
-    parts = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
-    parts = written(parts.withColumn("_part", F.spark_partition_id()))
+    parts = written(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
     local = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.groupBy("_part", *by).agg(F.sum(value).alias("_sum"))
-    across = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_part")
-    before = totals.select("_part", *by, F.coalesce(F.sum("_sum").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.coalesce(F.sum(value).over(local), F.lit(0))
-    joined = parts.withColumn("_own", own).join(before, ["_part", *by])
-    return joined.withColumn(out, (F.col("_before") + F.col("_own")).cast("bigint")).drop("_part", "_own", "_before")
-
-
-def unsigned32(column: Column) -> Column:
-    return column.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
+    across = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast(kind)
+    totals = parts.groupBy("_part", *by).agg(*[F.sum(v).cast(kind).alias(f"_sum_{v}") for v in values])
+    before = totals.select("_part", *by, *[F.coalesce(F.sum(f"_sum_{v}").over(across).cast(kind), none).alias(f"_before_{v}") for v in values])
+    own = parts.withColumns({f"_own_{v}": F.coalesce(F.sum(v).over(local).cast(kind), none) for v in values})
+    joined = own.join(before, ["_part", *by])
+    return joined.select(*df.columns, *[(F.col(f"_before_{v}") + F.col(f"_own_{v}")).cast(kind).alias(name) for v, name in values.items()])

@@ -8,11 +8,13 @@ OPERATORS = {
     "op1_secret_scan": "secrets",
     "op2_decontamination": "decontamination",
     "op3_language_id": "language_id",
+    "op4_knn_join": "knn_join",
     "op5_simhash_near_dedup": "simhash",
     "op6_suffix_dedup": "suffix_dedup",
     "op7_token_file": "huffman",
     "op8_substring_dedup": "substring_dedup",
     "op9_packing": "packing",
+    "op10_chat_collapse": "chat",
 }
 
 
