@@ -6,8 +6,8 @@ anchor at the same distance from their starts. Anchors whose hash occurs once in
 the full windows are hashed (128 bits), and those whose word sequence starts in more than one place cover the words to remove.
 
 Steps: anchors by hash (a window count, sorted and spilled, nothing gathered per hash); anchor positions per document; window
-hashes around them; positions per document again. A passage that a third of all documents share is a third of the rows of its few
-hashes, read as a stream.
+hashes around them; positions per document again. A hash that several rows of one slice of texts hold is known as repeated there: one
+of them is counted for the others, which go to tasks of their own, so a passage that a third of all documents share is no hot key.
 
 Results: one row per document. Null texts have no words. Documents shorter than the window lose nothing. Every occurrence goes,
 the first too; overlaps and occurrences within one document count.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.llm.common import dropped, records, written
-from evidara.llm.textarrays import buffers, cover, runs, slices, word_hashes, word_spans, word_windows
+from evidara.llm.textarrays import buffers, cover, runs, slices, spread, word_hashes, word_spans, word_windows
 
 WINDOW = 35
 #: Perfect difference sets, by modulus.
@@ -48,7 +48,7 @@ def _room(first: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(h, doc_id, pos): hash of the anchor window at every cover position."""
+    """(h, later, several, doc_id, pos): hash of the anchor window at every cover position."""
     p = period(window)
     width = window - p + 1
     covered = np.isin(np.arange(p), COVERS[p])
@@ -64,13 +64,16 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
                 whole = np.repeat(np.diff(first) >= window, np.diff(first))
                 at = np.flatnonzero((covered[pos % p] & _room(first, width) & whole)[: len(h)])
                 row = np.searchsorted(first, at, side="right") - 1
-                yield pa.record_batch({"h": pa.array(h[at].view(np.int64)), "doc_id": pa.array(part.column(0).to_numpy()[row], pa.int64()), "pos": pa.array(pos[at].astype(np.int32))})
+                later, several, h = spread(h[at])
+                yield pa.record_batch(
+                    {"h": pa.array(h.view(np.int64)), "later": pa.array(later), "several": pa.array(several), "doc_id": pa.array(part.column(0).to_numpy()[row], pa.int64()), "pos": pa.array(pos[at].astype(np.int32))}
+                )
 
-    return docs.mapInArrow(run, "h bigint, doc_id bigint, pos int")
+    return docs.mapInArrow(run, "h bigint, later boolean, several boolean, doc_id bigint, pos int")
 
 
 def windows(docs: DataFrame, window: int) -> DataFrame:
-    """(h1, h2, doc_id, pos): 128-bit hash of every full window that holds one of the document's anchors ``at``."""
+    """(h1, h2, later, several, doc_id, pos): 128-bit hash of every full window that holds one of the document's anchors ``at``."""
     p = period(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,16 +90,24 @@ def windows(docs: DataFrame, window: int) -> DataFrame:
                 low = np.maximum(anchor - (p - 1), np.repeat(first[:-1], n))
                 at = np.flatnonzero((cover(first[-1], low, anchor + 1) & _room(first, window))[: len(h1)])
                 row = np.searchsorted(first, at, side="right") - 1
+                h1, h2 = h1[at], h2[at]
+                later, several, loose = spread(h1, h2)
+                # the first hash alone decides within a slice only if the second agrees
+                first_of = np.lexsort((h2, h1))
+                clash = np.zeros(len(h1), dtype=bool)
+                clash[first_of[1:]] = (h1[first_of[1:]] == h1[first_of[:-1]]) & (h2[first_of[1:]] != h2[first_of[:-1]])
+                if clash.any():
+                    later[:], several[:], loose = False, False, h1
                 yield pa.record_batch(
-                    {"h1": pa.array(h1[at].view(np.int64)), "h2": pa.array(h2[at].view(np.int64)), "doc_id": pa.array(part.column(0).to_numpy()[row], pa.int64()), "pos": pa.array((at - first[row]).astype(np.int32))}
+                    {"h1": pa.array(loose.view(np.int64)), "h2": pa.array(h2.view(np.int64)), "later": pa.array(later), "several": pa.array(several), "doc_id": pa.array(part.column(0).to_numpy()[row], pa.int64()), "pos": pa.array((at - first[row]).astype(np.int32))}
                 )
 
-    return docs.mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, pos int")
+    return docs.mapInArrow(run, "h1 bigint, h2 bigint, later boolean, several boolean, doc_id bigint, pos int")
 
 
 def _repeated(df: DataFrame, *keys: str) -> DataFrame:
     """Positions per document of the rows whose key occurs more than once."""
-    counted = df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where("_n > 1")
+    counted = df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "later"))).where("_n > 1 or several")
     return counted.groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
 
 

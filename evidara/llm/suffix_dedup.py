@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from evidara.llm.common import dropped, records, written
 from evidara.llm.suffix_array import suffix_array
-from evidara.llm.textarrays import _BYTES, buffers, byte_windows, cover, mix, prefix, runs, slices, sliding_argmin
+from evidara.llm.textarrays import _BYTES, buffers, byte_windows, cover, mix, prefix, runs, slices, sliding_argmin, spread
 
 WINDOW = 100
 UNIT = 8
@@ -38,7 +38,8 @@ RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<st
 
 
 def anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(h, c, doc_id, pos, left, right): hashes of each anchor and of its context, and the context's bytes on both sides."""
+    """(h, c, later, doc_id, pos, left, right): hashes of each anchor and of its context, and the context's bytes on both sides. later: not
+    the first of its kind among the slice's documents, so known as a copy; such rows get hashes of their own."""
     k = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,14 +55,19 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
                 sums = prefix(data.astype(np.uint64) + np.uint64(1), _BYTES)
                 _, down = _BYTES.to(len(data) + 1)
                 c = mix((sums[hi] - sums[lo]) * down[lo], 0x11) ^ mix((at - lo).astype(np.uint64), 0x12)
+                doc = part.column(0).to_numpy()[row]
+                place = np.empty(len(at), np.int64)
+                place[np.lexsort((at, doc))] = np.arange(len(at))
+                both = mix(h[at]) ^ c
+                later, _, loose = spread(both, place)
                 yield pa.record_batch(
                     {
-                        "h": pa.array(h[at].view(np.int64)), "c": pa.array(c.view(np.int64)), "doc_id": pa.array(part.column(0).to_numpy()[row], pa.int64()),
+                        "h": pa.array(np.where(later, loose, h[at]).view(np.int64)), "c": pa.array(c.view(np.int64)), "later": pa.array(later), "doc_id": pa.array(doc, pa.int64()),
                         "pos": pa.array((at - offsets[row]).astype(np.int32)), "left": pa.array((at - lo).astype(np.int16)), "right": pa.array((hi - at - k).astype(np.int16)),
                     }
                 )
 
-    return docs.mapInArrow(run, "h bigint, c bigint, doc_id bigint, pos int, left smallint, right smallint")
+    return docs.mapInArrow(run, "h bigint, c bigint, later boolean, doc_id bigint, pos int, left smallint, right smallint")
 
 
 def contexts(firsts: DataFrame, texts: DataFrame, window: int) -> DataFrame:
@@ -209,12 +215,12 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     k = window // 2
     texts = records(docs, key, text).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     long_enough = texts.where(F.octet_length("text") >= window)
-    rows = anchors(long_enough, window).repartition("h")
-    rows = rows.withColumn("first", F.row_number().over(Window.partitionBy("h", "c").orderBy("doc_id", "pos")) == 1)
-    by_anchor = Window.partitionBy("h")
-    rows = rows.withColumns({"n": F.count("*").over(by_anchor), "mixed": F.min("c").over(by_anchor) != F.max("c").over(by_anchor)})
+    rows = anchors(long_enough, window).repartition("h", "later")
+    first = (F.row_number().over(Window.partitionBy("h", "later", "c").orderBy("doc_id", "pos")) == 1) & ~F.col("later")
+    by_anchor = Window.partitionBy("h", "later")
+    rows = rows.withColumn("first", first).withColumn("mixed", F.min("c").over(by_anchor) != F.max("c").over(by_anchor))
     # of copies only the place matters from here on; a lone first occurrence loses nothing
-    rows = rows.where("n > 1 and (mixed or not first)").select(F.when(F.col("first"), F.col("h")).alias("h"), "doc_id", "pos", "left", "right")
+    rows = rows.where("mixed or not first").select(F.when(F.col("first"), F.col("h")).alias("h"), "doc_id", "pos", "left", "right")
     hits = written(rows)
     copies = hits.where(F.col("h").isNull() & (F.col("left") + F.col("right") >= window - k)).select(
         "doc_id", (F.col("pos") - F.col("left")).cast("int").alias("start"), (F.col("pos") + k + F.col("right")).cast("int").alias("end")

@@ -154,3 +154,18 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
         best = np.where(take, right, left)
         have += step
     return at
+
+
+def spread(keys: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What one slice already knows of repeated keys: which rows are not the first of their key in the slice (by ``order``, if
+    given), which keys occur more than once in it, and the keys with those of the first kind replaced by numbers of their own.
+
+    Rows after the first need no shuffle to be known as repeated, so a key that a third of all rows hold is sent once a slice."""
+    at = np.argsort(keys, kind="stable") if order is None else np.lexsort((order, keys))
+    head = np.ones(len(keys), dtype=bool)
+    head[1:] = keys[at[1:]] != keys[at[:-1]]
+    later, several = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
+    later[at] = ~head
+    several[at[:-1]] |= ~head[1:]
+    several |= later
+    return later, several, np.where(later, mix(keys + np.arange(len(keys), dtype=np.uint64), 0x5A), keys)
