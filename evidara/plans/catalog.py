@@ -1,13 +1,16 @@
-"""Registry: query name -> builder over a data folder, and the SQL that gives the same rows."""
+"""All queries of the library over the driver's tables, by name."""
 
 from __future__ import annotations
 
+from evidara.plans import checking, ledgers, merging, retrieving, texts  # noqa: F401
+from evidara.plans.registry import QUERIES, SQL
+
 FLAGSHIP = "evidence_search"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
