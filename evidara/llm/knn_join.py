@@ -8,7 +8,8 @@ group. Cells and groups are dealt into blocks of bounded size, so a vector that
 block pair is solved by one matrix product, and the block winners are merged.
 
 Results: per query the k highest scores, ties to the smaller id, all if there are fewer; a query is not its own candidate.
-Vectors that are null or hold a null or non-finite component take no part; shorter vectors count as filled up with zeros.
+Vectors that are null or hold a null or non-finite component take no part; shorter vectors count as filled up with zeros. A
+score beyond the range of long counts as the nearest long.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ SAMPLE, PIVOTS, PER_CELL = 1024, 512, 1500
 #: Rows of data, and of queries, that one block pair holds about.
 BLOCK, QUERIES = 4096, 512
 EXACT = float(1 << 53)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -50,7 +52,7 @@ def top(queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray, data: np.
         scores = queries @ data.T
     else:  # beyond what doubles hold exactly
         whole = [[int(x) for x in row] for row in data]
-        scores = np.array([[max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * b for a, b in zip(q, row, strict=True)))) for row in whole] for q in queries], dtype=object)
+        scores = np.array([[max(LEAST, min(MOST, sum(int(a) * b for a, b in zip(q, row, strict=True)))) for row in whole] for q in queries], dtype=object)
     out: list[tuple] = []
     for i in range(len(queries)):
         own = scores[i]
@@ -109,6 +111,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, *, key: str = "vec_
             seen[ids[:, None] == mark_ids] = -np.inf
             if seen.shape[1] > k:
                 least = np.maximum(least, np.partition(seen, -k, axis=1)[:, -k])
+            least = np.minimum(least, MOST)
             least = least - 1e-9 * (np.abs(least) + 1)
             group, _ = nearest(q, centres)
             with np.errstate(divide="ignore", invalid="ignore"):
