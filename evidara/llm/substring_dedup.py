@@ -26,6 +26,8 @@ from evidara.llm.common import dropped, records, written
 from evidara.llm.textarrays import buffers, cover, runs, slices, spread, word_hashes, word_spans, word_windows
 
 WINDOW = 35
+#: Bytes of text that a task works on at a time.
+SLICE = 1 << 20
 #: Perfect difference sets, by modulus.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept binary"
@@ -48,14 +50,14 @@ def _room(first: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(h, later, several, doc_id, pos): hash of the anchor window at every cover position."""
+    """(h, doc_id, pos): hash of the anchor window at every cover position; -1 - pos where the slice knows it as repeated."""
     p = period(window)
     width = window - p + 1
     covered = np.isin(np.arange(p), COVERS[p])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 data, offsets = buffers(part.column(1))
                 starts, ends, first = word_spans(data, offsets)
                 h = word_windows(word_hashes(data, starts, ends), width)
@@ -64,21 +66,21 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
                 whole = np.repeat(np.diff(first) >= window, np.diff(first))
                 at = np.flatnonzero((covered[pos % p] & _room(first, width) & whole)[: len(h)])
                 row = np.searchsorted(first, at, side="right") - 1
-                later, several, h = spread(h[at])
-                yield pa.record_batch(
-                    {"h": pa.array(h.view(np.int64)), "later": pa.array(later), "several": pa.array(several), "doc_id": pa.array(part.column(0).to_numpy()[row], pa.int64()), "pos": pa.array(pos[at].astype(np.int32))}
-                )
+                _, several, h = spread(h[at])
+                pos = np.where(several, -1 - pos[at], pos[at])
+                yield pa.record_batch({"h": pa.array(h.view(np.int64)), "doc_id": pa.array(part.column(0).to_numpy()[row], pa.int64()), "pos": pa.array(pos.astype(np.int32))})
 
-    return docs.mapInArrow(run, "h bigint, later boolean, several boolean, doc_id bigint, pos int")
+    return docs.mapInArrow(run, "h bigint, doc_id bigint, pos int")
 
 
 def windows(docs: DataFrame, window: int) -> DataFrame:
-    """(h1, h2, later, several, doc_id, pos): 128-bit hash of every full window that holds one of the document's anchors ``at``."""
+    """(h1, h2, doc_id, pos): 128-bit hash of every full window that holds one of the document's anchors ``at``; -1 - pos where the slice
+    knows it as repeated, and no h2 where another row of the slice stands for it."""
     p = period(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 data, offsets = buffers(part.column(1))
                 starts, ends, first = word_spans(data, offsets)
                 words = word_hashes(data, starts, ends)
@@ -90,25 +92,22 @@ def windows(docs: DataFrame, window: int) -> DataFrame:
                 low = np.maximum(anchor - (p - 1), np.repeat(first[:-1], n))
                 at = np.flatnonzero((cover(first[-1], low, anchor + 1) & _room(first, window))[: len(h1)])
                 row = np.searchsorted(first, at, side="right") - 1
-                h1, h2 = h1[at], h2[at]
-                later, several, loose = spread(h1, h2)
-                # the first hash alone decides within a slice only if the second agrees
-                first_of = np.lexsort((h2, h1))
-                clash = np.zeros(len(h1), dtype=bool)
-                clash[first_of[1:]] = (h1[first_of[1:]] == h1[first_of[:-1]]) & (h2[first_of[1:]] != h2[first_of[:-1]])
-                if clash.any():
-                    later[:], several[:], loose = False, False, h1
+                later, several, h1 = spread(h1[at], second=h2[at])
+                pos = at - first[row]
                 yield pa.record_batch(
-                    {"h1": pa.array(loose.view(np.int64)), "h2": pa.array(h2.view(np.int64)), "later": pa.array(later), "several": pa.array(several), "doc_id": pa.array(part.column(0).to_numpy()[row], pa.int64()), "pos": pa.array((at - first[row]).astype(np.int32))}
-                )
+                    {
+                        "h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2[at].view(np.int64), mask=later),
+                        "doc_id": pa.array(part.column(0).to_numpy()[row], pa.int64()), "pos": pa.array(np.where(several, -1 - pos, pos).astype(np.int32)),
+                    }
+                )
 
-    return docs.mapInArrow(run, "h1 bigint, h2 bigint, later boolean, several boolean, doc_id bigint, pos int")
+    return docs.mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, pos int")
 
 
 def _repeated(df: DataFrame, *keys: str) -> DataFrame:
-    """Positions per document of the rows whose key occurs more than once."""
-    counted = df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "later"))).where("_n > 1 or several")
-    return counted.groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
+    """Positions per document of the rows that are known as repeated (negative positions) or whose key occurs more than once."""
+    counted = df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where("_n > 1 or pos < 0")
+    return counted.groupBy("doc_id").agg(F.collect_list(F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos"))).alias("at"))
 
 
 def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -121,7 +120,7 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 n_words, n_removed, spans, kept = [], [], [], []
                 for raw, at in zip(part.column(1), part.column(2), strict=True):
                     words = (raw.as_buffer().to_pybytes() if raw.is_valid else b"").split()

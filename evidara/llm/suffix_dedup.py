@@ -30,6 +30,8 @@ from evidara.llm.suffix_array import suffix_array
 from evidara.llm.textarrays import _BYTES, buffers, byte_windows, cover, mix, prefix, runs, slices, sliding_argmin, spread
 
 WINDOW = 100
+#: Bytes of text that a task works on at a time.
+SLICE = 1 << 20
 UNIT = 8
 #: Contexts that one suffix array holds, when their anchors have fewer each.
 TOGETHER = 4096
@@ -38,13 +40,13 @@ RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<st
 
 
 def anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(h, c, later, doc_id, pos, left, right): hashes of each anchor and of its context, and the context's bytes on both sides. later: not
-    the first of its kind among the slice's documents, so known as a copy; such rows get hashes of their own."""
+    """(h, c, doc_id, pos, left, right): hashes of each anchor and of its context, and the context's bytes on both sides. Rows that are not
+    the first of their kind in the slice are known as copies: they have no c, and an h of their own."""
     k = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 data, offsets = buffers(part.column(1))
                 h = byte_windows(data, k)
                 at = sliding_argmin(h, window - k + 1)
@@ -59,15 +61,15 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
                 place = np.empty(len(at), np.int64)
                 place[np.lexsort((at, doc))] = np.arange(len(at))
                 both = mix(h[at]) ^ c
-                later, _, loose = spread(both, place)
+                later, _, loose = spread(both, order=place)
                 yield pa.record_batch(
                     {
-                        "h": pa.array(np.where(later, loose, h[at]).view(np.int64)), "c": pa.array(c.view(np.int64)), "later": pa.array(later), "doc_id": pa.array(doc, pa.int64()),
+                        "h": pa.array(np.where(later, loose, h[at]).view(np.int64)), "c": pa.array(c.view(np.int64), mask=later), "doc_id": pa.array(doc, pa.int64()),
                         "pos": pa.array((at - offsets[row]).astype(np.int32)), "left": pa.array((at - lo).astype(np.int16)), "right": pa.array((hi - at - k).astype(np.int16)),
                     }
                 )
 
-    return docs.mapInArrow(run, "h bigint, c bigint, later boolean, doc_id bigint, pos int, left smallint, right smallint")
+    return docs.mapInArrow(run, "h bigint, c bigint, doc_id bigint, pos int, left smallint, right smallint")
 
 
 def contexts(firsts: DataFrame, texts: DataFrame, window: int) -> DataFrame:
@@ -77,7 +79,7 @@ def contexts(firsts: DataFrame, texts: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 data, offsets = buffers(part.column(1))
                 padded = np.concatenate([np.zeros(side, np.uint8), data, np.zeros(window, np.uint8)])
                 found = part.column(2)
@@ -215,12 +217,12 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     k = window // 2
     texts = records(docs, key, text).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     long_enough = texts.where(F.octet_length("text") >= window)
-    rows = anchors(long_enough, window).repartition("h", "later")
-    first = (F.row_number().over(Window.partitionBy("h", "later", "c").orderBy("doc_id", "pos")) == 1) & ~F.col("later")
-    by_anchor = Window.partitionBy("h", "later")
+    rows = anchors(long_enough, window).repartition("h")
+    first = (F.row_number().over(Window.partitionBy("h", "c").orderBy("doc_id", "pos")) == 1) & F.col("c").isNotNull()
+    by_anchor = Window.partitionBy("h")
     rows = rows.withColumn("first", first).withColumn("mixed", F.min("c").over(by_anchor) != F.max("c").over(by_anchor))
     # of copies only the place matters from here on; a lone first occurrence loses nothing
-    rows = rows.where("mixed or not first").select(F.when(F.col("first"), F.col("h")).alias("h"), "doc_id", "pos", "left", "right")
+    rows = rows.where("not first or mixed").select(F.when(F.col("first"), F.col("h")).alias("h"), "doc_id", "pos", "left", "right")
     hits = written(rows)
     copies = hits.where(F.col("h").isNull() & (F.col("left") + F.col("right") >= window - k)).select(
         "doc_id", (F.col("pos") - F.col("left")).cast("int").alias("start"), (F.col("pos") + k + F.col("right")).cast("int").alias("end")
@@ -234,7 +236,7 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 size, removed, spans, kept = [], [], [], []
                 for raw, at in zip(part.column(1), part.column(2), strict=True):
                     data = raw.as_buffer().to_pybytes() if raw.is_valid else b""

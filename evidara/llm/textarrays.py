@@ -66,7 +66,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - first
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Zero-copy row ranges of a batch whose texts hold about ``limit`` bytes (one row at least)."""
     if batch.num_rows == 0:
         return
@@ -145,7 +145,7 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best, at, have = values.copy(), np.arange(len(values)), 1
+    best, at, have = values, np.arange(len(values), dtype=np.int32), 1
     while have < width:
         step = min(have, width - have)
         left, right = best[: len(best) - step], best[step:]
@@ -156,14 +156,17 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def spread(keys: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spread(keys: np.ndarray, *, second: np.ndarray | None = None, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What one slice already knows of repeated keys: which rows are not the first of their key in the slice (by ``order``, if
     given), which keys occur more than once in it, and the keys with those of the first kind replaced by numbers of their own.
 
-    Rows after the first need no shuffle to be known as repeated, so a key that a third of all rows hold is sent once a slice."""
+    Rows after the first need no shuffle to be known as repeated, so a key that a third of all rows hold is sent once a slice.
+    With ``second``, the other half of the keys, rows count as equal only where they stand side by side; others just stay as they are."""
     at = np.argsort(keys, kind="stable") if order is None else np.lexsort((order, keys))
     head = np.ones(len(keys), dtype=bool)
     head[1:] = keys[at[1:]] != keys[at[:-1]]
+    if second is not None:
+        head[1:] |= second[at[1:]] != second[at[:-1]]
     later, several = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
     later[at] = ~head
     several[at[:-1]] |= ~head[1:]
