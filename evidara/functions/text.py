@@ -53,7 +53,7 @@ def sentences(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Folded runs of letters and digits."""
-    return F.filter(F.split(fold(text), "[^a-z0-9]+"), lambda x: x != "")
+    return F.array_remove(F.split(fold(text), "[^a-z0-9]+"), "")
 
 
 def spanish_date(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidara.functions import vectors as V
 from evidara.operators import retrieval as R
-from evidara.plans.registry import query, table
+from evidara.plans.registry import query, table, texts
 
 #: The query vector of single searches is that of vec_id 0.
 _Q = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
@@ -76,7 +76,7 @@ def metadata_filtered_search(spark, sf_dir):
 SELECT node_id, score FROM (SELECT doc_id AS node_id, round(len(list_intersect(list_distinct({_WORDS}), ['and', 'la', 'of', 'the', 'und'])) / 5, 6) AS score FROM documents) WHERE score > 0 ORDER BY score DESC, node_id LIMIT 25
 """)
 def lexical_overlap(spark, sf_dir):
-    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text")
+    nodes = texts(spark, sf_dir).select(F.col("doc_id").alias("node_id"), "text")
     return R.lexical_overlap(nodes, ["the", "of", "and", "la", "und"], 25).select("node_id", "score")
 
 
@@ -86,7 +86,7 @@ h AS (SELECT node_id, len(words) AS n, len(list_filter(words, lambda x: x = 'the
 SELECT node_id, round((a + b) / (1 + ln(CAST(n AS DOUBLE))), 6) AS score FROM h WHERE a > 0 AND b > 0 ORDER BY score DESC, node_id LIMIT 25
 """)
 def lexical_all_terms_rank(spark, sf_dir):
-    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text")
+    nodes = texts(spark, sf_dir).select(F.col("doc_id").alias("node_id"), "text")
     return R.lexical_all_terms(nodes, ["the", "with"], 25).select("node_id", "score")
 
 
@@ -102,7 +102,7 @@ def hybrid_rrf(spark, sf_dir):
 
     best = Window.orderBy(F.desc("score"), "node_id")  # over the 50 rows of a top-k
     a = scored(spark, sf_dir, "cosine").select("node_id", "score").orderBy(F.desc("score"), "node_id").limit(50)
-    b = R.lexical_overlap(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text"), ["the", "of"], 50).select("node_id", "score")
+    b = R.lexical_overlap(texts(spark, sf_dir).select(F.col("doc_id").alias("node_id"), "text"), ["the", "of"], 50).select("node_id", "score")
     ranked = [x.withColumn("rank", F.row_number().over(best)).select(F.lit(s).alias("source"), "node_id", "rank") for s, x in (("vector", a), ("lexical", b))]
     return R.rrf(ranked[0].unionByName(ranked[1]))
 
@@ -163,4 +163,4 @@ def recall_mrr(spark, sf_dir):
 @query("SELECT doc_id, list_transform(range(8), lambda i: CAST(CAST('0x' || substr(sha256(i || ':' || text), 1, 2) AS INTEGER) AS DOUBLE) / 255)[3] AS third, sha256(text) AS text_sha256 FROM documents")
 def hash_embedding(spark, sf_dir):
     made = V.hash_embedding(F.col("text"), 8)
-    return table(spark, sf_dir, "documents").select("doc_id", made[2].alias("third"), F.sha2("text", 256).alias("text_sha256"))
+    return texts(spark, sf_dir).select("doc_id", made[2].alias("third"), F.sha2("text", 256).alias("text_sha256"))

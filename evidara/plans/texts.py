@@ -8,7 +8,7 @@ from evidara.functions import ids
 from evidara.functions import text as T
 from evidara.operators import classify as C
 from evidara.operators import structure as S
-from evidara.plans.registry import query, table
+from evidara.plans.registry import query, table, texts
 
 _FROM, _TO = T.ACCENTED, T.PLAIN
 _FOLD = f"replace(lower(translate(%s, '{_FROM}', '{_TO}')), 'ß', 'ss')"
@@ -21,12 +21,12 @@ FROM (SELECT doc_id, replace(replace(text, ', ', '-' || chr(10)), ' a', chr(13)
 """)
 def normalize_text(spark, sf_dir):
     raw = F.replace(F.replace(F.col("text"), F.lit(", "), F.lit("-\n")), F.lit(" a"), F.lit("\r\n\t a"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_text(raw)).alias("text_md5"))
+    return texts(spark, sf_dir).select("doc_id", F.md5(T.normalize_text(raw)).alias("text_md5"))
 
 
 @query(f"SELECT doc_id, sha256({_FOLD % 'text'}) AS fold_hash FROM documents")
 def accent_fold_hash(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.fold(F.col("text")), 256).alias("fold_hash"))
+    return texts(spark, sf_dir).select("doc_id", F.sha2(T.fold(F.col("text")), 256).alias("fold_hash"))
 
 
 @query(r"""
@@ -35,7 +35,7 @@ SELECT doc_id, CAST(len(s) AS INTEGER) AS n, md5(array_to_string(s, '|')) AS dig
 """)
 def sentence_units(spark, sf_dir):
     s = T.sentences(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(s).alias("n"), F.md5(F.array_join(s, "|")).alias("digest"))
+    return texts(spark, sf_dir).select("doc_id", F.size(s).alias("n"), F.md5(F.array_join(s, "|")).alias("digest"))
 
 
 @query(rf"""
@@ -44,7 +44,7 @@ keyed AS (SELECT source, doc_id, trim(regexp_replace(translate({_FOLD % 'raw'},
 SELECT source, line, count(DISTINCT doc_id) AS pages FROM keyed WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT doc_id) >= 3
 """)
 def repeated_line_boilerplate(spark, sf_dir):
-    return S.repeated_lines(table(spark, sf_dir, "documents"), 3, document="source", page="doc_id")
+    return S.repeated_lines(texts(spark, sf_dir), 3, document="source", page="doc_id")
 
 
 @query("""
@@ -62,7 +62,7 @@ SELECT doc_id, md5(CASE WHEN s2 <> '' AND instr(t, s2) > 0 THEN left(t, instr(t,
 """)
 def indexable_text(spark, sf_dir):
     spans = F.array(F.left(F.col("text"), F.lit(12)), F.right(F.col("text"), F.lit(7)))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.remove_spans(F.col("text"), spans)).alias("digest"))
+    return texts(spark, sf_dir).select("doc_id", F.md5(T.remove_spans(F.col("text"), spans)).alias("digest"))
 
 
 @query("""
@@ -77,12 +77,12 @@ SELECT doc_id, out AS groups FROM step WHERE i = len(c)
 """)
 def greedy_token_packing(spark, sf_dir):
     groups = S.pack(F.split("text", "\n"), lambda x: F.length(x), 600)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(groups.cast("array<string>"), ",").alias("groups"))
+    return texts(spark, sf_dir).select("doc_id", F.array_join(groups.cast("array<string>"), ",").alias("groups"))
 
 
 @query()
 def sentence_chunking_overlap(spark, sf_dir):
-    return S.sentence_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), S.Profile(60, 90, 120, 0.12, 8, 16))
+    return S.sentence_chunks(texts(spark, sf_dir).select("doc_id", "text"), S.Profile(60, 90, 120, 0.12, 8, 16))
 
 
 _MARKS = "SELECT doc_id, u.i AS page, u.i * 100 AS start, n_chars FROM documents, unnest(range(0, n_chars // 100 + 1)) AS u(i) WHERE n_chars > 0"
@@ -163,7 +163,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC, idx) AS
 SELECT d.doc_id, b.value, b.source, CAST(coalesce(b.a, 0.35) AS DOUBLE) AS authority, coalesce(n.n_values, 0) AS n_values FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND b.k = 1 LEFT JOIN n ON n.doc_id = d.doc_id
 """)
 def rule_classification(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     evidence = docs.select("doc_id", F.lit("content").alias("source"), "text").unionByName(docs.select("doc_id", F.lit("route").alias("source"), F.col("source").alias("text")))
     return C.choose(evidence, C.rules_frame(spark, _RULES), key="doc_id")
 
@@ -176,7 +176,7 @@ SELECT d.doc_id, f.field, CASE WHEN n IS NULL THEN 'not_found' WHEN n = 1 THEN '
 FROM documents d CROSS JOIN (VALUES ('mail'), ('ip')) AS f(field) LEFT JOIN g ON g.doc_id = d.doc_id AND g.field = f.field
 """)
 def control_fields_conflict(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     find = lambda name, p: docs.select("doc_id", F.lit(name).alias("field"), F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("value"))
     found = find("mail", "[0-9]+@mail[0-9]+").unionByName(find("ip", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"))
     keys = docs.select("doc_id", F.explode(F.array(F.lit("mail"), F.lit("ip"))).alias("field"))
@@ -207,4 +207,4 @@ SELECT doc_id, CASE WHEN len(t) > 256 THEN left(t, 256) || '...' ELSE t END AS t
   SELECT doc_id, regexp_replace(text, '(token|password|secret|api_key)(\s*=\s*"?)([A-Za-z0-9_]+)', '\1\2[redacted]', 'g') AS t FROM documents)
 """)
 def redact_truncate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.redact(F.col("text")).alias("text"))
+    return texts(spark, sf_dir).select("doc_id", T.redact(F.col("text")).alias("text"))
