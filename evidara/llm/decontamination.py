@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from evidara.llm.common import records, written
 from evidara.llm.textarrays import LOWER, buffers, mix, slices, word_hashes, word_spans
+from evidara.plans.registry import texts
 
 #: Fixed masks over consecutive tokens: 1 counts, 0 is ignored.
 MASKS = ("11101", "1101011", "10110011")
@@ -166,4 +167,4 @@ def contaminated(
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(texts(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

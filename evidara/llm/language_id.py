@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from evidara.llm.common import records
 from evidara.llm.textarrays import buffers, slices
+from evidara.plans.registry import texts
 
 SLOTS = 1 << 15
 #: Training reads at most so many labelled texts per language, those with the smallest hashes of their ids.
@@ -163,7 +164,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = texts(spark, sf_dir)
     model = train(docs.where(~held_out()))
     found = identify(docs, model)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("languages").alias("n_languages"))

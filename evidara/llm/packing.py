@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from evidara.llm.common import records, written
 from evidara.llm.textarrays import slices
 from evidara.llm.tokens import END_ID, binary, encoder, id_width
+from evidara.plans.registry import texts
 
 SIZE = 4096
 MAX_QUEUES = 10_000
@@ -203,4 +204,4 @@ def pack(
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return pack(texts(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("ids")

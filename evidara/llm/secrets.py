@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidara.llm.common import records
+from evidara.plans.registry import texts
 
 #: Rows of the default training set; a forest of TREES trees of DEPTH levels is fitted to them.
 LABELLED, TREES, DEPTH, SEED = 4000, 24, 7, 7
@@ -169,5 +170,5 @@ def redact(docs: DataFrame, findings: DataFrame, *, key: str = "doc_id", text: s
 
 def query(spark, sf_dir: str) -> DataFrame:
     model = fit(labelled_findings(spark))
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), model)
+    found = scan(texts(spark, sf_dir), model)
     return found.select("doc_id", "start", "length", F.sha2("candidate", 256).alias("value_sha256"), "probability", "is_secret")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from evidara.llm.common import records, written
 from evidara.llm.components import components
+from evidara.plans.registry import texts
 
 DISTANCE = 2
 SHINGLE = 3
@@ -130,5 +131,5 @@ def as_hex(fp: Column) -> Column:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_duplicates(texts(spark, sf_dir))
     return found.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")

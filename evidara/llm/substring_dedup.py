@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from evidara.llm.common import dropped, records, written
 from evidara.llm.textarrays import buffers, cover, runs, slices, spread, word_hashes, word_spans, word_windows
+from evidara.plans.registry import texts
 
 WINDOW = 35
 #: Bytes of text that a task works on at a time.
@@ -138,5 +139,5 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = remove_repeated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = remove_repeated(texts(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

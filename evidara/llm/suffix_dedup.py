@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from evidara.llm.common import dropped, records, written
 from evidara.llm.suffix_array import suffix_array
 from evidara.llm.textarrays import _BYTES, buffers, byte_windows, cover, mix, prefix, runs, slices, sliding_argmin, spread
+from evidara.plans.registry import texts
 
 WINDOW = 100
 #: Bytes of text that a task works on at a time.
@@ -254,5 +255,5 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = remove_repeated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = remove_repeated(texts(spark, sf_dir))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
