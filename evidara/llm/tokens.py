@@ -20,7 +20,7 @@ from evidara.llm.textarrays import LOWER, SPACE, buffers, word_hashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-KEEP = 500_000
+KEEP = 350_000
 END_ID = 2
 #: Bytes that, after a blank, start a new piece of the byte-level vocabulary: printable ASCII, and first bytes of U+00C0 to U+023F.
 OPENS = np.array([0x21 <= b <= 0x7E or 0xC3 <= b <= 0xC8 for b in range(256)])
@@ -75,9 +75,13 @@ class Encoder:
     def _learn(self, parts: list[bytes]) -> list[bytes]:
         whole, words, is_word = [], [], []
         for x in parts:
+            led = not self.drops_space and x[:1] == b" "
+            if (x[1:] if led else x).isalpha():  # ASCII letters stand for themselves
+                words.append("Ġ" + x[1:].decode() if led else x.decode())
+                is_word.append(True)
+                continue
             text = x.decode()
-            word = text[1:] if not self.drops_space and text[0] == " " else text
-            is_word.append(LETTERS.fullmatch(word) is not None)
+            is_word.append(LETTERS.fullmatch(text, 1 if led else 0) is not None)
             if is_word[-1]:
                 words.append((text.lower() if self.drops_space else text).encode().decode("latin-1").translate(self.letters))
             else:
@@ -104,7 +108,11 @@ class Encoder:
             data = LOWER[data]
         starts, ends, first = self._spans(data, offsets)
         hashes = word_hashes(data, starts, ends)
-        _, index, code = np.unique(hashes, return_index=True, return_inverse=True)
+        order = np.argsort(hashes)
+        head = np.ones(len(order), dtype=bool)
+        head[1:] = hashes[order[1:]] != hashes[order[:-1]]
+        index, code = order[head], np.empty(len(order), dtype=np.int32)
+        code[order] = np.cumsum(head, dtype=np.int32) - 1
         raw = data.tobytes()
         found = self._ids([raw[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)])
         found.append(array("I", [end]).tobytes())
