@@ -117,20 +117,25 @@ class Decoder:
 
 
 def _stored_ids(docs: DataFrame, tokenizer: str, end: int, key: str, text: str) -> DataFrame:
-    """(part, own, doc_id, n, ids) in ascending doc_id over parts; own: tokens before the document in its part."""
+    """(part, own, doc_id, n, ids, counts) in ascending doc_id over parts; own: tokens before the document in its part. Each part ends
+    with a row that has nothing but the counts of its ids."""
     width = id_width(tokenizer)
+    kinds = pa.schema([("own", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, coder = 0, encoder(tokenizer)
+        counts = np.zeros(max(coder.size, end + 1), dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, bounds = coder.encode(part.column(1), end)
-                yield pa.record_batch({"own": pa.array(own + bounds[:-1]), "doc_id": part.column(0), "n": pa.array(np.diff(bounds)), "ids": binary(ids.astype(width), bounds)})
+                counts += np.bincount(ids, minlength=len(counts))
+                yield pa.record_batch([pa.array(own + bounds[:-1]), part.column(0), pa.array(np.diff(bounds)), binary(ids.astype(width), bounds), pa.nulls(part.num_rows, pa.binary())], schema=kinds)
                 own += int(bounds[-1])
+        yield pa.RecordBatch.from_pylist([{"own": own, "n": 0, "counts": counts.tobytes()}], schema=kinds)
 
     rows = records(docs, key, text).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(run, "own bigint, doc_id bigint, n bigint, ids binary").withColumn("part", F.spark_partition_id())
+    return ordered.mapInArrow(run, "own bigint, doc_id bigint, n bigint, ids binary, counts binary").withColumn("part", F.spark_partition_id())
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", end: int = END_ID, limit: int = LIMIT, every: int = EVERY, block: int = BLOCK) -> None:
@@ -142,13 +147,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id", te
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            got = np.bincount(np.frombuffer(b"".join(x.as_buffer() for x in batch.column(0)), dtype=width))
-            n = max(len(got), len(sums))
-            sums = np.pad(sums, (0, n - len(sums))) + np.pad(got, (0, n - len(got)))
+            for x in batch.column(0):
+                got = np.frombuffer(x.as_buffer(), dtype=np.int64)
+                sums = got + sums if len(sums) else got
         at = np.flatnonzero(sums)
         yield pa.record_batch({"symbol": pa.array(at, pa.int64()), "n": pa.array(sums[at])})
 
-    counted = table.select("ids").mapInArrow(count, "symbol bigint, n bigint").groupBy("symbol").agg(F.sum("n").alias("n")).collect()  # one row a symbol
+    counted = table.select("counts").where("counts is not null").mapInArrow(count, "symbol bigint, n bigint").groupBy("symbol").agg(F.sum("n").alias("n")).collect()  # one row a symbol
     counts = np.zeros(max([encoder(tokenizer).size, end + 1, *(x["symbol"] + 1 for x in counted)]), dtype=np.int64)
     for x in counted:
         counts[x["symbol"]] = x["n"]
@@ -186,7 +191,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id", te
         if waiting:
             yield flush()
 
-    blocks = table.select("own", "doc_id", "n", "ids", "part").mapInArrow(code, BLOCKS)
+    blocks = table.where("doc_id is not null").select("own", "doc_id", "n", "ids", "part").mapInArrow(code, BLOCKS)
     blocks.write.partitionBy("part").option("compression", "none").parquet(f"{path}/blocks")
     dropped(table)
 
