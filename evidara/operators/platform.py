@@ -10,9 +10,9 @@ TRANSITIONS = (("draft", "building"), ("building", "built"), ("building", "faile
 
 
 def variant_matrix(bindings: DataFrame, processing: DataFrame, chunking: DataFrame) -> DataFrame:
-    """One cell for each binding, processing and chunking choice: configuration tables, small by nature."""
+    """One cell for each binding, processing and chunking choice: configuration tables; Spark broadcasts those below its own size check."""
     cell = F.concat_ws("|", F.col("binding_id").cast("string"), "processing", "chunking").alias("cell_id")
-    return bindings.crossJoin(F.broadcast(processing)).crossJoin(F.broadcast(chunking)).select("binding_id", "processing", "chunking", cell)
+    return bindings.crossJoin(processing).crossJoin(chunking).select("binding_id", "processing", "chunking", cell)
 
 
 def parse_cell(df: DataFrame, cell: str = "cell_id") -> DataFrame:

@@ -63,7 +63,7 @@ def overlap(regions: DataFrame, traces: DataFrame, document: str) -> DataFrame:
     return joined.groupBy(f"r.{document}", "r.region_id").agg(F.min("t.page").alias("page_start"), F.max("t.page").alias("page_end"))
 
 
-def pack(lines: Column, cost, limit: int) -> Column:
+def pack(lines: Column, cost, limit: int | Column) -> Column:
     """Group number of every element: greedy groups whose cost stays within the limit, an element beyond it alone."""
     start = F.struct(F.lit(0).alias("g"), F.lit(0).alias("n"), F.lit(0).alias("seen"), F.array().cast("array<int>").alias("out"))
 
@@ -97,7 +97,7 @@ def sentence_chunks(docs: DataFrame, profile: Profile = Profile(), *, key: str =
     before that comes closest to the overlap target. Tokens are words. Packing is sequential within a document, so one Arrow pass."""
     import re
 
-    import pandas as pd
+    import pyarrow as pa
 
     unique_min, unique_max = max(1, profile.child_min - profile.overlap_max), profile.child_max - profile.overlap_max
     goal = profile.child_target - profile.overlap
@@ -132,15 +132,17 @@ def sentence_chunks(docs: DataFrame, profile: Profile = Profile(), *, key: str =
                 best, distance = part[i:], abs(n - profile.overlap)
         return best
 
-    def run(frames):
-        for frame in frames:
+    def run(batches):
+        for batch in batches:
             rows = []
-            for k, t in zip(frame[key], frame[text], strict=True):
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts = parts_of(t or "")
                 for i, part in enumerate(parts):
                     lead = suffix(parts[i - 1]) if i else []
                     whole = " ".join([*lead, *part])
                     rows.append((k, i, len(part), len(lead), len(whole.split()), whole))
-            yield pd.DataFrame(rows, columns=[key, "ordinal", "n_sentences", "n_overlap", "token_count", "text"])
+            kinds = (batch.column(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], [key, "ordinal", "n_sentences", "n_overlap", "token_count", "text"])
 
-    return docs.select(F.col(key).cast("bigint"), text).mapInPandas(run, f"{key} bigint, ordinal int, n_sentences int, n_overlap int, token_count int, text string")
+    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ordinal int, n_sentences int, n_overlap int, token_count int, text string")
