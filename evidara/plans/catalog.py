@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidara.plans import checking, ledgers, marking, merging, retrieving, reviewing, texts  # noqa: F401
+from evidara.plans import checking, gating, ledgers, marking, merging, retrieving, reviewing, texts  # noqa: F401
 from evidara.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "evidence_search"
