@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,48 @@ MONTHS = {
 }
 
 
+#: Latin letters with one mark (U+00C0 to U+017F) and the pairs of letter and mark that they are composed of.
+COMPOSED = [(unicodedata.normalize("NFD", c), c) for c in map(chr, range(0xC0, 0x180)) if len(unicodedata.normalize("NFD", c)) == 2]
+
+
+def compose(text: Column) -> Column:
+    """Latin letters followed by a combining mark as one character; texts without marks are not touched. Other scripts stay as they are."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in COMPOSED])
+    return F.when(text.rlike("[\u0300-\u036f]"), F.aggregate(pairs, text, lambda t, p: F.replace(t, p["a"], p["b"]))).otherwise(text)
+
+
+def repair(text: Column) -> Column:
+    """UTF-8 that was read as Latin-1 read anew; texts that show no sign of it, or would not be valid, stay as they are."""
+    sign = text.rlike("[\u00c2\u00c3][\u0080-\u00bf]") & ~text.rlike("[^\u0000-\u00ff]")
+    again = F.encode(F.when(sign, text), "ISO-8859-1").cast("string")
+    return F.when(sign & F.is_valid_utf8(again), again).otherwise(text)
+
+
+def slug(text: Column) -> Column:
+    """Folded letters and digits joined by single hyphens."""
+    return F.regexp_replace(F.regexp_replace(fold(text), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
+def safe_path(path: Column) -> Column:
+    """Whether a path is relative, without parent steps, backslashes or drive letters."""
+    return F.coalesce((path != "") & ~path.rlike(r"^/|^[A-Za-z]:|\\|(^|/)\.\.(/|$)"), F.lit(False))
+
+
+def sidecar(path: Column, suffix: str) -> Column:
+    """The path with its extension replaced."""
+    return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(suffix))
+
+
+def in_context(prefix: Column, text: Column) -> Column:
+    """The text below its prefix, if there is one."""
+    return F.concat_ws("\n", F.when(prefix != "", prefix), text)
+
+
+def form_labels(text: Column) -> Column:
+    """Labels before a blank to fill in (Label: ____), in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"([^:\n|*_]{2,60}):[ \t]*_{2,}"), F.lit(1)), lambda x: F.trim(x))
+
+
 def fold(text: Column) -> Column:
     """Lower case without accents; ß is ss."""
     return F.replace(F.lower(F.translate(text, ACCENTED, PLAIN)), F.lit("ß"), F.lit("ss"))
@@ -26,9 +70,9 @@ def fold_key(text: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    """Control characters go first, then line ends, hyphenated line breaks between Latin letters, runs of blanks, blanks around line
+    """Composed letters (see compose); then control characters go, then line ends, hyphenated line breaks between Latin letters, runs of blanks, blanks around line
     ends, more than two line ends, and blanks at both ends."""
-    out = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    out = F.regexp_replace(compose(text), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
     out = F.regexp_replace(out, r"\r\n?", "\n")
     out = F.regexp_replace(out, r"([A-Za-zÀ-ÖØ-öø-ÿ])-\n([A-Za-zÀ-ÖØ-öø-ÿ])", "$1$2")
     out = F.regexp_replace(out, r"[ \t]+", " ")
