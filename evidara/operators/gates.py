@@ -100,10 +100,10 @@ def call_order(calls: DataFrame, run: str) -> DataFrame:
 
 def golden(expected: DataFrame, actual: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field, expected, actual) where they differ; a missing document differs in every field that is expected."""
-    text = lambda df: df.select(key, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot([key], fields, "field", "value")
-    a = text(actual).withColumnRenamed("value", "actual")
-    joined = text(expected).withColumnRenamed("value", "expected").join(a, [key, "field"], "left")
-    return joined.where(~F.col("expected").eqNullSafe(F.col("actual"))).select(key, "field", "expected", "actual")
+    theirs = actual.select(key, *[F.col(f).cast("string").alias(f"_{f}") for f in fields])
+    pairs = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("expected"), F.col(f"_{f}").alias("actual")) for f in fields]
+    joined = expected.select(key, *fields).join(theirs, key, "left")
+    return joined.select(key, F.inline(F.filter(F.array(*pairs), lambda x: ~x["expected"].eqNullSafe(x["actual"]))))
 
 
 def provision(profiles: DataFrame, targets: DataFrame) -> DataFrame:
