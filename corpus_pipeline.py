@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over ``documents``: each reads all that its predecessor kept.
 
 1. language: every document gets its language mixture; documents without any letters (``und``) go.
-2. near_dedup: of each group of near-duplicates by SimHash, the document with the smallest id stays.
+2. near_dedup: of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more), the document with the smallest id stays.
 3. decontaminate: documents that overlap a benchmark item go.
 4. secrets: what the forest judges a secret is replaced in the text; every document stays.
 5. packing: token sequences with target proportions by source.
@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import decontamination, language_id, packing, secrets, simhash
+from evidara.llm import decontamination, language_id, near_copies, packing, secrets
 from evidara.llm.common import written
 
-#: SQL cannot express SimHash components over a tokenizer's ids; tests/llm compares run() with a brute-force version.
+#: SQL cannot express components of near copies over a tokenizer's ids; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
+    others = near_copies.near_copies(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
