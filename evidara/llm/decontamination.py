@@ -3,21 +3,22 @@
 Tokens are lower-cased runs of letters, digits and non-ASCII bytes. A mask names the token positions of a short span
 that count; the others are ignored, so a hit survives substitutions at them. Hashes of all masks at all positions of the
 benchmark are joined with those of the training texts. Every joined hit fixes a diagonal (where the item would start in the
-document), and along it the best substitution-tolerant overlap is found: the stretch with the highest
-score, one for an equal token and -4 for another, so that at least 80 % of it agree.
+document), and along it the longest substitution-tolerant overlap is found: the longest stretch of which at
+least 80 % agree.
 
 Before the join a bit table of the benchmark's hashes (its size follows the benchmark, up to 2**30 bits) drops
 training hashes that cannot join; it never drops one that can. Documents are read once: around their remaining hits they
 hand on the token hashes that the check needs.
 
 Results: one row per document, item and overlap (item_start, doc_start, length in tokens, matches). An overlap counts when it has
-13 tokens, or the whole item if that is shorter (5 at least). Null or empty texts match nothing; an empty benchmark gives an
+13 tokens, or the whole item if that is shorter (5 at least); different tokens at its edges count there but are not reported. Null or empty texts match nothing; an empty benchmark gives an
 empty result; repeated items each report.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,9 @@ from evidara.plans.registry import texts
 
 #: Fixed masks over consecutive tokens: 1 counts, 0 is ignored.
 MASKS = ("11101", "1101011", "10110011")
+#: Besides, for items of fewer than SHORT_ITEM tokens, which those can miss with one substitution.
+SHORT_MASKS = ("1111", "11011", "10111")
+SHORT_ITEM = 7
 MIN_TOKENS = 13
 MIN_ITEM = 5
 SIMILARITY = 0.8
@@ -64,10 +68,12 @@ def _benchmark_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         tokens, first = token_hashes(batch.column(1))
         ids = batch.column(0).to_numpy()
-        for number, mask in enumerate(MASKS):
+        for number, mask in enumerate(MASKS + SHORT_MASKS):
             h = seeds(tokens, mask, number)
             row = rows_of(first, np.arange(len(h)))
             keep = np.arange(len(h)) + len(mask) <= first[row + 1]
+            if number >= len(MASKS):
+                keep &= np.diff(first)[row] < SHORT_ITEM
             at = np.arange(len(h)) - first[row]
             yield pa.record_batch({"h": pa.array(h[keep].view(np.int64)), "item_id": pa.array(ids[row[keep]], pa.int64()), "ipos": pa.array(at[keep].astype(np.int32))})
 
@@ -78,16 +84,26 @@ def _benchmark_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.record_batch({"item_id": batch.column(0), "item": pa.array([tokens[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()), "n_item": pa.array(np.diff(first).astype(np.int32))})
 
 
-def best_overlap(item: np.ndarray, tokens: np.ndarray, start: int, similarity: float) -> tuple[int, int, int]:
-    """Best stretch of the item along a diagonal: item position, length, matches. start: of the item, in tokens."""
+def best_overlap(item: np.ndarray, tokens: np.ndarray, start: int, similarity: float) -> tuple[int, int, int, int]:
+    """Longest similar stretch of the item along a diagonal (start: of the item, in tokens), the first of equals.
+
+    Item position, length and matches are without different tokens at its edges; the last value is its length with them."""
     a, b = max(0, -start), min(len(item), len(tokens) - start)
+    if a >= b:
+        return a, 0, 0, 0
     same = item[a:b] == tokens[start + a : start + b]
-    penalty = similarity / (1 - similarity)
-    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -penalty))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    begin = int(np.argmin(total[: end + 1]))
-    return a + begin, end - begin, int(same[begin:end].sum())
+    # matches less the share of all tokens, in whole numbers, so that a stretch at the very limit counts
+    share = Fraction(similarity).limit_denominator(1000)
+    total = np.concatenate([[0], np.cumsum(same * share.denominator - share.numerator)])
+    # for each end the earliest prefix that is not larger
+    begins = np.searchsorted(-np.minimum.accumulate(total), -total)
+    sizes = np.arange(len(total)) - begins
+    end = int(np.argmax(sizes))
+    begin, n = int(begins[end]), int(sizes[end])
+    inside = np.flatnonzero(same[begin:end])
+    if not len(inside):
+        return a, 0, 0, 0
+    return a + begin + int(inside[0]), int(inside[-1] - inside[0]) + 1, len(inside), n
 
 
 def contaminated(
@@ -98,7 +114,8 @@ def contaminated(
     items = records(benchmark, item, F.col("text").alias("text")).select(F.col(item).alias("item_id"), "text")
     index = items.mapInArrow(_benchmark_seeds, "h bigint, item_id bigint, ipos int")
     size = index.count()
-    longest = items.mapInArrow(_benchmark_tokens, "item_id bigint, item binary, n_item int").agg(F.max("n_item")).first()[0] or 0
+    longest, short = items.mapInArrow(_benchmark_tokens, "item_id bigint, item binary, n_item int").agg(F.max("n_item"), F.max(F.col("n_item").between(MIN_ITEM, SHORT_ITEM - 1))).first()
+    masks = MASKS + SHORT_MASKS if short else MASKS
     bits = min(30, max(16, (64 * size).bit_length()))
     slot = F.shiftrightunsigned("h", 64 - bits)
     words = index.select(F.shiftrightunsigned(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
@@ -106,7 +123,7 @@ def contaminated(
     for w, b in words.collect():  # at most 2**(bits - 6) rows
         table[w] = np.uint64(b & 0xFFFFFFFFFFFFFFFF)
     shared = spark.sparkContext.broadcast(table)
-    margin = int(longest)
+    margin = int(longest or 0)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -115,7 +132,7 @@ def contaminated(
             for part in slices(batch, "text"):
                 tokens, first = token_hashes(part.column(1))
                 found, at = [], []
-                for number, mask in enumerate(MASKS):
+                for number, mask in enumerate(masks):
                     h = seeds(tokens, mask, number)
                     s = h >> shift
                     pos = np.flatnonzero(table[s >> np.uint64(6)] >> (s & np.uint64(63)) & np.uint64(1))
@@ -156,8 +173,8 @@ def contaminated(
             out = []
             for x in batch.to_pylist():
                 item, tokens = np.frombuffer(x["item"], np.uint64), np.frombuffer(x["tokens"], np.uint64)
-                begin, n, same = best_overlap(item, tokens, x["line"], similarity)
-                if n >= min(min_tokens, max(MIN_ITEM, len(item))):
+                begin, n, same, whole = best_overlap(item, tokens, x["line"], similarity)
+                if whole >= min(min_tokens, max(MIN_ITEM, len(item))):
                     out.append((x["doc_id"], x["item_id"], begin, x["start"] + x["line"] + begin, n, same, len(item)))
             cols = list(zip(*out, strict=True)) if out else [[]] * 7
             kinds = [pa.int64()] * 2 + [pa.int32()] * 5
