@@ -43,8 +43,8 @@ DICTIONARY = (
 _VALUE = r"[A-Za-z0-9_+/=.~!@#$%^&*-]"
 PATTERN = (
     r"(?:\b(?:" + "|".join(x.replace("-", r"\-") for x in PREFIXES) + r")[A-Za-z0-9_.\-]{12,})"
-    r"|(?:(?i:token|secret|passwo?r?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)[\"']?\s{0,2}(?:=>|[:=])\s{0,2}[\"']?[^\s\"'<>,;|]{6,200})"
-    r"|(?:\b(?=[A-Za-z_+/=.-]{0,40}[0-9])[A-Za-z0-9][A-Za-z0-9_+/=.-]{15,})"
+    r"|(?:(?i:token|secret|passwo?r?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)[\"']?\s{0,2}(?:=>|[:=])\s{0,2}[\"']?[^\s\"'<>,;|]{6,}+)"
+    r"|(?:\b(?=[A-Za-z_+/=.-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_+/=.-]{15,}+)"
 )
 #: Left of the value within a match of the second kind.
 ASSIGNED = r"^(?i:token|secret|passwo?r?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)[\"']?\s{0,2}(?:=>|[:=])\s{0,2}[\"']?"
