@@ -66,6 +66,17 @@ def records(df: DataFrame, key: str, *columns: str) -> DataFrame:
     return out.select(key, *rest).groupBy(key).agg(F.min("_row").alias("_row")).select(key, "_row.*")
 
 
+#: Rows of the samples that name the most common hashes, and hashes that they name at most.
+SAMPLE, NAMED = 10_000, 1 << 16
+
+
+def sampled(df: DataFrame, key: str, size: int = SAMPLE) -> DataFrame:
+    """About ``size`` rows, by a hash of the key; all, if there are fewer. Samples only say where rows go or what needs no
+    counting; they never decide a result."""
+    every = max(1, df.count() // size)
+    return df.where(F.pmod(F.xxhash64(F.lit(0x5A), key), F.lit(every)) == 0)
+
+
 def running_total(df: DataFrame, order: Sequence[str], values: dict[str, str], *, by: Sequence[str] = (), kind: str = "bigint") -> DataFrame:
     """Sums of columns over all earlier rows in the given order (of the same ``by`` key, if any). values: column to name of its sum.
 

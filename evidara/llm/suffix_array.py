@@ -1,4 +1,4 @@
-"""A linear suffix array by Lyndon grouping, for integer sequences."""
+"""A suffix array by Lyndon grouping, for integer sequences: linear but for sorting the members of each group by position."""
 
 from __future__ import annotations
 

@@ -2,15 +2,15 @@
 
 Equal strings of ``window`` bytes are found where they can be: every window holds one anchor, the substring of half its length with the
 smallest hash among those in it, and equal windows have equal anchors at equal places. Anchors that occur once are dropped. The
-surroundings of an anchor (all windows that hold it) are a context. Equal contexts count once: the first occurrence in
-order of (doc_id, position) stands for them and all others lose every window of theirs. Where an anchor has several different
-contexts, the bytes of their first occurrences are fetched; a suffix array over these contexts (``suffix_array``: linear,
-by Lyndon groups, over units of 8 bytes that are cut outward from the anchor) brings windows with a common start next to each
+surroundings of an anchor (all windows that hold it) are a context. Equal contexts (anchors with equal hashes, contexts with equal XXH3 of their bytes) count
+once: the first occurrence in order of (doc_id, position) stands for them and all others lose every window of theirs. Where an anchor has several
+different contexts, the bytes of their first occurrences are fetched; a suffix array over these contexts (``suffix_array``:
+Lyndon groups, over units of 8 bytes that are cut outward from the anchor) brings windows with a common start next to each
 other, common-prefix lengths split them into classes of equal windows, and in each class all but the first occurrence are removed.
 
-Every step is a shuffle on the anchor's hash or on doc_id; a task reads its anchors as a sorted stream. Contexts of one anchor
-are solved together; an anchor with more than SPLIT different contexts is solved by parts: its windows share either the 25
-nearest bytes on the left or those on the right, and are dealt by these.
+Every step is a shuffle on the anchor's hash or on doc_id; a task reads its anchors as a sorted stream. No anchor is a hot key: one that a bounded sample
+of the documents names as common is dealt by its contexts too. Contexts of one anchor are solved together, up to SPLIT of them; the windows of
+an anchor with more are digested one by one (128 bits of BLAKE2b) and the first of each is found by a shuffle on the digests.
 
 Results: one row per document, null texts empty. A byte goes if a window over it also starts earlier (smaller doc_id, or same
 document and earlier start); windows are judged on the input. Documents shorter than the window lose nothing.
@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidara.llm.common import dropped, records, written
+import xxhash
+from evidara.llm.common import NAMED, dropped, records, sampled, written
 from evidara.llm.suffix_array import suffix_array
-from evidara.llm.textarrays import _BYTES, buffers, byte_windows, cover, mix, prefix, runs, slices, sliding_argmin, spread
+from evidara.llm.textarrays import among, buffers, byte_windows, cover, digests, mix, runs, slices, sliding_argmin, spread
 from evidara.plans.registry import texts
 
 WINDOW = 100
@@ -36,13 +37,17 @@ SLICE = 1 << 20
 UNIT = 8
 #: Contexts that one suffix array holds, when their anchors have fewer each.
 TOGETHER = 4096
-SPLIT = 20_000
+#: Different contexts of one anchor that one suffix array holds at most; contexts of anchors with more that a task works on at a time.
+SPLIT, AT_ONCE = 8192, 2048
+#: Rows of a sample that make an anchor common, and what marks it in column left.
+OFTEN, COMMON = 10, 1 << 14
+NOTHING = np.zeros(0, dtype=np.uint64)
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept binary"
 
 
-def anchors(docs: DataFrame, window: int) -> DataFrame:
+def anchors(docs: DataFrame, window: int, common: np.ndarray) -> DataFrame:
     """(h, c, doc_id, pos, left, right): hashes of each anchor and of its context, and the context's bytes on both sides. Rows that are not
-    the first of their kind in the slice are known as copies: they have no c, and an h of their own."""
+    the first of their kind in the slice are known as copies: they have no c, and an h of their own. Common anchors have an h for each context, and left + COMMON."""
     k = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,18 +60,18 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
                 at = np.unique(at[row[: len(at)] == row[window - 1 : window - 1 + len(at)]])
                 row = row[at]
                 lo, hi = np.maximum(offsets[row], at - (window - k)), np.minimum(offsets[row + 1], at + window)
-                sums = prefix(data.astype(np.uint64) + np.uint64(1), _BYTES)
-                _, down = _BYTES.to(len(data) + 1)
-                c = mix((sums[hi] - sums[lo]) * down[lo], 0x11) ^ mix((at - lo).astype(np.uint64), 0x12)
+                raw, h = data.tobytes(), h[at]
+                c = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], dtype=np.uint64) ^ mix((at - lo).astype(np.uint64), 0x12)
                 doc = part.column(0).to_numpy()[row]
                 place = np.empty(len(at), np.int64)
                 place[np.lexsort((at, doc))] = np.arange(len(at))
-                both = mix(h[at]) ^ c
+                often = among(h, common)
+                both = mix(h) ^ c
                 later, _, loose = spread(both, order=place)
                 yield pa.record_batch(
                     {
-                        "h": pa.array(np.where(later, loose, h[at]).view(np.int64)), "c": pa.array(c.view(np.int64), mask=later), "doc_id": pa.array(doc, pa.int64()),
-                        "pos": pa.array((at - offsets[row]).astype(np.int32)), "left": pa.array((at - lo).astype(np.int16)), "right": pa.array((hi - at - k).astype(np.int16)),
+                        "h": pa.array(np.where(later, loose, np.where(often, both, h)).view(np.int64)), "c": pa.array(c.view(np.int64), mask=later), "doc_id": pa.array(doc, pa.int64()),
+                        "pos": pa.array((at - offsets[row]).astype(np.int32)), "left": pa.array((at - lo + np.where(often, COMMON, 0)).astype(np.int16)), "right": pa.array((hi - at - k).astype(np.int16)),
                     }
                 )
 
@@ -86,8 +91,9 @@ def contexts(firsts: DataFrame, texts: DataFrame, window: int) -> DataFrame:
                 found = part.column(2)
                 n = np.diff(found.offsets.to_numpy())
                 items = found.flatten()
-                h, pos, left, right = (items.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                pos, left, right = (items.field(i).to_numpy(zero_copy_only=False) for i in range(3))
                 at = np.repeat(offsets[:-1], n) + pos
+                h = byte_windows(data, k)[at].view(np.int64)
                 out = padded[at[:, None] + np.arange(side + window)]
                 cols = np.arange(side + window)
                 out[(cols < (side - left)[:, None]) | (cols >= (side + k + right)[:, None])] = 0
@@ -96,16 +102,15 @@ def contexts(firsts: DataFrame, texts: DataFrame, window: int) -> DataFrame:
                 doc = np.repeat(part.column(0).to_numpy(), n)
                 yield pa.record_batch({"h": pa.array(h), "doc_id": pa.array(doc, pa.int64()), "pos": pa.array(pos), "left": pa.array(left), "right": pa.array(right), "bytes": whole})
 
-    listed = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("h", "pos", "left", "right")).alias("at"))
+    listed = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "left", "right")).alias("at"))
     joined = texts.join(listed, "doc_id").select("doc_id", "text", "at")
     return joined.mapInArrow(run, "h bigint, doc_id bigint, pos int, left smallint, right smallint, bytes binary")
 
 
-def equal_windows(h: np.ndarray, rank: np.ndarray, left: np.ndarray, right: np.ndarray, table: np.ndarray, window: int, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def equal_windows(h: np.ndarray, rank: np.ndarray, left: np.ndarray, right: np.ndarray, table: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows with an earlier equal one in another context: (context, bytes from window start to anchor) pairs.
 
-    table: bytes of the contexts, anchors in the same columns. sides: where contexts stand for their near-left (0) or near-right (1)
-    windows only (2: all)."""
+    table: bytes of the contexts, anchors in the same columns."""
     k = window // 2
     side = window - k
     m = len(h)
@@ -148,8 +153,6 @@ def equal_windows(h: np.ndarray, rank: np.ndarray, left: np.ndarray, right: np.n
             ahead[:, :extra] = table[rows, side - back : side - back + extra]
             _, key = np.unique(np.stack([same.view(np.uint64), ahead.view("<u8")[:, 0]], axis=1), axis=0, return_inverse=True) if extra else (None, same)
             fits = (left[rows] >= back) & (right[rows] >= window - k - back)
-            if sides is not None:
-                fits &= (sides[rows] == 2) | (sides[rows] == (0 if back >= side // 2 else 1))
             own = rows[fits]
             key = key[fits]
             at = np.lexsort((rank[own], key))
@@ -160,17 +163,44 @@ def equal_windows(h: np.ndarray, rank: np.ndarray, left: np.ndarray, right: np.n
     return (np.concatenate(out_context), np.concatenate(out_back)) if out_context else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def digested_ranges(found: DataFrame, window: int) -> DataFrame:
+    """(doc_id, start, end) to remove in the contexts of ``found``, any number of them for one anchor: windows by their digests."""
+    k = window // 2
+    side = window - k
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                doc, pos, left, right = (part.column(x).to_numpy() for x in ("doc_id", "pos", "left", "right"))
+                raw = b"".join(x.as_buffer() for x in part.column("bytes"))
+                back = np.arange(side + 1)
+                row, back = np.nonzero((back <= left[:, None]) & (back >= window - k - right[:, None]))
+                start = row * (side + window) + side - back
+                h1, h2 = digests(raw, start, start + window)
+                # a window that holds several anchors is judged for each of them, at its place in the window
+                h1 ^= mix(part.column("h").to_numpy().view(np.uint64), 0x21)[row] ^ mix(back.astype(np.uint64), 0x22)
+                start = pos[row] - back
+                place = np.empty(len(row), np.int64)
+                place[np.lexsort((start, doc[row]))] = np.arange(len(row))
+                later, _, h1 = spread(h1, second=h2, order=place)
+                yield pa.record_batch({"h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64), mask=later), "doc_id": pa.array(doc[row]), "start": pa.array(start.astype(np.int32))})
+
+    keyed = found.select("h", "doc_id", "pos", "left", "right", "bytes").mapInArrow(cut, "h1 bigint, h2 bigint, doc_id bigint, start int")
+    number = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "start"))
+    return keyed.withColumn("number", number).where("number > 1 or h2 is null").select("doc_id", "start", (F.col("start") + window).cast("int").alias("end"))
+
+
 def mixed_ranges(found: DataFrame, window: int) -> DataFrame:
     """(doc_id, start, end) to remove in the contexts of anchors that have several, from ``contexts`` rows."""
-    side = window - window // 2
 
     def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         batch = pa.Table.from_batches(parts).combine_chunks()
-        h, doc, pos, left, right, sides = (batch.column(x).to_numpy() for x in ("key", "doc_id", "pos", "left", "right", "side"))
+        h, doc, pos, left, right = (batch.column(x).to_numpy() for x in ("h", "doc_id", "pos", "left", "right"))
         table = np.frombuffer(b"".join(x.as_buffer() for x in batch.column("bytes").combine_chunks()), np.uint8).reshape(len(h), -1)
         rank = np.empty(len(h), np.int64)
         rank[np.lexsort((pos, doc))] = np.arange(len(h))
-        context, back = equal_windows(h, rank, left, right, table, window, sides)
+        context, back = equal_windows(h, rank, left, right, table, window)
         order = np.lexsort((back, context))
         context, back = context[order], back[order]
         # neighbouring starts make one range
@@ -199,18 +229,10 @@ def mixed_ranges(found: DataFrame, window: int) -> DataFrame:
         if waiting:
             yield solve(waiting)
 
-    # an anchor with very many contexts is dealt by its nearest bytes on either side
-    sizes = found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT)
-    near = side // 2
-    middle = side + window // 2
-    both = F.array(
-        F.struct(F.xxhash64("h", F.expr(f"substring(bytes, {side - near + 1}, {near})"), F.lit(0)).alias("key"), F.lit(0).alias("side")),
-        F.struct(F.xxhash64("h", F.expr(f"substring(bytes, {middle + 1}, {near})"), F.lit(1)).alias("key"), F.lit(1).alias("side")),
-    )
-    joined = found.join(sizes, "h", "left")
-    dealt = joined.withColumn("x", F.explode(F.when(F.col("n").isNull(), F.array(F.struct(F.col("h").alias("key"), F.lit(2).alias("side")))).otherwise(both)))
-    dealt = dealt.select("x.key", "doc_id", "pos", "left", "right", "x.side", "bytes")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id bigint, start int, end int")
+    many = written(found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select("h"))
+    few = found.join(many, "h", "left_anti").select("h", "doc_id", "pos", "left", "right", "bytes")
+    solved = few.repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc_id bigint, start int, end int")
+    return solved if many.isEmpty() else solved.union(digested_ranges(found.join(many, "h", "left_semi"), window))
 
 
 def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -218,17 +240,18 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     k = window // 2
     texts = records(docs, key, text).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     long_enough = texts.where(F.octet_length("text") >= window)
-    rows = anchors(long_enough, window).repartition("h")
+    often = anchors(sampled(long_enough, "doc_id"), window, NOTHING).groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(NAMED)
+    common = np.sort(np.array([x["h"] for x in often.collect()], dtype=np.int64).view(np.uint64))
+    rows = anchors(long_enough, window, common).repartition("h")
     first = (F.row_number().over(Window.partitionBy("h", "c").orderBy("doc_id", "pos")) == 1) & F.col("c").isNotNull()
     by_anchor = Window.partitionBy("h")
-    rows = rows.withColumn("first", first).withColumn("mixed", F.min("c").over(by_anchor) != F.max("c").over(by_anchor))
+    rows = rows.withColumn("first", first).withColumn("mixed", (F.min("c").over(by_anchor) != F.max("c").over(by_anchor)) | (F.col("left") >= COMMON))
     # of copies only the place matters from here on; a lone first occurrence loses nothing
-    rows = rows.where("not first or mixed").select(F.when(F.col("first"), F.col("h")).alias("h"), "doc_id", "pos", "left", "right")
-    hits = written(rows)
-    copies = hits.where(F.col("h").isNull() & (F.col("left") + F.col("right") >= window - k)).select(
+    hits = written(rows.where("not first or mixed").select("first", "doc_id", "pos", (F.col("left") % COMMON).cast("smallint").alias("left"), "right"))
+    copies = hits.where(~F.col("first") & (F.col("left") + F.col("right") >= window - k)).select(
         "doc_id", (F.col("pos") - F.col("left")).cast("int").alias("start"), (F.col("pos") + k + F.col("right")).cast("int").alias("end")
     )
-    found = written(contexts(hits.where(F.col("h").isNotNull()), long_enough, window))
+    found = written(contexts(hits.where("first"), long_enough, window))
     ranges = copies.union(mixed_ranges(found, window)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("at"))
     ranges = written(ranges)
     dropped(hits)

@@ -8,6 +8,7 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D; a null text is an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,6 @@ class Powers:
 
 _BYTES = Powers(int(BASE))
 _WORDS = Powers(0xD6E8FEB86659FD93)
-_WORDS2 = Powers(0xA0761D6478BD642F)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -117,15 +117,30 @@ def byte_windows(data: np.ndarray, width: int) -> np.ndarray:
     return mix((sums[width:] - sums[:n]) * down[:n], 0xB7)
 
 
-def word_windows(hashes: np.ndarray, width: int, second: bool = False) -> np.ndarray:
-    """Hash of width consecutive word hashes at every start; ``second`` gives an independent hash."""
+def word_windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of width consecutive word hashes at every start."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    powers = _WORDS2 if second else _WORDS
-    sums = prefix(mix(hashes, 0x2545F491) if second else hashes, powers)
-    _, down = powers.to(len(hashes) + 1)
-    return mix((sums[width:] - sums[:n]) * down[:n], 0x63 + second)
+    sums = prefix(hashes, _WORDS)
+    _, down = _WORDS.to(len(hashes) + 1)
+    return mix((sums[width:] - sums[:n]) * down[:n], 0x63)
+
+
+def single_spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All words with one blank after each, and where each starts and ends in there."""
+    sizes = ends - starts
+    after = np.cumsum(sizes + 1)
+    out = np.full(int(after[-1]) if len(after) else 0, 0x20, dtype=np.uint8)
+    out[np.arange(sizes.sum()) + np.repeat(np.arange(len(sizes)), sizes)] = data[~SPACE[data]]
+    return out.tobytes(), after - sizes - 1, after - 1
+
+
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2b of the given byte ranges, 128 bits in two halves: strings with equal digests are equal for all that is known of BLAKE2b."""
+    made = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    halves = np.frombuffer(made, dtype="<u8").reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
 
 
 def runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,6 +171,13 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values the sorted array holds."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def spread(keys: np.ndarray, *, second: np.ndarray | None = None, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What one slice already knows of repeated keys: which rows are not the first of their key in the slice (by ``order``, if
     given), which keys occur more than once in it, and the keys with those of the first kind replaced by numbers of their own.

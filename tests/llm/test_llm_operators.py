@@ -166,11 +166,10 @@ def ids_of(path, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], dtype="<u4") for i, x in rows if i is not None}
 
 
-TRICKY = [(21, "  a  b\n\n c"), (22, " x  y 'S it's I'll #'s"), (23, "a\x1cb \x85 c"), (24, "日本 語 ÀÉ é é"), (25, "<|endoftext|> a"), (26, "x \nB \n\nC.\n\nD\t z "), (27, "foo.\nBar a1b2, É, ÜBER-x")]
+TRICKY = [(21, "  a  b\n\n c"), (22, " x  y 'S it's I'll #'s"), (23, "a\x1cb \x85 c"), (24, "日本 語 ÀÉ é é"), (25, "<|endoftext|> a"), (28, "x <|endoftext|> y<|endoftext|"), (29, "a  <|startoftext|>  b<|ENDOFTEXT|>"), (30, "b  "), (31, "<|endof"), (32, "text|>  c"), (26, "x \nB \n\nC.\n\nD\t z "), (27, "foo.\nBar a1b2, É, ÜBER-x")]
 
 
 @pytest.mark.parametrize("weights", [None, {"a": 3.0, "b": 1.0}, {"zz": 1.0}])
@@ -243,6 +242,39 @@ def test_code_lengths_are_optimal_and_limited(n, limit):
         assert (huffman.Decoder(lengths).decode(payload, checkpoints, m) == ids[:m]).all()
 
 
+def thue_morse(n):
+    """Two words of 2**n letters with equal polynomial hashes modulo 2**64, whatever the odd base."""
+    x = [0]
+    for _ in range(n):
+        x += [1 - y for y in x]
+    return "".join("ab"[y] for y in x), "".join("ba"[y] for y in x)
+
+
+def test_equal_hashes_of_different_words(spark, tmp_path):
+    from evidara.llm.textarrays import buffers, word_hashes, word_spans
+    import pyarrow as pa
+
+    a, b = thue_morse(11)
+    data, offsets = buffers(pa.array([f"{a} {b}"]))
+    starts, ends, _ = word_spans(data, offsets)
+    assert len(set(word_hashes(data, starts, ends).tolist())) == 1
+    rows = [(1, f"{a} {b}"), (2, b), (3, f"x {a} y"), (4, a)]
+    for path in (WORDS, BYTES):
+        want = ids_of(path, rows)
+        huffman.write(docs(spark, rows), f"file://{tmp_path}/{path[-9:]}", path)
+        assert {r.doc_id: bytes(r.ids) for r in huffman.read(spark, f"file://{tmp_path}/{path[-9:]}").collect()} == {i: x.tobytes() for i, x in want.items()}
+    got = collections.defaultdict(dict)
+    for r in packing.pack(docs(spark, rows), WORDS).collect():
+        got[r.doc_id][r.start] = bytes(r.ids)
+    assert {i: b"".join(x for _, x in sorted(p.items())) for i, p in got.items()} == {i: x.tobytes() for i, x in ids_of(WORDS, rows).items()}
+    rest = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, f"{a} {rest[:150]}"), (2, f"{b} {rest[:150]}"), (3, f"q {rest}")]
+    for window in (5, 35):
+        assert {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept)) for r in substring_dedup.remove_repeated(docs(spark, rows), window=window).collect()} == brute_words(rows, window)
+    rows = [(1, f"{a}{rest}"), (2, f"{b}{rest}"), (3, f"{b}{rest}{a}")]
+    assert {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeated(docs(spark, rows)).collect()} == brute_bytes(rows, 100)
+
+
 # windows of words and bytes
 
 
@@ -286,9 +318,11 @@ def brute_bytes(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window,letters,split", [(20, "ab", 20000), (33, "ab \0", 20000), (20, "ab", 3), (100, "abcdé ", 20000)])
+@pytest.mark.parametrize("window,letters,split", [(20, "ab", 20000), (33, "ab \0", 20000), (20, "ab", 3), (33, "ab \0", 0), (100, "abcdé ", 20000)])
 def test_byte_windows(spark, monkeypatch, window, letters, split):
+    """Small SPLIT: windows are digested one by one; small OFTEN: anchors are dealt by their contexts."""
     monkeypatch.setattr(suffix_dedup, "SPLIT", split)
+    monkeypatch.setattr(suffix_dedup, "OFTEN", 1 if split == 0 else 10)
     rng = random.Random(window + split)
     base = ["".join(rng.choice(letters) for _ in range(rng.randint(10, 200))) for _ in range(20)]
     rows = [(i, "".join(rng.choice(base)[rng.randint(0, 9) : rng.randint(10, 200)] + "".join(rng.choice(letters) for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(0, 5)))) for i in range(100)]
