@@ -3,7 +3,8 @@
 A text is the set of its distinct shingles. In any one order of all shingles, two sets with a Jaccard similarity of s or more
 share a shingle among the first n - ceil(s * n) + 1 of each (prefix filter); so the texts of one prefix shingle are all that
 need comparing. The order puts shingles that a bounded sample knows as common last; it decides how large groups get, never
-what is found. Pairs that sizes or parities of 1024 parts of the sets rule out (both are bounds) go first, the rest is compared in full.
+what is found. Sizes, and the parities of counts per hash slot, bound the similarity of a pair from above: pairs that they rule out go first (1024 slots at
+first, then four a shingle), the rest is compared in full.
 
 Each group first links its texts with its smallest one; after that only pairs that no link connects yet are compared, so
 thousands of copies of one text do not produce all their pairs. Equal sets count once.
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import records, written
+from evidara.llm.common import dropped, records, written
 from evidara.llm.components import components
 from evidara.llm.textarrays import LOWER, buffers, mix, slices, word_hashes, word_spans
 
@@ -70,6 +71,13 @@ def prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarr
     return found[:n]
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Parities of the set's counts in its slots (by low bits of the hash), as 64-bit words: four slots a shingle, 64 * WORDS at least,
+    a power of two. Halves fold onto each other by exclusive or."""
+    slots = max(64 * WORDS, 1 << (4 * len(found) - 1).bit_length())
+    return np.packbits((np.bincount((found & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1).astype(np.uint8)).view(np.int64)
+
+
 def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id): components of documents whose shingle sets have the given Jaccard similarity or more."""
     rows = records(docs, key, text).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
@@ -92,18 +100,20 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
         for batch in batches:
             for part in slices(batch, "text"):
                 found = shingle_sets(part.column(1), shingle)
-                parity = [np.packbits((np.bincount((x & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8)).view(np.int64) for x in found]
+                fine = [parities(x) for x in found]
+                parity = [np.bitwise_xor.reduce(x.reshape(-1, WORDS), axis=0) for x in fine]
                 yield pa.record_batch(
                     {
                         "doc_id": part.column(0),
                         "n": pa.array([len(x) for x in found], pa.int32()),
                         "same": pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary()),
                         "parity": pa.array(parity, pa.list_(pa.int64())),
+                        "fine": pa.array(fine, pa.list_(pa.int64())),
                         "prefix": pa.array([prefix(x, common, similarity).view(np.int64) for x in found], pa.list_(pa.int64())),
                     }
                 )
 
-    made = written(rows.mapInArrow(sketches, "doc_id bigint, n int, same binary, parity array<bigint>, prefix array<bigint>"))
+    made = written(rows.mapInArrow(sketches, "doc_id bigint, n int, same binary, parity array<bigint>, fine array<bigint>, prefix array<bigint>"))
     classes = written(made.groupBy("same").agg(F.min("doc_id").alias("first_doc")))
     sketch = made.select("doc_id", "n", "parity")
     entries = made.join(classes.select(F.col("first_doc").alias("doc_id")), "doc_id", "left_semi").select(F.explode("prefix").alias("h"), "doc_id")
@@ -138,7 +148,11 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs that are similar enough."""
-        pairs = written(pairs)
+        fine = lambda name: made.select(F.col("doc_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("fine").alias(f"f_{name}"))
+        least = F.least(F.size("f_a"), F.size("f_b"))
+        fold = lambda x: F.when(F.size(x) > least, F.zip_with(F.slice(x, 1, least), F.slice(x, least + 1, least), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+        different = F.aggregate(F.zip_with(fold("f_a"), fold("f_b"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
+        pairs = written(pairs.join(fine("a"), "a").join(fine("b"), "b").where(different <= (F.col("n_a") + F.col("n_b")) * (1 - similarity) / (1 + similarity) + 1e-6).select("a", "b"))
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         # a bit table of the ids (up to 2**30 bits) keeps the other texts out; it drops none of these
         bits = min(30, max(16, (16 * ids.count()).bit_length()))
@@ -170,7 +184,10 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
                 yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
         of = lambda name: full.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"s_{name}"))
-        return written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(check, "a bigint, b bigint"))
+        checked = written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(check, "a bigint, b bigint"))
+        dropped(full)
+        dropped(pairs)
+        return checked
 
     stars = shared.where("doc_id <> low").select(F.col("low").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b")).distinct()
     links = verified(stars.join(side("a"), "doc_id_a").join(side("b"), "doc_id_b").where(may).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")))
@@ -183,6 +200,8 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
     end = lambda name: rest.select("h", *[F.col(c).alias(f"{c}_{name}") for c in ("doc_id", "component", "n", "parity")])
     more = end("a").join(end("b"), "h").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & may)
     more = verified(more.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct())
+    for table in (shared, member, found, rest):
+        dropped(table)
     found = components(links.union(more)).withColumnRenamed("node", "first_doc")
     # components are of the smallest documents of equal sets, and so is the smallest document of each
     named = classes.join(found, "first_doc", "left").select("same", F.coalesce("component", "first_doc").alias("component_id"))

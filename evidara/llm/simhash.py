@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from evidara.llm.common import records, written
 from evidara.llm.components import components
+from evidara.llm.near_copies import near_copies
 from evidara.plans.registry import texts
 
 DISTANCE = 2
@@ -115,9 +116,14 @@ def links(distinct: DataFrame, *, partitions: int | None = None) -> DataFrame:
     return parts.sortWithinPartitions("bucket").mapInArrow(connect, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): the component is the smallest doc_id reachable over links, the document's own included."""
-    prints = written(fingerprints(docs, key=key, text=text))
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, component_id): the component is the smallest doc_id reachable over links, the document's own included.
+
+    With ``similarity`` texts link whose shingle sets have that Jaccard similarity (and there is no fp): most such pairs have fingerprints too far
+    apart for Hamming balls, so their candidates come from ``near_copies``, which misses none."""
+    if similarity is not None:
+        return near_copies(docs, key=key, text=text, shingle=shingle, similarity=similarity)
+    prints = written(fingerprints(docs, key=key, text=text, shingle=shingle))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
     found = components(links(classes.select("fp")))
     # components are of fingerprints; the smallest doc_id of the whole component names it
