@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import decontamination, language_id, near_copies, packing, secrets
+from evidara.llm import decontamination, language_id, packing, secrets, simhash
 from evidara.llm.common import written
 
 #: SQL cannot express components of near copies over a tokenizer's ids; tests/llm compares run() with a brute-force version.
@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = near_copies.near_copies(docs).where("doc_id <> component_id").select("doc_id")
+    others = simhash.near_duplicates(docs, shingle=5, similarity=0.8).where("doc_id <> component_id").select("doc_id")
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
