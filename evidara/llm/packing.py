@@ -1,16 +1,20 @@
 """Mixture-controlled packing: deficit round-robin over source queues, windows filled to target proportions.
 
-Each source is a queue of its documents' token ids. Windows of ``size`` tokens take from every queue its target share;
+Each source is a queue of its documents' token ids, in order of doc_id. Windows of ``size`` tokens take from every queue its target share;
 what rounding leaves of a share is the queue's deficit and goes to later windows. The scheduler has a closed form: after y tokens in all, a
 queue has been given the share of y that a balanced tree of the queues hands down, each node giving its left half floor(y * left / all) and its
 right half the rest. That grows with y, adds up to y exactly, and stays within one token a level of the target, so any task can place
 any document knowing only the queue totals: deficits carry across windows and partitions alike. When a queue with a target above its supply runs dry, the
-others share on in their proportions (a new phase). By default the targets are the supplies, so that all queues end together.
+others share on in their proportions (a new phase).
+
+Targets are given by source (``weights``; sources that it does not name share one queue, which comes after all others), or are the supplies to a power:
+1 spreads every source evenly over all windows, less gives small sources more of the early windows. Then the QUEUES sources with the most
+documents have queues of their own and all others share one more. No source ever shares a queue with a named one.
 
 The last, partial window is cut into sequences of powers of two, which need no padding.
 
-Results: one row per piece; a null or empty text still has its end id; a null source is a queue of its own; an empty
-table gives no rows. Beyond MAX_QUEUES sources, sources share queues by hash.
+Results: one row per piece; a null or empty text still has its end id; a null source is a source of its own; an empty
+table gives no rows. Sequences depend on the table alone, not on how it is dealt over partitions or machines.
 """
 
 from __future__ import annotations
@@ -27,10 +31,11 @@ from pyspark.sql import functions as F
 from evidara.llm.common import records, written
 from evidara.llm.textarrays import slices
 from evidara.llm.tokens import END_ID, binary, encoder, id_width
-from evidara.plans.registry import texts
 
 SIZE = 4096
-MAX_QUEUES = 10_000
+QUEUES = 1024
+#: Power of the supplies that are the query's targets.
+POWER = 0.7
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
@@ -43,6 +48,9 @@ class Phase:
     supply: list[int]
     used: list[int]
 
+    def __post_init__(self):
+        self.sums = np.concatenate([[0], np.cumsum(np.array(self.supply, dtype=np.int64))])
+
 
 def phases(totals: list[int], weights: list[float] | None = None) -> list[Phase]:
     """Phases from queue totals and target weights (default: the totals). A queue without weight comes last of all."""
@@ -65,7 +73,7 @@ def phases(totals: list[int], weights: list[float] | None = None) -> list[Phase]
 
 def given(phase: Phase, queue: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that a queue, and all queues before it, have been given after y tokens of the phase."""
-    sums = np.concatenate([[0], np.cumsum(np.array(phase.supply, dtype=object))])
+    sums = phase.sums
     y = y.astype(object) if phase.total >= 1 << 31 else y.astype(np.int64)
     before, lo, hi = y * 0, 0, len(phase.supply)
     while hi - lo > 1:
@@ -125,49 +133,62 @@ def cut(plan: list[Phase], queue: int, lo: int, hi: int, size: int) -> tuple[np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def tokenised(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", source: str = "source", end: int = END_ID) -> DataFrame:
-    """(queue, own, doc_id, n, ids, part): ids little-endian, two bytes each if the vocabulary allows, else four; own: ids
-    before the document's in its part's queue."""
+def queued(docs: DataFrame, *, key: str, text: str, source: str, named: list[str | None] | None) -> tuple[DataFrame, list[str | None]]:
+    """(queue, doc_id, text) and the sources that have queues of their own, by queue number; the next number is for all others."""
+    spark = docs.sparkSession
+    rows = records(docs.select(key, text, source), key, text, source).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"))
+    if named is None:
+        most = rows.groupBy("source").count().orderBy(F.desc("count"), "source").limit(QUEUES)
+        named = [x["source"] for x in most.collect()]
+    named = sorted(named, key=lambda x: (x is not None, x))
+    numbers = spark.createDataFrame([(x, i) for i, x in enumerate(named)], "_source string, queue int")
+    found = rows.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("_source")), "left")  # QUEUES rows, or those of the weights
+    return found.select(F.coalesce("queue", F.lit(len(named))).alias("queue"), "doc_id", "text"), named
+
+
+def tokenised(rows: DataFrame, tokenizer: str, end: int = END_ID) -> DataFrame:
+    """(queue, own, doc_id, n, ids, part) in order of queue and doc_id over parts; ids little-endian, two bytes each if the vocabulary
+    allows, else four; own: ids before the document's in its part's queue."""
     width = id_width(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, int] = {}
+        sums: dict[int, int] = {}
         own = encoder(tokenizer)
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, bounds = own.encode(part.column(1), end)
+                ids, bounds = own.encode(part.column(2), end)
                 before = []
                 sizes = np.diff(bounds)
-                for q, n in zip(part.column(2).to_pylist(), sizes.tolist(), strict=True):
+                for q, n in zip(part.column(0).to_pylist(), sizes.tolist(), strict=True):
                     before.append(sums.get(q, 0))
                     sums[q] = before[-1] + n
-                yield pa.record_batch([part.column(2), pa.array(before, pa.int64()), part.column(0), pa.array(sizes), binary(ids.astype(width), bounds)], names=["queue", "own", "doc_id", "n", "ids"])
+                yield pa.record_batch([part.column(0), pa.array(before, pa.int64()), part.column(1), pa.array(sizes), binary(ids.astype(width), bounds)], names=["queue", "own", "doc_id", "n", "ids"])
 
-    rows = records(docs, key, text, source)
-    if rows.select(source).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        queue = F.concat(F.lit("h"), F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string"))
-    else:
-        queue = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
-    rows = rows.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), queue.alias("queue"))
-    return rows.mapInArrow(run, "queue string, own bigint, doc_id bigint, n bigint, ids binary").withColumn("part", F.spark_partition_id())
+    ordered = rows.repartitionByRange("queue", "doc_id").sortWithinPartitions("queue", "doc_id")
+    return ordered.mapInArrow(run, "queue int, own bigint, doc_id bigint, n bigint, ids binary").withColumn("part", F.spark_partition_id())
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", source: str = "source", size: int = SIZE, end: int = END_ID, weights: dict[str | None, float] | None = None
-) -> DataFrame:
+    docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", source: str = "source", size: int = SIZE, end: int = END_ID,
+    weights: dict[str | None, float] | None = None, power: float = 1.0,
+) -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
-    weights: target proportion of each source; sources that it does not name come after all others."""
-    table = written(tokenised(docs, tokenizer, key=key, text=text, source=source, end=end))
+    weights: target proportion of each source; without, targets are the supplies to the given power."""
+    rows, named = queued(docs, key=key, text=text, source=source, named=None if weights is None else list(weights))
+    table = written(tokenised(rows, tokenizer, end))
     sums = table.groupBy("part", "queue").agg(F.sum("n").alias("n"))
-    totals = {x["queue"]: x["n"] for x in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES rows at most
-    names = sorted(totals)
-    number = {x: i for i, x in enumerate(names)}
-    wanted = None if weights is None else {"n" if k is None else f"s{k}": float(v) for k, v in weights.items()}
-    plan = phases([totals[x] for x in names], None if wanted is None else [wanted.get(x, 0.0) for x in names])
+    totals = [0] * (len(named) + 1)
+    for x in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # one row a queue
+        totals[x["queue"]] = x["n"]
+    if weights is not None:
+        plan = phases(totals, [float(weights[x]) for x in named] + [0.0])
+    else:
+        plan = phases(totals, None if power == 1 else [float(n) ** power for n in totals])
     earlier = F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     before = sums.select("part", "queue", F.coalesce(earlier, F.lit(0)).alias("before"))
-    placed = table.join(before, ["part", "queue"]).select("queue", (F.col("before") + F.col("own")).alias("at"), "doc_id", "n", "ids")
+    # parts are ranges of queues: there are fewer rows than parts and queues together
+    placed = table.join(F.broadcast(before), ["part", "queue"]).select("queue", (F.col("before") + F.col("own")).alias("at"), "doc_id", "n", "ids")
 
     width = id_width(tokenizer)
 
@@ -183,7 +204,7 @@ def pack(
                     j += 1
                 run = order[i:j]
                 lo, hi = at[run[0]], at[run[-1]] + n[run[-1]]
-                pos, seq, offset = cut(plan, number[q], lo, hi, size)
+                pos, seq, offset = cut(plan, q, lo, hi, size)
                 for d in run:
                     raw = np.frombuffer(ids[d].as_buffer(), dtype=width).astype("<u4").tobytes()
                     a, b = at[d], at[d] + n[d]
@@ -204,4 +225,4 @@ def pack(
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(texts(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), power=POWER).drop("ids")

@@ -201,6 +201,46 @@ def test_packing(spark, weights):
         assert abs(n["a"] - 192) <= 3 and abs(n["b"] - 64) <= 3 and not n["c"] and not n[None]
 
 
+def test_packing_ignores_partitions(spark):
+    df = docs(spark, [(i, t, None, "abcde"[i % 5]) for i, t in corpus(9, 80)])
+    made = [sorted(map(tuple, packing.pack(df.repartition(n), WORDS, size=128, power=0.5).drop("ids").collect())) for n in (1, 7)]
+    assert made[0] == made[1]
+
+
+def test_more_sources_than_queues(spark, monkeypatch):
+    """Sources without a queue of their own share one: named targets hold however many sources there are."""
+    monkeypatch.setattr(packing, "QUEUES", 2)
+    rows = [(i, "word " * 20, None, f"s{i % 6}") for i in range(120)]
+    got = packing.pack(docs(spark, rows), WORDS, size=64, weights={"s0": 3.0, "s1": 1.0}).collect()
+    first = collections.Counter()
+    for r in got:
+        if r.sequence_id == 0:
+            first[r.doc_id % 6] += r.length
+    assert first == {0: 48, 1: 16}
+    assert sum(r.length for r in packing.pack(docs(spark, rows), WORDS, size=64).collect()) == 120 * 21
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_closed_form_follows_a_literal_deficit_round_robin(seed):
+    """Quantum by quantum: each queue's deficit grows by its share of a window; whole tokens go out, the largest deficits fill the window."""
+    rng = random.Random(seed)
+    supply = [rng.choice((1, 50, 4000, 100000)) + rng.randrange(100) for _ in range(rng.randint(1, 20))]
+    (phase,) = packing.phases(supply)
+    total, size = sum(supply), 512
+    deficit, sent = [0.0] * len(supply), [0] * len(supply)
+    for window in range(1, total // size + 1):
+        for q, n in enumerate(supply):
+            deficit[q] += size * n / total
+        take = [int(d) for d in deficit]
+        for q in sorted(range(len(supply)), key=lambda q: int(deficit[q]) - deficit[q])[: size - sum(take)]:
+            take[q] += 1
+        deficit = [d - n for d, n in zip(deficit, take, strict=True)]
+        sent = [a + b for a, b in zip(sent, take, strict=True)]
+        closed = [int(packing.given(phase, q, np.array([window * size]))[0][0]) for q in range(len(supply))]
+        assert sum(closed) == sum(sent) == window * size
+        assert all(abs(a - b) <= len(supply).bit_length() + 2 for a, b in zip(closed, sent, strict=True))
+
+
 def test_packing_nothing(spark):
     assert packing.pack(docs(spark, []), WORDS).count() == 0
 
@@ -373,6 +413,28 @@ def test_top_k(spark, monkeypatch, case):
     assert got == brute_top(rows, 10)
 
 
+def test_top_k_reads_doubles(spark):
+    """Components that single precision would round to another integer."""
+    rng = random.Random(4)
+    rows = [(i, [(rng.randrange(10**6) - 1e-7) / 1024 for _ in range(4)]) for i in range(40)] + [(50, [1e300, 0.0, 0.0, 0.0])]
+    ok = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    got = knn_join.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 3 == 0).collect()
+    top = lambda q: sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(ok[q], v, strict=True)))), i) for i, v in ok.items() if i != q)[:10]
+    assert {tuple(r) for r in got} == {(q, n + 1, i, -s) for q in ok if q % 3 == 0 for n, (s, i) in enumerate(top(q))}
+
+
+def test_queries_go_only_where_they_may_find(spark, monkeypatch):
+    """Clustered vectors: far fewer query rows are sent than queries times blocks."""
+    monkeypatch.setattr(knn_join, "PER_CELL", 50)
+    monkeypatch.setattr(knn_join, "BLOCK", 50)
+    monkeypatch.setattr(knn_join, "QUERIES", 10)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 2)) * 100
+    rows = [(i, [float(x) for x in centres[i % 20] + rng.normal(size=2) * 0.01]) for i in range(2000)]
+    got = {tuple(r) for r in knn_join.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 3 == 0).collect()}
+    assert got == brute_top(rows, 10)
+
+
 # chat
 
 
