@@ -4,8 +4,8 @@ Pivots are a bounded sample of the vectors. Every vector belongs to the cell of
 radius. With q a query, p a cell's pivot and r the distance of a vector from it, q.p - |q| r <= q.x <= q.p + |q| r. So the summaries
 give each query a score that its k-th best reaches at least (as does its k-th best among the sampled vectors), and each group of
 queries, which are grouped by pivots too, the least radius that a vector of each cell must have to matter. Only those vectors are replicated to the
-group. Cells and groups are dealt into blocks of bounded size, so a vector that a third of all rows repeat is many blocks; each
-block pair is solved by one matrix product, and the block winners are merged.
+group, and a query is sent only to blocks that reach out far enough for it. Cells are dealt into rings and groups into blocks of bounded size, so a vector that a
+third of all rows repeat is many blocks; each block pair is solved by one matrix product, and the block winners are merged.
 
 Results: per query the k highest scores, ties to the smaller id, all if there are fewer; a query is not its own candidate.
 Vectors that are null or hold a null or non-finite component take no part; shorter vectors count as filled up with zeros. A
@@ -29,6 +29,7 @@ SCALE = 1024
 SAMPLE, PIVOTS, PER_CELL = 1024, 512, 1500
 #: Rows of data, and of queries, that one block pair holds about.
 BLOCK, QUERIES = 4096, 512
+RINGS = 32
 EXACT = float(1 << 53)
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 FOUND = "query_id bigint, vec_id bigint, score bigint"
@@ -68,11 +69,13 @@ def top(queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray, data: np.
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score for every row of ``vectors`` where ``is_query`` (an expression over vec_id)."""
     usable = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = records(vectors, key, vector).select(F.col(key).alias("vec_id"), F.col(vector).cast("array<float>").alias("v")).where(usable)
+    # single-precision components stay so; everything else is read as double
+    real = "float" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    rows = records(vectors, key, vector).select(F.col(key).alias("vec_id"), F.col(vector).cast(f"array<{real}>").alias("v")).where(usable)
     shape = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.count_if(is_query).alias("q")).first()
     n, dim, n_queries = shape["n"], max(shape["dim"] or 1, 1), shape["q"]
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas() if n else rows.limit(0).toPandas()
-    marks = matrix(pa.array(list(sample["v"]), pa.list_(pa.float32())), dim) if len(sample) else np.zeros((1, dim))
+    marks = matrix(pa.array(list(sample["v"]), pa.list_(pa.float32() if real == "float" else pa.float64())), dim) if len(sample) else np.zeros((1, dim))
     mark_ids = sample["vec_id"].to_numpy() if len(sample) else np.array([-1])
     distinct = np.sort(np.unique(marks, axis=0, return_index=True)[1])
     pivots = marks[distinct[: min(PIVOTS, max(1, n // PER_CELL))]]
@@ -88,7 +91,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, *, key: str = "vec_
             cell, radius = nearest(matrix(batch.column(1), dim), pivots)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(radius)], names=["vec_id", "v", "cell", "radius"])
 
-    data = written(rows.mapInArrow(assign, "vec_id bigint, v array<float>, cell int, radius double"))
+    data = written(rows.mapInArrow(assign, f"vec_id bigint, v array<{real}>, cell int, radius double"))
     summary = {x["cell"]: x for x in data.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("radius")).collect()}  # PIVOTS rows at most
     cells = np.array(sorted(summary), dtype=np.int64)
     counts = np.array([summary[c]["n"] for c in cells])
@@ -124,17 +127,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, *, key: str = "vec_
                 }
             )
 
-    asked = written(data.where(is_query).select("vec_id", "v").mapInArrow(bounds, "query_id bigint, v array<float>, least double, group int, need array<double>"))
+    asked = written(data.where(is_query).select("vec_id", "v").mapInArrow(bounds, f"query_id bigint, v array<{real}>, least double, group int, need array<double>"))
     # blocks of queries, and for each the least radius in every cell
     share = asked.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))
     asked = asked.join(share, "group").withColumn("qblock", F.concat_ws("-", "group", F.pmod(F.xxhash64("query_id"), "parts")))
     reach = asked.select("qblock", F.posexplode("need").alias("c", "need")).groupBy("qblock", "c").agg(F.min("need").alias("need"))
-    reach = reach.select("qblock", F.element_at(F.array(*[F.lit(int(c)) for c in cells] or [F.lit(0)]), F.col("c") + 1).alias("cell"), "need")
-    parts = data.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    dealt = data.join(parts, "cell").withColumn("dblock", F.pmod(F.xxhash64("vec_id"), "parts"))
-    sent = dealt.join(reach, "cell").where(F.col("radius") >= F.col("need") * (1 - 1e-9) - 1e-9).select("qblock", "cell", "dblock", "vec_id", "v")
-    pairs = reach.join(parts, "cell").withColumn("dblock", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    posed = pairs.select("qblock", "cell", "dblock").join(asked.select("qblock", "query_id", "v", "least"), "qblock")
+    # a block of queries meets only cells that reach out as far as it needs
+    of_cell = lambda values: F.element_at(F.array(*[F.lit(x) for x in values] or [F.lit(0)]), F.col("c") + 1)
+    met = F.col("need") * (1 - 1e-9) - 1e-9
+    reach = reach.where(met <= of_cell(float(x) for x in radii)).select("qblock", of_cell(int(c) for c in cells).alias("cell"), "need")
+    # blocks of a cell are rings about its pivot, cut further by id if there are more than RINGS
+    cuts = [i / RINGS for i in range(1, RINGS)]
+    parts = data.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.percentile_approx("radius", cuts).alias("cuts"))
+    ring = F.floor(F.size(F.filter("cuts", lambda x: x < F.col("radius"))) * F.least("parts", F.lit(RINGS)) / RINGS)
+    dealt = data.join(F.broadcast(parts), "cell")  # PIVOTS rows at most
+    dealt = dealt.withColumn("dblock", ring * F.ceil(F.col("parts") / RINGS) + F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("parts") / RINGS)))
+    blocks = dealt.groupBy("cell", "dblock").agg(F.max("radius").alias("far"))
+    sent = dealt.join(reach, "cell").where(F.col("radius") >= met).select("qblock", "cell", "dblock", "vec_id", "v")
+    # a query goes to the blocks that reach out as far as it needs
+    each = asked.select("qblock", "query_id", "v", "least", F.posexplode("need").alias("c", "need")).where(met <= of_cell(float(x) for x in radii))
+    each = each.withColumn("cell", of_cell(int(c) for c in cells))
+    posed = each.join(blocks, "cell").where(F.col("far") >= met).select("qblock", "cell", "dblock", "query_id", "v", "least")
     posed = posed.select(*[F.col(c).alias(c) for c in posed.columns])  # columns of its own beside those of sent
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
