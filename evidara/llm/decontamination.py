@@ -3,12 +3,15 @@
 Tokens are lower-cased runs of letters, digits and non-ASCII bytes. A mask names the token positions of a short span
 that count; the others are ignored, so a hit survives substitutions at them. Hashes of all masks at all positions of the
 benchmark are joined with those of the training texts. Every joined hit fixes a diagonal (where the item would start in the
-document), and along it the longest substitution-tolerant overlap is found: the longest stretch of which at
-least 80 % agree.
+document), and along it the substitution-tolerant overlaps are found: the longest stretch of which at
+least 80 % agree, then the longest to its left and right, and so on.
 
-Before the join a bit table of the benchmark's hashes (its size follows the benchmark, up to 2**30 bits) drops
+Before the join a bit table of the benchmark's hashes (its size follows the benchmark, up to 2**MOST_BITS bits) drops
 training hashes that cannot join; it never drops one that can. Documents are read once: around their remaining hits they
-hand on the token hashes that the check needs.
+hand on the token hashes that the check needs. A small benchmark's hashes are broadcast, so a seed that all documents
+hold is no hot key; those of a large one are dealt with SALT copies of each.
+
+Tokens are known by a real hash (XXH64), and an overlap is a run of equal hashes.
 
 Results: one row per document, item and overlap (item_start, doc_start, length in tokens, matches). An overlap counts when it has
 13 tokens, or the whole item if that is shorter (5 at least); different tokens at its edges count there but are not reported. Null or empty texts match nothing; an empty benchmark gives an
@@ -24,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from evidara.llm.common import records, written
-from evidara.llm.textarrays import LOWER, buffers, mix, slices, word_hashes, word_spans
+from evidara.llm.textarrays import LOWER, buffers, mix, slices, word_spans
 from evidara.plans.registry import texts
 
 #: Fixed masks over consecutive tokens: 1 counts, 0 is ignored.
@@ -37,15 +41,20 @@ SHORT_ITEM = 7
 MIN_TOKENS = 13
 MIN_ITEM = 5
 SIMILARITY = 0.8
+#: Bits of the largest bit table; bits of a block of it, as it is made and collected.
+MOST_BITS, BLOCK_BITS = 28, 15
+#: Benchmark hashes that are broadcast at most; copies of each beyond that.
+FEW, SALT = 2_000_000, 16
 OUTSIDE = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 
 
 def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every token of a batch, and the index of each row's first token (one more than rows)."""
+    """XXH64 of every token of a batch, and the index of each row's first token (one more than rows)."""
     data, offsets = buffers(column)
     data = LOWER[data]
     starts, ends, first = word_spans(data, offsets, OUTSIDE)
-    return word_hashes(data, starts, ends), first
+    raw = data.tobytes()
+    return np.array([xxh64_intdigest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64), first
 
 
 def seeds(tokens: np.ndarray, mask: str, number: int) -> np.ndarray:
@@ -84,26 +93,57 @@ def _benchmark_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.record_batch({"item_id": batch.column(0), "item": pa.array([tokens[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()), "n_item": pa.array(np.diff(first).astype(np.int32))})
 
 
-def best_overlap(item: np.ndarray, tokens: np.ndarray, start: int, similarity: float) -> tuple[int, int, int, int]:
-    """Longest similar stretch of the item along a diagonal (start: of the item, in tokens), the first of equals.
-
-    Item position, length and matches are without different tokens at its edges; the last value is its length with them."""
-    a, b = max(0, -start), min(len(item), len(tokens) - start)
-    if a >= b:
-        return a, 0, 0, 0
-    same = item[a:b] == tokens[start + a : start + b]
+def longest(same: np.ndarray, share: Fraction) -> tuple[int, int]:
+    """Begin and end of the longest stretch in which at least that share is true, the first of equals."""
     # matches less the share of all tokens, in whole numbers, so that a stretch at the very limit counts
-    share = Fraction(similarity).limit_denominator(1000)
     total = np.concatenate([[0], np.cumsum(same * share.denominator - share.numerator)])
     # for each end the earliest prefix that is not larger
     begins = np.searchsorted(-np.minimum.accumulate(total), -total)
-    sizes = np.arange(len(total)) - begins
-    end = int(np.argmax(sizes))
-    begin, n = int(begins[end]), int(sizes[end])
-    inside = np.flatnonzero(same[begin:end])
-    if not len(inside):
-        return a, 0, 0, 0
-    return a + begin + int(inside[0]), int(inside[-1] - inside[0]) + 1, len(inside), n
+    end = int(np.argmax(np.arange(len(total)) - begins))
+    return int(begins[end]), end
+
+
+def overlaps(item: np.ndarray, tokens: np.ndarray, start: int, similarity: float, least: int) -> list[tuple[int, int, int]]:
+    """Similar stretches of ``least`` tokens or more along a diagonal (start: of the item, in tokens): item position, length and matches,
+    without different tokens at their edges."""
+    low, high = max(0, -start), min(len(item), len(tokens) - start)
+    same = item[low:high] == tokens[start + low : start + high] if low < high else np.zeros(0, bool)
+    share, out, open_ = Fraction(similarity).limit_denominator(1000), [], [(0, len(same))]
+    while open_:
+        a, b = open_.pop()
+        if b - a < least:
+            continue
+        begin, end = longest(same[a:b], share)
+        inside = np.flatnonzero(same[a + begin : a + end])
+        if end - begin < least or not len(inside):
+            continue
+        out.append((low + a + begin + int(inside[0]), int(inside[-1] - inside[0]) + 1, len(inside)))
+        open_ += [(a, a + begin), (a + end, b)]
+    return sorted(out)
+
+
+def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Which top ``bits`` bits occur among the hashes ``h``, as 64-bit words. Made in blocks by tasks; the driver sees blocks alone, 2**bits bits in all."""
+    words = 1 << (BLOCK_BITS - 6)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            number = (slot >> np.uint64(BLOCK_BITS)).astype(np.int64)
+            word = ((slot >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64)
+            at, place = np.unique(number, return_inverse=True)
+            table = np.zeros((len(at), words), dtype=np.uint64)
+            np.bitwise_or.at(table, (place, word), np.uint64(1) << (slot & np.uint64(63)))
+            for x, row in zip(at.tolist(), table, strict=True):
+                blocks[x] = blocks[x] | row if x in blocks else row
+        yield pa.record_batch({"block": pa.array(list(blocks), pa.int64()), "bits": pa.array([x.tobytes() for x in blocks.values()], pa.binary())})
+
+    dealt = hashes.select("h").repartition(F.shiftrightunsigned("h", 64 - bits + BLOCK_BITS))
+    out = np.zeros(((1 << bits) // 64 + words - 1) // words * words, dtype=np.uint64).reshape(-1, words)
+    for x in dealt.mapInArrow(fill, "block bigint, bits binary").toLocalIterator():
+        out[x["block"]] = np.frombuffer(x["bits"], np.uint64)
+    return out.reshape(-1)
 
 
 def contaminated(
@@ -114,16 +154,11 @@ def contaminated(
     items = records(benchmark, item, F.col("text").alias("text")).select(F.col(item).alias("item_id"), "text")
     index = items.mapInArrow(_benchmark_seeds, "h bigint, item_id bigint, ipos int")
     size = index.count()
-    longest, short = items.mapInArrow(_benchmark_tokens, "item_id bigint, item binary, n_item int").agg(F.max("n_item"), F.max(F.col("n_item").between(MIN_ITEM, SHORT_ITEM - 1))).first()
+    most, short = items.mapInArrow(_benchmark_tokens, "item_id bigint, item binary, n_item int").agg(F.max("n_item"), F.max(F.col("n_item").between(MIN_ITEM, SHORT_ITEM - 1))).first()
     masks = MASKS + SHORT_MASKS if short else MASKS
-    bits = min(30, max(16, (64 * size).bit_length()))
-    slot = F.shiftrightunsigned("h", 64 - bits)
-    words = index.select(F.shiftrightunsigned(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    table = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    for w, b in words.collect():  # at most 2**(bits - 6) rows
-        table[w] = np.uint64(b & 0xFFFFFFFFFFFFFFFF)
-    shared = spark.sparkContext.broadcast(table)
-    margin = int(longest or 0)
+    bits = min(MOST_BITS, max(16, (64 * size).bit_length()))
+    shared = spark.sparkContext.broadcast(bit_table(index, bits))
+    margin = int(most or 0)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -164,17 +199,24 @@ def contaminated(
     regions = written(texts.mapInArrow(hits, "doc_id bigint, start int, tokens binary, hashes array<bigint>, at array<int>"))
     # one row per region, item and diagonal, however many seeds hit on it
     hit = regions.select("doc_id", "start", F.explode(F.arrays_zip("hashes", "at")).alias("x")).select("doc_id", "start", F.col("x.hashes").alias("h"), F.col("x.at").alias("at"))
-    lines = hit.join(index, "h").select("doc_id", "start", "item_id", (F.col("at") - F.col("ipos")).alias("line")).groupBy("doc_id", "start", "item_id", "line").agg(F.count("*").alias("n_hits"))
+    if size <= FEW:
+        met = hit.join(F.broadcast(index), "h")
+    else:
+        copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        met = hit.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALT)).cast("int")).join(copies, ["h", "salt"])
+    lines = met.select("doc_id", "start", "item_id", (F.col("at") - F.col("ipos")).alias("line")).groupBy("doc_id", "start", "item_id", "line").agg(F.count("*").alias("n_hits"))
     lines = lines.join(items.mapInArrow(_benchmark_tokens, "item_id bigint, item binary, n_item int"), "item_id")
-    checked = lines.join(regions.select("doc_id", "start", "tokens"), ["doc_id", "start"])
+    # a line takes along only the tokens beside the item
+    beside = F.substr("tokens", F.greatest("line", F.lit(0)) * 8 + 1, (F.col("n_item") + F.least("line", F.lit(0))) * 8)
+    checked = lines.join(regions.select("doc_id", "start", "tokens"), ["doc_id", "start"]).select("doc_id", "start", "item_id", "line", "item", beside.alias("tokens"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for x in batch.to_pylist():
                 item, tokens = np.frombuffer(x["item"], np.uint64), np.frombuffer(x["tokens"], np.uint64)
-                begin, n, same, whole = best_overlap(item, tokens, x["line"], similarity)
-                if whole >= min(min_tokens, max(MIN_ITEM, len(item))):
+                least = min(min_tokens, max(MIN_ITEM, len(item)))
+                for begin, n, same in overlaps(item, tokens, min(x["line"], 0), similarity, least):
                     out.append((x["doc_id"], x["item_id"], begin, x["start"] + x["line"] + begin, n, same, len(item)))
             cols = list(zip(*out, strict=True)) if out else [[]] * 7
             kinds = [pa.int64()] * 2 + [pa.int32()] * 5
