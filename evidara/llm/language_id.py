@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.llm.common import records
@@ -49,18 +49,19 @@ def gram_slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", limit: int = TRAINING_TEXTS) -> dict[str, np.ndarray]:
     """Log-probability of each slot for every language with a labelled text (at most ``limit`` texts each)."""
-    from pyspark.sql import Window
-
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    # the choice looks at ids and labels only; texts are read for the chosen ids
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    chosen = rows.select(key, lang).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).select(key)
-    chosen = rows.select(key, lang, text).join(F.broadcast(chosen.distinct()), key, "left_semi")
+    rows = records(labelled, key, lang, text).select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    # the choice looks at ids and labels only; texts are read for the chosen ids. A bound on the hash leaves half as many again as wanted of
+    # each language (one row a language says how many it has), so no task ranks all rows of one
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).withColumn("below", F.lit(float(1 << 63)) * (F.least(F.lit(3.0 * limit) / F.col("n"), F.lit(2.0)) - 1))
+    near = rows.select("key", "lang", F.xxhash64("key").alias("h")).join(F.broadcast(sizes), "lang").where(F.col("h") <= F.col("below"))
+    order = Window.partitionBy("lang").orderBy("h", "key")
+    chosen = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).select("key")
+    chosen = rows.join(F.broadcast(chosen), "key", "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, "text"):
                 slot, row = gram_slots(*buffers(part.column(1)))
                 names = part.column(0).to_pylist()
                 of = {x: i for i, x in enumerate(dict.fromkeys(names))}
@@ -72,8 +73,7 @@ def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
             at = np.flatnonzero(counts)
             yield pa.record_batch({"lang": pa.array([x] * len(at), pa.string()), "slot": pa.array(at), "n": pa.array(counts[at].astype(np.int64))})
 
-    counted = chosen.select(lang, text).toDF("lang", "text") if (lang, text) == ("lang", "text") else chosen.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counted = counted.mapInArrow(count, "lang string, slot bigint, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    counted = chosen.select("lang", "text").mapInArrow(count, "lang string, slot bigint, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     model: dict[str, np.ndarray] = {}
     for x in counted.toPandas().groupby("lang"):  # at most SLOTS rows a language
         name, part = x
