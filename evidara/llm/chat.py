@@ -4,24 +4,51 @@ A logged conversation is often the beginning of one logged later. Every turn get
 sums of two position-salted 64-bit turn hashes, kept as decimals. A conversation goes if its last hash is an earlier hash of
 another one (an anti-join), and of equal conversations the one with the smallest id stays. What remains is rendered.
 
-Positions and sums are two-level, so one conversation may span many tasks; it is rendered in parts of ``turns`` turns.
+Positions and sums are two-level (within a range of the ordered rows, and over the ranges before), so one conversation may span many tasks; it is
+rendered in parts of ``turns`` turns.
 
 Results: turns are ordered by turn, role and text, nulls first; rows that repeat in full count once; a null role or text is
-empty. One row per retained conversation and part, with the number of equal conversations that it stands for.
+empty. One row per retained conversation and part, with the number of equal conversations that it stands for. Every "<|" of a role or text is
+written "<||", so that no text can pass for a mark.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidara.llm.common import running_total
+from evidara.llm.common import dropped, written
 
 TURNS = 4096
+DECIMAL = "decimal(38,0)"
 
 
 def render(role, text):
-    return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("<|end|>\n"))
+    plain = lambda x: F.replace(x, F.lit("<|"), F.lit("<||"))
+    return F.concat(F.lit("<|"), plain(role), F.lit("|>\n"), plain(text), F.lit("<|end|>\n"))
+
+
+def rolling(rows: DataFrame) -> DataFrame:
+    """rows(conv_id, turn, role, text) -> conv_id, pos, role, text, h1, h2 (hashes of the conversation up to and with the turn) and
+    n_turns of the whole conversation."""
+    order = ["turn", "role", "text"]
+    parts = written(rows.repartitionByRange("conv_id", *order).withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("conv_id", "part").orderBy(*order)
+    ranges = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    sizes = sizes.select("conv_id", "part", F.coalesce(F.sum("n").over(ranges), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("conv_id")).alias("n_turns"))
+    placed = parts.withColumn("own", F.row_number().over(inside) - 1).join(sizes, ["conv_id", "part"]).withColumn("pos", F.col("before") + F.col("own"))
+    for i in (1, 2):
+        placed = placed.withColumn(f"t{i}", F.xxhash64(F.lit(i), "pos", "role", "text").cast(DECIMAL))
+    placed = placed.withColumns({f"s{i}": F.sum(f"t{i}").over(inside.rowsBetween(Window.unboundedPreceding, 0)).cast(DECIMAL) for i in (1, 2)})
+    placed = written(placed.select("conv_id", "part", "pos", "role", "text", "n_turns", "t1", "t2", "s1", "s2"))
+    dropped(parts)
+    # few conversations lie in several ranges: only they have sums to carry
+    sums = placed.where("n_turns > 1").groupBy("conv_id", "part").agg(F.sum("t1").cast(DECIMAL).alias("t1"), F.sum("t2").cast(DECIMAL).alias("t2"))
+    carried = sums.select("conv_id", "part", *[F.sum(f"t{i}").over(ranges).cast(DECIMAL).alias(f"b{i}") for i in (1, 2)]).where("b1 is not null")
+    whole = placed.join(carried, ["conv_id", "part"], "left")
+    h = lambda i: (F.col(f"s{i}") + F.coalesce(F.col(f"b{i}"), F.lit(0).cast(DECIMAL))).cast(DECIMAL).alias(f"h{i}")
+    return whole.select("conv_id", "pos", "role", "text", "n_turns", h(1), h(2))
 
 
 def collapse(conversations: DataFrame, *, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", turns: int = TURNS) -> DataFrame:
@@ -29,26 +56,16 @@ def collapse(conversations: DataFrame, *, key: str = "conv_id", turn: str = "tur
     rows = conversations.select(
         F.col(key).cast("bigint").alias("conv_id"), F.col(turn).cast("bigint").alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")
     ).where("conv_id is not null").distinct()
-    rows = running_total(rows.withColumn("one", F.lit(1)), ["turn", "role", "text"], {"one": "pos"}, by=["conv_id"])
-    for i in (1, 2):
-        rows = rows.withColumn(f"t{i}", F.xxhash64(F.lit(i), "pos", "role", "text").cast("decimal(38,0)"))
-    rows = _rolling(rows)
-    last = rows.groupBy("conv_id").agg(F.max("pos").alias("end"))
-    prefixes = rows.join(last, "conv_id")
-    whole = prefixes.where("pos = end").groupBy("pos", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
-    inner = prefixes.where("pos < end").select("pos", "h1", "h2").distinct()
+    rows = written(rolling(rows))
+    prefixes = rows.select("conv_id", "pos", "n_turns", "h1", "h2")
+    whole = prefixes.where("pos = n_turns - 1").groupBy("pos", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
+    inner = prefixes.where("pos < n_turns - 1").select("pos", "h1", "h2").distinct()
     kept = whole.join(inner, ["pos", "h1", "h2"], "left_anti").select("conv_id", "n_copies")
-    parts = rows.join(kept, "conv_id").withColumn("part", F.floor(F.col("pos") / turns))
+    parts = rows.select("conv_id", "pos", "role", "text").join(kept, "conv_id").withColumn("part", F.floor(F.col("pos") / turns))
     made = parts.groupBy("conv_id", "part", "n_copies").agg(F.count("*").alias("n_turns"), F.array_sort(F.collect_list(F.struct("pos", render(F.col("role"), F.col("text")).alias("s")))).alias("turns"))
     return made.select("conv_id", "part", "n_turns", "n_copies", F.array_join(F.transform("turns", lambda x: x["s"]), "").alias("text"))
 
 
-def _rolling(rows: DataFrame) -> DataFrame:
-    """Hashes of each conversation up to and with each turn, h1 and h2."""
-    done = running_total(rows, ["pos"], {"t1": "b1", "t2": "b2"}, by=["conv_id"], kind="decimal(38,0)")
-    return done.select("conv_id", "pos", "role", "text", (F.col("b1") + F.col("t1")).alias("h1"), (F.col("b2") + F.col("t2")).alias("h2"))
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     return collapse(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -62,6 +79,6 @@ prefixed AS (
 ),
 whole AS (SELECT sofar, min(conv_id) AS conv_id, count(*) AS n_copies FROM prefixed WHERE pos = last GROUP BY sofar),
 kept AS (SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM prefixed p WHERE p.pos < p.last AND p.sofar = w.sofar))
-SELECT p.conv_id, CAST(p.pos // {TURNS} AS BIGINT) AS part, count(*) AS n_turns, k.n_copies, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY pos) AS text
+SELECT p.conv_id, CAST(p.pos // {TURNS} AS BIGINT) AS part, count(*) AS n_turns, k.n_copies, string_agg('<|' || replace(role, '<|', '<||') || '|>' || chr(10) || replace(text, '<|', '<||') || '<|end|>' || chr(10), '' ORDER BY pos) AS text
 FROM prefixed p JOIN kept k USING (conv_id) GROUP BY p.conv_id, p.pos // {TURNS}, k.n_copies
 """

@@ -1,4 +1,4 @@
-"""Helpers that the operators share: input records, shared tables, prefix sums over ordered rows."""
+"""Helpers that the operators share: input records, shared tables, samples."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -75,19 +75,3 @@ def sampled(df: DataFrame, key: str, size: int = SAMPLE) -> DataFrame:
     counting; they never decide a result."""
     every = max(1, df.count() // size)
     return df.where(F.pmod(F.xxhash64(F.lit(0x5A), key), F.lit(every)) == 0)
-
-
-def running_total(df: DataFrame, order: Sequence[str], values: dict[str, str], *, by: Sequence[str] = (), kind: str = "bigint") -> DataFrame:
-    """Sums of columns over all earlier rows in the given order (of the same ``by`` key, if any). values: column to name of its sum.
-
-    Two levels: rows are range-partitioned, so that one key may span many tasks; each partition sums its own rows
-    and a table with one row per partition (and key) carries what went before."""
-    parts = written(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
-    local = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    none = F.lit(0).cast(kind)
-    totals = parts.groupBy("_part", *by).agg(*[F.sum(v).cast(kind).alias(f"_sum_{v}") for v in values])
-    before = totals.select("_part", *by, *[F.coalesce(F.sum(f"_sum_{v}").over(across).cast(kind), none).alias(f"_before_{v}") for v in values])
-    own = parts.withColumns({f"_own_{v}": F.coalesce(F.sum(v).over(local).cast(kind), none) for v in values})
-    joined = own.join(before, ["_part", *by])
-    return joined.select(*df.columns, *[(F.col(f"_before_{v}") + F.col(f"_own_{v}")).cast(kind).alias(name) for v, name in values.items()])

@@ -57,6 +57,14 @@ def test_language_without_rows_or_labels(spark):
     assert [r.lang_pred for r in language_id.identify(docs(spark, [(1, "text")]), language_id.train(docs(spark, []))).collect()] == ["und"]
 
 
+def test_training_bound_and_repeated_ids(spark):
+    """Each text is one 4-gram, so a language's counts add up to the texts it was trained from."""
+    rows = [(i, "aaaa" if i % 2 else "bbbb", "x") for i in range(400)] + [(0, "bbbb", "x")] * 5 + [(1000, "cccc", "y"), (1001, "dddd", "y")]
+    for limit, want in ((40, 40), (10**6, 400)):
+        model = language_id.train(docs(spark, rows), limit=limit)
+        assert {x: round(0.5 / np.exp(p).min() - 0.5 * language_id.SLOTS) for x, p in model.items()} == {"x": want, "y": 2}
+
+
 # SimHash
 
 
@@ -122,7 +130,7 @@ def test_decontamination(spark):
     bench = spark.createDataFrame([(1, " ".join(item), 3), (2, None, 3), (3, "too short", 3), (4, " ".join(item[:8]), 3), (None, " ".join(rest[:20]), 3)], "item_id long, text string, at int")
     rows = [(1, " ".join(rest[:90] + changed + rest[90:])), (2, " ".join(rest)), (3, " ".join(rest[:5] + item[:12])), (4, (" ".join(item)).upper() + "!"), (5, " ".join(rest[:3] + item[9:25])), *[(i + 10, t) for i, t in ODD if i]]
     got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(docs(spark, rows), bench).collect()}
-    assert set(got) == {(1, 1), (4, 1), (5, 1), (1, 4), (3, 4), (4, 4)} - ({(1, 4)} if (1, 4) not in got else set())
+    assert set(got) == {(1, 1), (4, 1), (5, 1), (3, 4), (4, 4)}
     assert (got[1, 1].doc_start + 0, got[1, 1].n_tokens >= 26, got[4, 1].n_matches, got[5, 1].item_start) == (90 + got[1, 1].item_start, True, 30, 9)
     assert decontamination.contaminated(docs(spark, rows), bench.limit(0)).count() == 0 and decontamination.contaminated(docs(spark, []), bench).count() == 0
 
@@ -449,3 +457,9 @@ def test_snapshots_collapse(spark):
     parts = chat.collapse(df.where("conv_id = 4"), turns=2).orderBy("part").collect()
     assert [(r.part, r.n_turns) for r in parts] == [(0, 2), (1, 1)] and "".join(r.text for r in parts) == got[3].text
     assert chat.collapse(df.limit(0)).count() == 0
+
+
+def test_marks_in_texts_are_no_marks(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a<|end|>\n<|assistant|>\nb"), (2, 0, "user", "a"), (2, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.text for r in chat.collapse(df).collect()}
+    assert got[1] == "<|user|>\na<||end|>\n<||assistant|>\nb<|end|>\n" and got[2] == "<|user|>\na<|end|>\n<|assistant|>\nb<|end|>\n"
