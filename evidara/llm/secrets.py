@@ -1,31 +1,40 @@
 """Secret scans: candidates by pattern, a random forest to remove false positives. DataFrame functions only.
 
 A candidate is a vendor-prefixed key, a value assigned to a name, or a bare run of 16 or more token characters with a digit.
-Its features are its length, its character transitions, how much of it dictionary words cover, its document's path and
-the words next to it. A forest trained from labelled findings gives the probability that it is a secret.
+Its features are its length, the likelihood of its character transitions, how much of it dictionary words cover, its document's path and
+the words next to it. Transitions and dictionary are learnt from the words of all documents (``learn``). A forest trained from labelled findings gives
+the probability that a candidate is a secret.
 
 Labelled findings are any frame with the columns of ``FINDINGS``; ``labelled_findings`` makes a bounded default set from
 a rule (``n`` rows, half of them false positives: ids, digests of commits and files, card numbers, addresses, placeholders, paths,
 ordinary words).
 
 Results: one row per candidate with its character offset, probability and verdict; a null or empty text has none. A value that
-occurs several times is reported at each place. ``redact`` replaces what was judged a secret and leaves everything else as it is.
+occurs several times is reported at each place. Rows that repeat both id and text count once; different texts of one id, and rows without an id, are all scanned,
+and ``text_hash`` tells whose finding it is. ``redact`` replaces what was judged a secret and leaves everything else as it is, in every row and column.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm.common import records
+from evidara.llm.common import dropped, written
 from evidara.plans.registry import texts
 
 #: Rows of the default training set; a forest of TREES trees of DEPTH levels is fitted to them.
 LABELLED, TREES, DEPTH, SEED = 4000, 24, 7, 7
 THRESHOLD = 0.5
+#: Words of the learnt dictionary, the most frequent of MIN_WORD to MAX_WORD letters.
+WORDS, MIN_WORD, MAX_WORD = 4096, 4, 20
+#: Kinds of characters in transitions: 26 letters and everything else.
+KINDS = 27
 FINDINGS = "candidate string, before string, after string, path string, label double"
 
 #: Public key prefixes of well-known services.
@@ -40,11 +49,12 @@ DICTIONARY = (
     "document report index table column message error warning request response session module package library function class object method"
 ).split()
 
-_VALUE = r"[A-Za-z0-9_+/=.~!@#$%^&*-]"
+#: No letter, digit or underscore before: Java releases differ in what \\b takes for a letter.
+_BEGIN = "(?<![A-Za-z0-9_])"
 PATTERN = (
-    r"(?:\b(?:" + "|".join(x.replace("-", r"\-") for x in PREFIXES) + r")[A-Za-z0-9_.\-]{12,})"
+    r"(?:" + _BEGIN + "(?:" + "|".join(x.replace("-", r"\-") for x in PREFIXES) + r")[A-Za-z0-9_.\-]{12,})"
     r"|(?:(?i:token|secret|passwo?r?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)[\"']?\s{0,2}(?:=>|[:=])\s{0,2}[\"']?[^\s\"'<>,;|]{6,}+)"
-    r"|(?:\b(?=[A-Za-z_+/=.-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_+/=.-]{15,}+)"
+    r"|(?:" + _BEGIN + r"(?=[A-Za-z_+/=.-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_+/=.-]{15,}+)"
 )
 #: Left of the value within a match of the second kind.
 ASSIGNED = r"^(?i:token|secret|passwo?r?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)[\"']?\s{0,2}(?:=>|[:=])\s{0,2}[\"']?"
@@ -52,13 +62,48 @@ TRAIL = r"[.,;:!?)\]}]+$"
 CONTEXT = 48
 
 
-def candidates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """doc_id, start (characters before it), candidate, before, after, path."""
+@dataclass(frozen=True)
+class Learnt:
+    """What a corpus says of ordinary text. words: the most frequent; transitions: log-likelihood of each kind of character after each other, KINDS a row."""
+
+    words: tuple[str, ...] = ()
+    transitions: tuple[float, ...] = (0.0,) * KINDS**2
+
+
+@dataclass(frozen=True)
+class Scanner:
+    forest: RandomForestClassificationModel
+    learnt: Learnt
+
+
+def learn(docs: DataFrame, *, text: str = "text") -> Learnt:
+    """Dictionary and transitions from the counts of all words (runs of the letters a to z, in lower case) of all texts."""
+    word = F.explode(F.split(F.lower(F.col(text)), "[^a-z]+"))
+    counts = written(docs.select(word.alias("word")).where(F.length("word").between(2, MAX_WORD)).groupBy("word").agg(F.count("*").alias("n")))
+    most = counts.where(F.length("word") >= MIN_WORD).orderBy(F.desc("n"), "word").limit(WORDS)
+    kinds = F.concat(F.array(F.lit(KINDS - 1)), F.transform(F.split("word", ""), lambda x: F.ascii(x) - 97), F.array(F.lit(KINDS - 1)))
+    pairs = counts.select("n", kinds.alias("k")).select("n", F.explode(F.transform(F.sequence(F.lit(0), F.size("k") - 2), lambda i: F.get("k", i) * KINDS + F.get("k", i + 1))).alias("pair"))
+    found = {x["pair"]: float(x["n"]) for x in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}  # KINDS * KINDS rows at most
+    words = tuple(x["word"] for x in most.select("word").collect())
+    dropped(counts)
+    rows = [[found.get(a * KINDS + b, 0.0) + 1.0 for b in range(KINDS)] for a in range(KINDS)]
+    return Learnt(words, tuple(round(math.log(x / sum(row)), 9) for row in rows for x in row))
+
+
+def _scanned(docs: DataFrame, key: str, text: str, path: str | None) -> DataFrame:
+    """(doc_id, text, path, text_hash) of all rows with a text; those that repeat id and text once."""
     has_path = path is not None and path in docs.columns
-    rows = records(docs.select(key, text, *([path] if has_path else [])), key, text, *([path] if has_path else []))
-    rows = rows.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), (F.col(path) if has_path else F.lit(None)).cast("string").alias("path"))
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), (F.col(path) if has_path else F.lit(None)).cast("string").alias("path")).where("text is not null")
+    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = rows.groupBy("doc_id", "text").agg(F.min("path").alias("path"))
+    return rows.withColumn("text_hash", F.xxhash64("text"))
+
+
+def candidates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
+    """doc_id, text_hash, start (characters before it), candidate, before, after, path."""
+    rows = _scanned(docs, key, text, path)
     found = rows.where(F.col("text").rlike(PATTERN)).select(
-        "doc_id", "path", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found"), F.split("text", PATTERN, -1).alias("around")
+        "doc_id", "text_hash", "path", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found"), F.split("text", PATTERN, -1).alias("around")
     )
     sizes = lambda arr: F.transform(arr, lambda x: F.length(x))
     found = found.withColumn("found_n", sizes(F.col("found"))).withColumn("around_n", sizes(F.col("around")))
@@ -67,19 +112,19 @@ def candidates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path
         lambda i: F.aggregate(F.slice("around_n", 1, i), F.lit(0), lambda a, b: a + b) + F.aggregate(F.slice("found_n", 1, i - 1), F.lit(0), lambda a, b: a + b),
     )
     one = found.withColumn("starts", starts).select(
-        "doc_id", "path", F.explode(F.transform(F.sequence(F.lit(0), F.size("found") - 1), lambda i: F.struct(
+        "doc_id", "text_hash", "path", F.explode(F.transform(F.sequence(F.lit(0), F.size("found") - 1), lambda i: F.struct(
             F.get("starts", i).alias("at"), F.get("found", i).alias("match"),
             F.substring(F.get("around", i), -CONTEXT, CONTEXT).alias("before"), F.substring(F.get("around", i + 1), 1, CONTEXT).alias("after"),
         ))).alias("x")
-    ).select("doc_id", "path", "x.*")
+    ).select("doc_id", "text_hash", "path", "x.*")
     name = F.regexp_extract("match", ASSIGNED, 0)
     value = F.regexp_replace(F.substr("match", F.length(name) + 1), TRAIL, "")
     return one.select(
-        "doc_id", (F.col("at") + F.length(name)).cast("int").alias("start"), value.alias("candidate"), F.concat(F.coalesce("before", F.lit("")), name).alias("before"), "after", "path"
+        "doc_id", "text_hash", (F.col("at") + F.length(name)).cast("int").alias("start"), value.alias("candidate"), F.concat(F.coalesce("before", F.lit("")), name).alias("before"), "after", "path"
     ).where(F.length("candidate") >= 6)
 
 
-def features(df: DataFrame) -> tuple[DataFrame, list[str]]:
+def features(df: DataFrame, learnt: Learnt) -> tuple[DataFrame, list[str]]:
     """Feature columns of candidate, before, after and path."""
     c, n = F.col("candidate"), F.greatest(F.length("candidate"), F.lit(1))
     low = F.lower(c)
@@ -89,20 +134,29 @@ def features(df: DataFrame) -> tuple[DataFrame, list[str]]:
     near = F.lower(F.concat(F.substring(F.coalesce("before", F.lit("")), -24, 24), F.lit(" "), F.substring(F.coalesce("after", F.lit("")), 1, 12)))
     left = F.lower(F.substring(F.coalesce("before", F.lit("")), -24, 24))
     path = F.lower(F.coalesce("path", F.lit("")))
+    letters = F.concat(F.lit(" "), low, F.lit(" "))
+    kind = F.transform(F.split(letters, ""), lambda x: F.when(x.rlike("^[a-z]$"), F.ascii(x) - 97).otherwise(KINDS - 1))
+    table = F.expr("array(" + ",".join(f"{x!r}D" for x in learnt.transitions) + ")")
+    likelihood = F.aggregate(F.zip_with(F.slice(kind, 1, n + 1), F.slice(kind, 2, n + 1), lambda a, b: a * KINDS + b), F.lit(0.0), lambda a, i: a + F.get(table, i.cast("int")))
+    runs = F.transform(F.split(F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2"), "[^A-Za-z]+"), lambda x: F.lower(x))
+    # words are letters a to z alone, so they can stand in an expression
+    known = [x for x in sorted({*DICTIONARY, *learnt.words}) if x.isascii() and x.isalpha()]
+    df = df.withColumn("_runs", runs)
+    covered = F.expr("aggregate(transform(_runs, x -> if(x in (" + ",".join(f"'{x}'" for x in known) + "), length(x), 0)), 0, (a, b) -> a + b)")
     made: dict[str, Column] = {
         "f_length": n.cast("double"),
         "f_class_changes": (F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1) / n,
         "f_letter_digit": (count(kinds, "(?<=[Aa])9") + count(kinds, "(?<=9)[Aa]")) / n,
         "f_case_changes": (count(kinds, "(?<=A)a") + count(kinds, "(?<=a)A")) / n,
         "f_vowel_consonant": count(low, "(?<=[aeiou])[bcdfghjklmnpqrstvwxyz]") / n,
-        "f_common_pairs": count(low, "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar") / n,
+        "f_transitions": likelihood / (n + 1),
         "f_distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
         "f_digits": count(c, "[0-9]") / n,
         "f_hex": c.rlike("^[0-9a-fA-F]+$").cast("double"),
         "f_all_digits": c.rlike("^[0-9.:-]+$").cast("double"),
         "f_prefix": c.rlike("^(?:" + words(PREFIXES) + ")").cast("double"),
         "f_shape_id": c.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-|@|://|^[0-9]{1,3}(?:\\.[0-9]{1,3}){3}$").cast("double"),
-        "f_dictionary": 1 - F.length(F.regexp_replace(low, words(DICTIONARY), "")) / n,
+        "f_dictionary": F.greatest(1 - F.length(F.regexp_replace(low, words(DICTIONARY), "")) / n, covered / n),
         "f_repeats": count(low, r"(.)\1\1") / n,
         "f_near_secret": near.rlike(words(SECRET_NAMES)).cast("double"),
         "f_near_other": left.rlike(words(rf"\b{x}\b" for x in OTHER_NAMES)).cast("double"),
@@ -111,7 +165,7 @@ def features(df: DataFrame) -> tuple[DataFrame, list[str]]:
         "f_path_test": path.rlike("test|example|sample|fixture|mock|docs?/").cast("double"),
         "f_path_config": path.rlike("\\.env|config|settings|\\.ya?ml|\\.properties|credential").cast("double"),
     }
-    return df.withColumns(made), list(made)
+    return df.withColumns(made).drop("_runs"), list(made)
 
 
 def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
@@ -140,35 +194,38 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     )
 
 
-def fit(findings: DataFrame) -> RandomForestClassificationModel:
+def fit(findings: DataFrame, learnt: Learnt) -> Scanner:
     """A forest from labelled findings (candidate, before, after, path, label)."""
-    made, names = features(findings.where("candidate is not null and label is not null"))
+    made, names = features(findings.where("candidate is not null and label is not null"), learnt)
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(made).select("features", "label")
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(rows)
+    return Scanner(RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(rows), learnt)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, *, key: str = "doc_id", text: str = "text", path: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
-    """Every candidate with its probability: doc_id, start, length, candidate, probability, is_secret."""
-    made, names = features(candidates(docs, key=key, text=text, path=path))
-    scored = model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(made))
+def scan(docs: DataFrame, scanner: Scanner, *, key: str = "doc_id", text: str = "text", path: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
+    """Every candidate with its probability: doc_id, text_hash, start, length, candidate, probability, is_secret."""
+    made, names = features(candidates(docs, key=key, text=text, path=path), scanner.learnt)
+    scored = scanner.forest.transform(VectorAssembler(inputCols=names, outputCol="features").transform(made))
     p = F.round(vector_to_array("probability")[1], 6)
-    return scored.select("doc_id", "start", F.length("candidate").alias("length"), "candidate", p.alias("probability"), (p >= threshold).alias("is_secret"))
+    return scored.select("doc_id", "text_hash", "start", F.length("candidate").alias("length"), "candidate", p.alias("probability"), (p >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, findings: DataFrame, *, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Documents with every finding that was judged a secret replaced by a mark; all columns and rows stay."""
-    spans = findings.where("is_secret").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("_spans"))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "_doc"), F.col(key).cast("bigint") == F.col("_doc"), "left")
+    """Documents with every finding that was judged a secret replaced by a mark; all columns and rows stay.
+
+    A finding belongs to the rows of its id and text, so rows that repeat an id are each redacted by their own findings."""
+    spans = findings.where("is_secret").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    joined = rows.join(spans, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
     folded = F.aggregate(
-        "_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda a, s: F.struct(F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out"), (s["start"] + s["length"]).alias("at")),
-        lambda a: F.concat(a["out"], F.substr(F.col(text), a["at"] + 1)),
+        "spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
+        lambda a, s: F.struct(F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out"), (s["start"] + s["length"]).alias("at")),
+        lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1)),
     )
-    new = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(folded)
-    return joined.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])
+    new = F.when(F.col("spans").isNull(), F.col("text")).otherwise(folded)
+    return joined.select(*[new.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    model = fit(labelled_findings(spark))
-    found = scan(texts(spark, sf_dir), model)
+    docs = texts(spark, sf_dir)
+    found = scan(docs, fit(labelled_findings(spark), learn(docs)))
     return found.select("doc_id", "start", "length", F.sha2("candidate", 256).alias("value_sha256"), "probability", "is_secret")

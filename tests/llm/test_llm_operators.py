@@ -140,7 +140,7 @@ def test_decontamination(spark):
 
 @pytest.fixture(scope="module")
 def forest(spark):
-    return secrets.fit(secrets.labelled_findings(spark))
+    return secrets.fit(secrets.labelled_findings(spark), secrets.Learnt())
 
 
 def test_secret_scan_and_redaction(spark, forest):
@@ -159,14 +159,68 @@ def test_secret_scan_and_redaction(spark, forest):
 
 def test_forest_separates_held_out_findings(spark):
     rows = secrets.labelled_findings(spark, 3000).withColumn("k", F.pmod(F.xxhash64("candidate", "before"), F.lit(3)))
-    model = secrets.fit(rows.where("k > 0"))
-    made, names = secrets.features(rows.where("k = 0"))
+    model = secrets.fit(rows.where("k > 0"), secrets.Learnt()).forest
+    made, names = secrets.features(rows.where("k = 0"), secrets.Learnt())
     from pyspark.ml.feature import VectorAssembler
 
     scored = model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(made))
     assert scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] > 0.97
 
 
+def test_what_a_corpus_teaches(spark):
+    learnt = secrets.learn(docs(spark, [(1, "Winter winter WINTER, the then"), (2, None), (3, ""), (4, "then 9 x " * 3)]))
+    assert learnt.words[:2] == ("then", "winter") and "the" not in learnt.words
+    at = lambda a, b: learnt.transitions[(ord(a) - 97) * 27 + ord(b) - 97]
+    assert at("t", "h") > at("t", "e") > at("t", "q") and len(learnt.transitions) == 729
+    assert secrets.learn(docs(spark, [])).words == ()
+
+
+def test_planted_findings_with_learnt_words(spark):
+    """Tokens as the corpus has them against digests, cards, ids, addresses and words of its own."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("aeiou") + rng.choice("bdlmnrst") for _ in range(rng.randint(2, 5))) for _ in range(400)]
+    rows, planted = [], set()
+    for i in range(300):
+        words = rng.choices(vocabulary, k=60)
+        h = hashlib.sha1(str(i).encode()).hexdigest()
+        words[20] = (f'token = "{h}"', f"commit {h}", f"AKIA{h[:16].upper()}", f"id {h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}", f"card {int(h[:14], 16) % 10**16:016d}", "_".join(vocabulary[i % 300 : i % 300 + 4]) + "_2")[i % 6]
+        if i % 6 in (0, 2):
+            planted.add(i)
+        rows.append((i, " ".join(words)))
+    df = docs(spark, rows)
+    got = {r.doc_id for r in secrets.scan(df, secrets.fit(secrets.labelled_findings(spark), secrets.learn(df))).where("is_secret").collect()}
+    assert len(got & planted) >= 0.97 * len(planted) and len(got - planted) <= 0.03 * len(got)
+
+
+def test_candidates_are_brute_force(spark):
+    """Every match of the pattern at its place, by Python's regular expressions."""
+    import regex
+
+    rng = random.Random(6)
+    parts = ["token=", "secret: ", '"', "'", " ", "abc", "9f" * 9, "AKIA", "ghp_", "A" * 20, "x1" * 7, ".", ",", "é", "password => ", "k" * 60 + "1", "\n"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))) for i in range(400)]
+    want = set()
+    for i, t in rows:
+        for m in regex.finditer(secrets.PATTERN, t, flags=regex.ASCII):
+            name = regex.match(secrets.ASSIGNED, m.group(), flags=regex.ASCII)
+            begin = m.start() + (name.end() if name else 0)
+            value = regex.sub(secrets.TRAIL, "", t[begin : m.end()])
+            if len(value) >= 6:
+                want.add((i, begin, value))
+    assert {(r.doc_id, r.start, r.candidate) for r in secrets.candidates(docs(spark, rows)).collect()} == want
+
+
+def test_redaction_with_repeated_ids_and_clashing_columns(spark, forest):
+    a, b = (hashlib.sha1(x).hexdigest() for x in (b"a", b"b"))
+    rows = [(3, f'token = "{a}"', 1), (3, f'zzzz token = "{b}" z', 2), (3, f'token = "{a}"', 1), (None, f'token = "{a}"', 3), (4, None, 4), (5, "", 5)]
+    df = spark.createDataFrame([(*r, "row") for r in rows], "doc_id long, text string, _spans int, `row` string").withColumn("spans", F.lit(1)).withColumn("hash", F.lit(2))
+    clean = secrets.redact(df, secrets.scan(df, forest))
+    assert clean.columns == df.columns
+    got = sorted(map(str, ((r.doc_id, r.text, r["_spans"], r["row"]) for r in clean.collect())))
+    want = [(i, t and t.replace(a, "[SECRET]").replace(b, "[SECRET]"), k, "row") for i, t, k in rows]
+    assert got == sorted(map(str, want))
+
+
 # packing and token files
 
 

@@ -18,7 +18,7 @@ def test_long_values_are_whole(spark, size):
     found = secrets.candidates(docs(spark, rows))
     got = {(r.doc_id, r.start, r.candidate) for r in found.collect()}
     assert got == {(1, 11, value), (2, 6, value), (3, 4, late), (4, 0, "AKIA" + value)}
-    marked = found.selectExpr("doc_id", "start", "length(candidate) AS length", "true AS is_secret")
+    marked = found.selectExpr("doc_id", "text_hash", "start", "length(candidate) AS length", "true AS is_secret")
     assert [r.text for r in secrets.redact(docs(spark, rows), marked).orderBy("doc_id").collect()] == ['api_key = "[SECRET]" here', "token=[SECRET]; more", "see [SECRET] here", "[SECRET] end"]
-    shas = secrets.scan(docs(spark, rows[:1]), secrets.fit(secrets.labelled_findings(spark))).selectExpr("sha2(candidate, 256) AS s").collect()
+    shas = secrets.scan(docs(spark, rows[:1]), secrets.fit(secrets.labelled_findings(spark), secrets.Learnt())).selectExpr("sha2(candidate, 256) AS s").collect()
     assert [r.s for r in shas] == [hashlib.sha256(value.encode()).hexdigest()]
