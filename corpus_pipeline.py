@@ -4,7 +4,7 @@
 2. near_dedup: of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more), the document with the smallest id stays.
 3. decontaminate: documents that overlap a benchmark item go.
 4. secrets: what the forest judges a secret is replaced in the text; every document stays.
-5. packing: token sequences with target proportions by source.
+5. packing: token sequences; the sources' target proportions are their token counts to the power 0.7.
 """
 
 from __future__ import annotations
@@ -36,14 +36,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = secrets.fit(secrets.labelled_findings(spark))
-    return secrets.redact(docs, secrets.scan(docs, model))
+    scanner = secrets.fit(secrets.labelled_findings(spark), secrets.learn(docs))
+    return secrets.redact(docs, secrets.scan(docs, scanner))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), power=packing.POWER).drop("ids")
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("secrets", scan_secrets), ("packing", pack)]
