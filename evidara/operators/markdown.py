@@ -93,7 +93,7 @@ def tokens(text: Column) -> Column:
 
 
 def parents(blocks: DataFrame, limit: int = 1500, *, key: str = "document_id") -> DataFrame:
-    """(key, ordinal, parent_id, kind, text, token_count, n_blocks, char_start, char_end, page_start, page_end): a heading opens a section, headings
+    """(key, ordinal, parent_id, kind, text, token_count, n_blocks, char_start, char_end, page_start, page_end, blocks): a heading opens a section, headings
     alone join the section after them; sections beyond the limit are cut greedily between blocks, but not those with a table. The page span is
     null if any block has none. kind is table if a block is one."""
     w = Window.partitionBy(key).orderBy("ordinal")
@@ -107,11 +107,22 @@ def parents(blocks: DataFrame, limit: int = 1500, *, key: str = "document_id") -
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n\n")
     paged = F.count("page_start") == F.count("*")
     made = rows.groupBy(key, "section", "g").agg(
-        F.min("ordinal").alias("_first"), F.when(F.bool_or("table"), "table").otherwise("text").alias("kind"), text.alias("text"), F.sum("n").alias("token_count"), F.count("*").alias("n_blocks"),
+        F.min("ordinal").alias("_first"), F.array_sort(F.collect_list(F.struct("ordinal", "kind", "text"))).alias("blocks"), F.when(F.bool_or("table"), "table").otherwise("text").alias("kind"), text.alias("text"), F.sum("n").alias("token_count"), F.count("*").alias("n_blocks"),
         F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.when(paged, F.min("page_start")).alias("page_start"), F.when(paged, F.max("page_end")).alias("page_end"),
     )
     numbered = made.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy("_first")) - 1)
-    return numbered.select(key, "ordinal", ids.fenced("par_", key, "ordinal", "text").alias("parent_id"), "kind", "text", "token_count", "n_blocks", "char_start", "char_end", "page_start", "page_end")
+    return numbered.select(key, "ordinal", ids.fenced("par_", key, "ordinal", "text").alias("parent_id"), "kind", "text", "token_count", "n_blocks", "char_start", "char_end", "page_start", "page_end", "blocks")
+
+
+def segments(found: DataFrame) -> DataFrame:
+    """(parent_id, segment, kind, text) of parents: each table is a segment of its own, and so is every run of other blocks."""
+    w = Window.partitionBy("parent_id").orderBy("ordinal")
+    rows = found.select("parent_id", F.explode("blocks").alias("b")).select("parent_id", "b.*")
+    tabular = F.col("kind") == "table"
+    opens = tabular | F.coalesce(F.lag(tabular).over(w), F.lit(True))
+    cut = rows.withColumn("tabular", tabular).withColumn("segment", F.sum(opens.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n\n")
+    return cut.groupBy("parent_id", "segment").agg(F.when(F.bool_or("tabular"), "table").otherwise("text").alias("kind"), text.alias("text"))
 
 
 def table_groups(tables: DataFrame, limit: int, *, key: str = "parent_id", text: str = "text") -> DataFrame:
@@ -133,9 +144,18 @@ def table_groups(tables: DataFrame, limit: int, *, key: str = "parent_id", text:
 
 
 def children(found: DataFrame, profile: structure.Profile = structure.Profile()) -> DataFrame:
-    """(parent_id, ordinal, context_prefix, text, token_count) of parents: tables by groups of rows, all others by sentences with overlap."""
-    prose = structure.sentence_chunks(found.where("kind <> 'table'"), profile, key="parent_id").select("parent_id", "ordinal", F.lit("").alias("context_prefix"), "text", "token_count")
-    return prose.unionByName(table_groups(found.where("kind = 'table'"), profile.child_max))
+    """(parent_id, ordinal, kind, context_prefix, text, token_count) of parents. A parent without a table that fits the largest child is one child (atomic).
+    The others are taken by segments: tables by groups of rows, text that fits whole, and longer text by sentences with overlap."""
+    whole = (F.col("kind") != "table") & (F.col("token_count") <= profile.child_max)
+    atomic = found.where(whole).select("parent_id", F.lit(0).alias("segment"), F.lit(0).alias("place"), F.lit("atomic").alias("kind"), F.lit("").alias("context_prefix"), "text", "token_count")
+    parts = segments(found.where(~whole)).withColumn("part_id", F.struct("parent_id", "segment")).withColumn("n", tokens(F.col("text")))
+    back = lambda df, kind: df.select("part_id.parent_id", "part_id.segment", F.col("ordinal").alias("place"), F.lit(kind).alias("kind"), "context_prefix", "text", "token_count")
+    text = parts.where("kind <> 'table'")
+    short = text.where(F.col("n") <= profile.child_max).select("part_id", F.lit(0).alias("ordinal"), F.lit("").alias("context_prefix"), "text", F.col("n").alias("token_count"))
+    long = structure.sentence_chunks(text.where(F.col("n") > profile.child_max), profile, key="part_id").withColumn("context_prefix", F.lit(""))
+    rows = atomic.unionByName(back(short, "text")).unionByName(back(long, "text")).unionByName(back(table_groups(parts.where("kind = 'table'"), profile.child_max, key="part_id"), "table"))
+    numbered = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("parent_id").orderBy("segment", "place")) - 1)
+    return numbered.select("parent_id", "ordinal", "kind", "context_prefix", "text", "token_count")
 
 
 def history_entries(rows: DataFrame, keys: list[str], order: str, *, line: str = "line") -> DataFrame:

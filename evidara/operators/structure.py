@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +80,9 @@ def pack(lines: Column, cost, limit: int | Column) -> Column:
     return F.aggregate(lines, start, step, lambda a: a["out"])
 
 
+BETWEEN, WORD = re.compile(r"(?<=[.!?])\s+|\n\s*\n", re.A), re.compile(r"\S+", re.A)
+
+
 @dataclass(frozen=True)
 class Profile:
     """Token budgets of children: bounds, and how much a child repeats of the one before."""
@@ -92,57 +99,87 @@ class Profile:
         return min(self.overlap_max, max(self.overlap_min, round(self.child_target * self.overlap_ratio)))
 
 
+def next_start(upto: np.ndarray, at: int, least: int, goal: int, most: int) -> int:
+    """Where the child that starts at sentence ``at`` ends. upto: tokens before each sentence, and of all.
+
+    Its own tokens must come to ``least``; then it ends once they come to ``goal``, or before the sentence that would carry them beyond ``most``."""
+    own = upto - upto[at]
+    full, early = np.searchsorted(own, goal), np.searchsorted(own, most, side="right") - 1
+    return min(len(upto) - 1, max(int(np.searchsorted(own, least)), min(int(full), max(int(early), at + 1))))
+
+
+def child_starts(upto: np.ndarray, least: int, goal: int, most: int) -> list[int]:
+    """First sentences of all children; a last child under ``least`` joins the one before if both fit ``most``."""
+    starts, at, end = [], 0, len(upto) - 1
+    while at < end:
+        starts.append(at)
+        at = next_start(upto, at, least, goal, most)
+    if len(starts) > 1 and upto[end] - upto[starts[-1]] < least and upto[end] - upto[starts[-2]] <= most:
+        starts.pop()
+    return starts
+
+
+def lead_in(upto: np.ndarray, before: int, at: int, profile: Profile) -> int:
+    """The sentence from which the child at ``at`` repeats the one before it: the suffix whose tokens come closest to the overlap within
+    its bounds, the shorter of equals; ``at`` if there is none."""
+    sizes = upto[at] - upto[before:at]
+    fitting = np.flatnonzero((sizes >= profile.overlap_min) & (sizes <= profile.overlap_max))[::-1]
+    return before + int(fitting[np.argmin(np.abs(sizes[fitting] - profile.overlap))]) if len(fitting) else at
+
+
+def sentence_spans(text: str) -> list[tuple[int, int]]:
+    """Where each sentence stands: parts after . ! or ? and white space, or between blank lines; trimmed, empty ones left out."""
+    edges = [0, *(x for m in BETWEEN.finditer(text) for x in m.span()), len(text)]
+    out = []
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        inner = text[a:b].strip(" \t\n\r\f\v")
+        if inner:
+            start = text.index(inner[0], a)
+            out.append((start, start + len(inner)))
+    return out
+
+
 def sentence_chunks(docs: DataFrame, profile: Profile = Profile(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ordinal, n_sentences, n_overlap, token_count, text): sentences packed to the budgets, each chunk led by the suffix of the one
-    before that comes closest to the overlap target. Tokens are words. Packing is sequential within a document, so one Arrow pass."""
-    import re
-
-    import pyarrow as pa
-
-    unique_min, unique_max = max(1, profile.child_min - profile.overlap_max), profile.child_max - profile.overlap_max
-    goal = profile.child_target - profile.overlap
-    split = re.compile(r"(?<=[.!?])\s+|\n\s*\n")
-
-    def parts_of(text: str) -> list[list[str]]:
-        out: list[list[str]] = []
-        held = 0
-        for s in (x.strip() for x in split.split(text)):
-            if not s:
-                continue
-            n = len(s.split())
-            if out and not (held >= unique_min and (held >= goal or held + n > unique_max)):
-                out[-1].append(s)
-                held += n
-            else:
-                out.append([s])
-                held = n
-        size = lambda part: sum(len(x.split()) for x in part)
-        if len(out) > 1 and size(out[-1]) < unique_min and size(out[-2]) + size(out[-1]) <= unique_max:
-            tail = out.pop()
-            out[-1] += tail
-        return out
-
-    def suffix(part: list[str]) -> list[str]:
-        best, distance, n = [], profile.child_max, 0
-        for i in range(len(part) - 1, -1, -1):
-            n += len(part[i].split())
-            if n > profile.overlap_max:
-                break
-            if n >= profile.overlap_min and abs(n - profile.overlap) < distance:
-                best, distance = part[i:], abs(n - profile.overlap)
-        return best
-
-    def run(batches):
+    """(key, ordinal, n_sentences, n_overlap, token_count, text, char_start, char_end): children as ranges of sentences that keep to the token budgets, each
+    led in by the end of the one before. Tokens are words. Offsets are those of the range in the text. Null or empty texts have no children.
+
+    A range's end is found by binary search in the running token counts of the document, so long documents take one pass."""
+    bounds = (max(1, profile.child_min - profile.overlap_max), profile.child_target - profile.overlap, profile.child_max - profile.overlap_max)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            columns: list[list] = [[] for _ in range(8)]
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = parts_of(t or "")
-                for i, part in enumerate(parts):
-                    lead = suffix(parts[i - 1]) if i else []
-                    whole = " ".join([*lead, *part])
-                    rows.append((k, i, len(part), len(lead), len(whole.split()), whole))
-            kinds = (batch.column(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], [key, "ordinal", "n_sentences", "n_overlap", "token_count", "text"])
-
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ordinal int, n_sentences int, n_overlap int, token_count int, text string")
+                spans = sentence_spans(t or "")
+                upto = np.cumsum([0, *(len(WORD.findall(t, a, b)) for a, b in spans)])
+                starts = child_starts(upto, *bounds)
+                for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(spans)], strict=False)):
+                    first = lead_in(upto, starts[i - 1], a, profile) if i else a
+                    row = (k, i, b - a, a - first, int(upto[b] - upto[first]), " ".join(t[x:y] for x, y in spans[first:b]), spans[first][0], spans[b - 1][1])
+                    for column, value in zip(columns, row, strict=True):
+                        column.append(value)
+            kinds = (batch.column(0).type, *[pa.int32()] * 4, pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], [key, "ordinal", "n_sentences", "n_overlap", "token_count", "text", "char_start", "char_end"])
+
+    shape = f"{key} {docs.schema[key].dataType.simpleString()}, ordinal int, n_sentences int, n_overlap int, token_count int, text string, char_start int, char_end int"
+    return docs.select(key, text).mapInArrow(run, shape)
+
+
+def nearest_within(left: DataFrame, right: DataFrame, *, on: list[str], left_value: str, right_value: str, within: float, left_key: str, right_key: str) -> DataFrame:
+    """(left_key, right_key): for each left row the right row of the same ``on`` whose value is nearest, no farther than ``within``; ties to the smaller key.
+
+    Values are cut into bins of that width, and a right row stands in its own bin and the two beside it, so only neighbours meet."""
+    bin_of = lambda c: F.floor(F.col(c) / within)
+    a = left.select(*on, left_key, F.col(left_value).alias("_a"), bin_of(left_value).alias("_bin"))
+    b = right.select(*on, right_key, F.col(right_value).alias("_b"), F.explode(F.array(*[bin_of(right_value) + d for d in (-1, 0, 1)])).alias("_bin"))
+    away = F.abs(F.col("_a") - F.col("_b"))
+    near = a.join(b, [*on, "_bin"]).where(away <= within)
+    return near.groupBy(left_key).agg(F.min_by(right_key, F.struct(away, right_key)).alias(right_key))
+
+
+def starts_within(rows: DataFrame, *, on: list[str], at: str, key: str, within: float) -> DataFrame:
+    """(key, other): pairs of rows of the same ``on`` of which the second starts after the first, by ``within`` at most; by bins of that width."""
+    bin_of = F.floor(F.col("_at") / within)
+    a = rows.select(*on, F.col(key), F.col(at).alias("_from")).withColumn("_bin", F.explode(F.array(F.floor(F.col("_from") / within), F.floor(F.col("_from") / within) + 1)))
+    b = rows.select(*on, F.col(key).alias("other"), F.col(at).alias("_at")).withColumn("_bin", bin_of)
+    return a.join(b, [*on, "_bin"]).where((F.col("_at") > F.col("_from")) & (F.col("_at") <= F.col("_from") + within)).select(key, "other")
