@@ -34,10 +34,16 @@ def dense(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
 
 
 def table_digest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-independent: md5 of the sorted md5s of the rows. Row digests are combined in slices by their first three digits, so no task holds
-    all of them."""
+    """Order-independent: md5 of the sorted md5s of the rows. Row digests are combined in slices by their first digits, three for up to a hundred million rows
+    and three more for each further factor of 4096, and slices in slices of slices, so no task holds all of them."""
     row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]))
-    slices = df.select(row.alias("m")).groupBy(F.substring("m", 1, 3).alias("p")).agg(F.md5(F.array_join(F.array_sort(F.collect_list("m")), "")).alias("d"), F.count("*").alias("n"))
+    digits, most = 3, 100_000_000
+    while df.count() > most:
+        digits, most = digits + 3, most * 4096
+    slices = df.select(row.alias("m")).groupBy(F.substring("m", 1, digits).alias("p")).agg(F.md5(F.array_join(F.array_sort(F.collect_list("m")), "")).alias("d"), F.count("*").alias("n"))
+    for d in range(digits - 3, 0, -3):
+        inner = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ""))
+        slices = slices.groupBy(F.substring("p", 1, d).alias("q")).agg(inner.alias("d"), F.sum("n").alias("n")).withColumnRenamed("q", "p")
     return slices.agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "")).alias("digest"), F.sum("n").alias("n_rows"))
 
 
@@ -56,6 +62,6 @@ def roll_up(results: DataFrame) -> DataFrame:
 
 
 def contiguous(df: DataFrame, keys: list[str], number: str) -> DataFrame:
-    """Keys whose numbers are not 1, 2, 3 ... in order."""
+    """Keys whose numbers are not 1, 2, 3 ... in order; a null number breaks the order."""
     w = Window.partitionBy(*keys).orderBy(number)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") != F.col(number)).select(*keys).distinct()
+    return df.withColumn("_r", F.row_number().over(w)).where(~F.col("_r").eqNullSafe(F.col(number))).select(*keys).distinct()

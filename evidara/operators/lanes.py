@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """New rows in place of old ones of the same keys. Of new rows that repeat a key the last by ``order`` stays; without an order they must be unique."""
+    if order:
+        rest = [F.col(c) for c in new.columns if c not in keys]
+        new = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row")).select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in new.columns])
     return old.join(new, keys, "left_anti").unionByName(new)
 
 
@@ -32,11 +36,18 @@ def activate(vectors: DataFrame, bundle: str, as_of: str) -> DataFrame:
 
 
 def rollback(vectors: DataFrame, current: str, previous: str, as_of: str) -> DataFrame:
-    """Take back an activation: the current bundle ends, the previous one is active again where the current one had its documents."""
-    is_current, is_previous = F.col("bundle_id") == current, F.col("bundle_id") == previous
-    return vectors.withColumns(
-        {"superseded_at": F.when(is_current & F.col("is_active"), F.lit(as_of).cast("timestamp")).when(is_previous, None).otherwise(F.col("superseded_at")), "is_active": F.when(is_current, False).when(is_previous, True).otherwise(F.col("is_active"))}
-    )
+    """Take back an activation: the current bundle ends, and the previous one is active again in the lanes and for the documents that the current one held
+    there. Documents that another bundle has taken since, or that the current bundle never had, stay as they are; so does everything if the
+    previous bundle has no rows in a lane of the current one."""
+    scope = ["project_id", "profile_id", "document_id"]
+    held = vectors.where((F.col("bundle_id") == current) & F.col("is_active")).select(*scope).distinct().withColumn("_held", F.lit(True))
+    lanes = vectors.where(F.col("bundle_id") == previous).select(*scope[:2]).distinct().withColumn("_back", F.lit(True))
+    joined = vectors.join(held, scope, "left").join(F.broadcast(lanes), scope[:2], "left")  # one row a lane of one bundle
+    may = F.coalesce("_held", F.lit(False)) & F.coalesce("_back", F.lit(False))
+    ends, starts = may & (F.col("bundle_id") == current), may & (F.col("bundle_id") == previous)
+    return joined.withColumns(
+        {"superseded_at": F.when(ends & F.col("is_active"), F.lit(as_of).cast("timestamp")).when(starts, None).otherwise(F.col("superseded_at")), "is_active": F.when(ends, False).when(starts, True).otherwise(F.col("is_active"))}
+    ).select(*vectors.columns)
 
 
 def only_active(rows: DataFrame, scope: list[str], key: str, chosen: DataFrame) -> DataFrame:

@@ -145,7 +145,11 @@ def table_groups(tables: DataFrame, limit: int, *, key: str = "parent_id", text:
 
 def children(found: DataFrame, profile: structure.Profile = structure.Profile()) -> DataFrame:
     """(parent_id, ordinal, kind, context_prefix, text, token_count) of parents. A parent without a table that fits the largest child is one child (atomic).
-    The others are taken by segments: tables by groups of rows, text that fits whole, and longer text by sentences with overlap."""
+    The others are taken by segments: tables by groups of rows, text that fits whole, and longer text by sentences with overlap.
+    Parents without a column of blocks are one block each."""
+    if "blocks" not in found.columns:
+        found = found.withColumn("blocks", F.array(F.struct(F.lit(0).alias("ordinal"), "kind", "text")))
+    found = found.withColumn("token_count", tokens(F.col("text")))
     whole = (F.col("kind") != "table") & (F.col("token_count") <= profile.child_max)
     atomic = found.where(whole).select("parent_id", F.lit(0).alias("segment"), F.lit(0).alias("place"), F.lit("atomic").alias("kind"), F.lit("").alias("context_prefix"), "text", "token_count")
     parts = segments(found.where(~whole)).withColumn("part_id", F.struct("parent_id", "segment")).withColumn("n", tokens(F.col("text")))

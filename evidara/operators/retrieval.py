@@ -39,24 +39,24 @@ def batch_topk(queries: DataFrame, vectors: DataFrame, k: int, *, metric: str =
 
 
 def lexical_overlap(nodes: DataFrame, terms: list[str], k: int, *, text: str = "text", key: str = "node_id") -> DataFrame:
-    """Score: distinct query terms in the text over distinct query terms."""
+    """(key, score): distinct query terms in the text over distinct query terms."""
     asked = sorted(set(terms))
-    hits = F.size(F.array_intersect(F.array_distinct(T.words(F.col(text))), F.array(*[F.lit(x) for x in asked])))
-    return nodes.withColumn("score", F.round(hits / len(asked), 6)).where("score > 0").orderBy(F.desc("score"), key).limit(k)
-
-
-def _occurrences(term: str) -> Column:
-    return F.size(F.filter("_words", lambda x: x == F.lit(term)))
+    hits = F.size(F.array_intersect(T.words(F.col(text)), F.array(*[F.lit(x) for x in asked])))
+    # a generated column: the words are made once a text, however often the score is used
+    scored = nodes.select(key, F.explode(F.array(F.round(hits / len(asked), 6))).alias("score"))
+    return scored.where("score > 0").orderBy(F.desc("score"), key).limit(k)
 
 
 def lexical_all_terms(nodes: DataFrame, terms: list[str], k: int, *, text: str = "text", key: str = "node_id") -> DataFrame:
-    """Texts with every term; rank: term frequency over 1 + ln(words)."""
+    """(key, score) of texts with every term; rank: term frequency over 1 + ln(words)."""
     asked = sorted(set(terms))
-    found = T.words(F.col(text))
-    counts = [_occurrences(t) for t in asked]
-    rows = nodes.withColumn("_words", found).withColumn("_hits", F.array(*counts)).where(F.forall("_hits", lambda x: x > 0))
-    total = F.aggregate("_hits", F.lit(0), lambda a, x: a + x)
-    return rows.withColumn("score", F.round(total / (1 + F.log(F.size("_words").cast("double"))), 6)).drop("_words", "_hits").orderBy(F.desc("score"), key).limit(k)
+    # one pass over the words: how many there are, and how many are each term
+    start = F.struct(F.lit(0).alias("n"), *[F.lit(0).alias(f"t{i}") for i in range(len(asked))])
+    step = lambda a, w: F.struct((a["n"] + 1).alias("n"), *[(a[f"t{i}"] + (w == F.lit(t)).cast("int")).alias(f"t{i}") for i, t in enumerate(asked)])
+    counted = nodes.select(key, F.inline(F.array(F.aggregate(T.words(F.col(text)), start, step))))
+    total = sum((F.col(f"t{i}") for i in range(1, len(asked))), F.col("t0"))
+    found = counted.where(" and ".join(f"t{i} > 0" for i in range(len(asked))))
+    return found.select(key, F.round(total / (1 + F.log(F.col("n").cast("double"))), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def rrf(lists: DataFrame, *, k: int = 60, by: tuple[str, ...] = (), key: str = "node_id") -> DataFrame:
@@ -87,5 +87,6 @@ def policy(profiles: DataFrame) -> DataFrame:
 
 def hit_rates(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """ranked(query_id, rank, node_id), relevant(query_id, relevant_id): recall at k (any hit) and mean reciprocal rank over ranked queries."""
-    first = ranked.join(relevant, (ranked.query_id == relevant.query_id) & (ranked.node_id == relevant.relevant_id), "left").groupBy(ranked.query_id).agg(F.min(F.when(F.col("relevant_id").isNotNull(), F.col("rank"))).alias("first"))
+    wanted = relevant.select(F.col("query_id"), F.col("relevant_id").alias("node_id"), F.lit(True).alias("_hit")).distinct()
+    first = ranked.select("query_id", "rank", "node_id").join(wanted, ["query_id", "node_id"], "left").groupBy("query_id").agg(F.min(F.when(F.col("_hit"), F.col("rank"))).alias("first"))
     return first.agg(F.round(F.avg((F.coalesce("first", F.lit(1 << 30)) <= k).cast("double")), 6).alias("recall_at_k"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))

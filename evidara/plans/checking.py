@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidara.operators import checks as K
 from evidara.operators import platform as P
+from evidara.operators import structure as S
 from evidara.plans.registry import query, table
 from evidara.sources import files
 
@@ -25,10 +25,10 @@ def orphan_anti_joins(spark, sf_dir):
     )
 
 
-@query("SELECT c_custkey, s_suppkey, CASE WHEN c_nationkey > s_nationkey THEN 'after' ELSE 'before' END AS side FROM customer JOIN supplier ON c_custkey % 50 = s_suppkey % 50 AND c_nationkey <> s_nationkey")
+@query("SELECT c_custkey, s_suppkey, CASE WHEN c_nationkey > s_nationkey THEN 'after' ELSE 'before' END AS side FROM customer JOIN supplier ON c_custkey // 10 = s_suppkey AND c_nationkey <> s_nationkey")
 def project_mismatch_theta(spark, sf_dir):
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    joined = c.join(s, (F.col("c_custkey") % 50 == F.col("s_suppkey") % 50) & (F.col("c_nationkey") != F.col("s_nationkey")))
+    joined = c.join(s, (F.floor(F.col("c_custkey") / 10) == F.col("s_suppkey")) & (F.col("c_nationkey") != F.col("s_nationkey")))
     return joined.select("c_custkey", "s_suppkey", F.when(F.col("c_nationkey") > F.col("s_nationkey"), "after").otherwise("before").alias("side"))
 
 
@@ -46,10 +46,10 @@ def set_equality_check(spark, sf_dir):
 
 
 @query("""
-SELECT r_regionkey AS binding_id, n_name AS processing, c AS chunking, r_regionkey || '|' || n_name || '|' || c AS cell_id FROM region CROSS JOIN (SELECT n_name FROM nation WHERE n_nationkey < 4) CROSS JOIN (VALUES ('small'), ('large')) AS t(c)
+SELECT r_regionkey AS binding_id, n_name AS processing, c AS chunking, r_regionkey || '|' || n_name || '|' || c AS cell_id FROM region CROSS JOIN nation CROSS JOIN (VALUES ('small'), ('large')) AS t(c)
 """)
 def variant_matrix(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 4").select(F.col("n_name").alias("processing"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("processing"))
     return P.variant_matrix(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("binding_id")), n, spark.createDataFrame([("small",), ("large",)], "chunking string"))
 
 
@@ -69,12 +69,12 @@ def version_bindings_having(spark, sf_dir):
 
 
 @query("""
-WITH m AS (SELECT md5(concat_ws('|', CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR))) AS m FROM nation),
+WITH m AS (SELECT md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), l_returnflag)) AS m FROM lineitem),
 s AS (SELECT left(m, 3) AS p, md5(string_agg(m, '' ORDER BY m)) AS d, count(*) AS n FROM m GROUP BY 1)
 SELECT md5(string_agg(d, '' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS n_rows FROM s
 """)
 def table_digest(spark, sf_dir):
-    return K.table_digest(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
+    return K.table_digest(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"])
 
 
 @query("SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY turn, text)) AS manifest_hash, count(*) AS n_members FROM conversations GROUP BY conv_id")
@@ -82,12 +82,17 @@ def content_fingerprint(spark, sf_dir):
     return K.manifest(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
 
 
-_MOVES = [(1, "draft", "building"), (1, "building", "built"), (2, "draft", "published"), (3, "published", "retired"), (4, "retired", "draft"), (5, "validated", "published"), (6, "failed", "building"), (7, "built", "published")]
+_STATES = ("draft", "building", "built", "validated", "published", "retired", "failed")
+_STATE = "(['" + "', '".join(_STATES) + "'])[%s %% 7 + 1]"
 
 
-@query("SELECT * FROM (VALUES (2, 'draft', 'published'), (4, 'retired', 'draft'), (7, 'built', 'published')) AS t(release_id, before, after)")
+@query(f"""
+WITH m AS (SELECT o_orderkey AS release_id, {_STATE % 'o_orderkey'} AS before, {_STATE % 'o_custkey'} AS after FROM orders)
+SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in P.TRANSITIONS)}) AS t(a, b) WHERE a = before AND b = after)
+""")
 def release_transitions(spark, sf_dir):
-    return P.illegal_moves(spark, spark.createDataFrame(_MOVES, "release_id int, before string, after string")).select("release_id", "before", "after")
+    state = lambda c: F.element_at(F.array(*[F.lit(x) for x in _STATES]), (F.col(c) % 7 + 1).cast("int"))
+    return P.illegal_moves(spark, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("release_id"), state("o_orderkey").alias("before"), state("o_custkey").alias("after"))).select("release_id", "before", "after")
 
 
 @query("""
@@ -199,14 +204,13 @@ def index_validation(spark, sf_dir):
 
 @query("SELECT o_orderkey, c_custkey FROM (SELECT o_orderkey, o_custkey, c_custkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(o_totalprice / 100 - c_acctbal), c_custkey) AS k FROM orders JOIN customer ON o_custkey % 40 = c_custkey % 40 AND abs(o_totalprice / 100 - c_acctbal) <= 500) WHERE k = 1")
 def nearest_label_join(spark, sf_dir):
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    away = F.abs(F.col("o_totalprice") / 100 - F.col("c_acctbal"))
-    near = o.join(c, (F.col("o_custkey") % 40 == F.col("c_custkey") % 40) & (away <= 500)).select("o_orderkey", "c_custkey", away.alias("away"))
-    return near.groupBy("o_orderkey").agg(F.min_by("c_custkey", F.struct("away", "c_custkey")).alias("c_custkey"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 40).alias("k"), (F.col("o_totalprice") / 100).alias("price"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 40).alias("k"), "c_acctbal")
+    return S.nearest_within(o, c, on=["k"], left_value="price", right_value="c_acctbal", within=500, left_key="o_orderkey", right_key="c_custkey")
 
 
 @query("SELECT a.event_id, count(b.event_id) AS n FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 20 MINUTE GROUP BY a.event_id")
 def near_start_range_join(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(1, 20 * 60 * 1_000_000)
-    return e.select("event_id", F.count("event_id").over(w).alias("n"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    pairs = S.starts_within(e, on=["user_id"], at="at", key="event_id", within=20 * 60 * 1_000_000)
+    return e.select("event_id").join(pairs, "event_id", "left").groupBy("event_id").agg(F.count("other").alias("n"))

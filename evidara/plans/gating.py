@@ -114,7 +114,7 @@ def snapshot_changes(spark, sf_dir):
     return G.changes(hashed.where(d % 10 != 3), after, "doc_id", "sha")
 
 
-_CALLS = "SELECT user_id AS run, event_id AS position, CASE event_type WHEN 'view' THEN 'parse' WHEN 'click' THEN 'extract' ELSE 'classify' END AS stop FROM events WHERE event_id % 20 = 0"
+_CALLS = "SELECT event_id // 4 AS run, event_id AS position, CASE event_type WHEN 'view' THEN 'parse' WHEN 'click' THEN 'extract' ELSE 'classify' END AS stop FROM events"
 
 
 @query(f"""
@@ -123,7 +123,7 @@ SELECT run, CASE WHEN len(s) - len(replace(s, 'parse', 'pars')) <> 1 THEN 'not_o
 """)
 def call_order_validity(spark, sf_dir):
     stop = F.when(F.col("event_type") == "view", "parse").when(F.col("event_type") == "click", "extract").otherwise("classify")
-    return G.call_order(table(spark, sf_dir, "events").where("event_id % 20 = 0").select(F.col("user_id").alias("run"), F.col("event_id").alias("position"), stop.alias("stop")), "run")
+    return G.call_order(table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 4).alias("run"), F.col("event_id").alias("position"), stop.alias("stop")), "run")
 
 
 @query("""
@@ -180,9 +180,9 @@ def union_boxes(spark, sf_dir):
     return G.around(boxes, ["o_custkey"]).select("o_custkey", *[F.round(c, 6).alias(c) for c in ("x0", "top", "x1", "bottom")], "page_start", "page_end")
 
 
-@query("SELECT concat_ws('/', lang, source) AS path, count(DISTINCT doc_id) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR)) AS sources FROM (SELECT DISTINCT lang, source, doc_id FROM documents WHERE n_chars > 3000) GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")
+@query("SELECT concat_ws('/', lang, source, n_chars) AS path, count(DISTINCT doc_id) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR)) AS sources FROM (SELECT DISTINCT lang, source, n_chars, doc_id FROM documents) GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")
 def path_collisions(spark, sf_dir):
-    return G.collisions(table(spark, sf_dir, "documents").where("n_chars > 3000").select(F.concat_ws("/", "lang", "source").alias("path"), "doc_id"), "path", "doc_id")
+    return G.collisions(table(spark, sf_dir, "documents").select(F.concat_ws("/", "lang", "source", "n_chars").alias("path"), "doc_id"), "path", "doc_id")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'missing' WHEN o_orderkey % 11 = 0 THEN 'input_changed' WHEN o_orderkey % 7 = 0 THEN 'other_id' ELSE 'not_reused' END AS reason FROM orders WHERE o_orderkey % 13 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 5 = 0")

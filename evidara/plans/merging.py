@@ -35,8 +35,10 @@ def activate_supersede(spark, sf_dir):
 
 
 @query(f"""
-SELECT node_id, bundle_id, CASE bundle_id WHEN 'b0' THEN FALSE WHEN 'b2' THEN TRUE ELSE is_active END AS is_active,
-  strftime(CASE WHEN bundle_id = 'b0' AND is_active THEN TIMESTAMP '{_AT}' WHEN bundle_id = 'b2' THEN NULL ELSE superseded_at END, '%Y-%m-%d') AS superseded FROM ({_ROWS})
+WITH r AS ({_ROWS}), h AS (SELECT DISTINCT project_id, profile_id, document_id FROM r WHERE bundle_id = 'b0' AND is_active), l AS (SELECT DISTINCT project_id AS p, profile_id AS q FROM r WHERE bundle_id = 'b2'),
+j AS (SELECT r.*, h.document_id IS NOT NULL AND l.p IS NOT NULL AS may FROM r LEFT JOIN h ON h.project_id = r.project_id AND h.profile_id = r.profile_id AND h.document_id = r.document_id LEFT JOIN l ON l.p = r.project_id AND l.q = r.profile_id)
+SELECT node_id, bundle_id, CASE WHEN may AND bundle_id = 'b0' THEN FALSE WHEN may AND bundle_id = 'b2' THEN TRUE ELSE is_active END AS is_active,
+  strftime(CASE WHEN may AND bundle_id = 'b0' AND is_active THEN TIMESTAMP '{_AT}' WHEN may AND bundle_id = 'b2' THEN NULL ELSE superseded_at END, '%Y-%m-%d') AS superseded FROM j
 """)
 def rollback(spark, sf_dir):
     return _shown(L.rollback(lane_rows(spark, sf_dir), "b0", "b2", _AT))

@@ -156,7 +156,9 @@ def recall_mrr(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     queries = rows.where("node_id % 20 = 0")
     ranked = R.batch_topk(queries.select(F.col("node_id").alias("query_id"), F.col("embedding").alias("query")), rows, 10)
-    relevant = queries.select(F.col("node_id").alias("query_id"), "label").join(rows.select(F.col("node_id").alias("relevant_id"), "label"), "label").select("query_id", "relevant_id")
+    # of the rows that were found, those with the query's label are relevant
+    label = lambda name: rows.select(F.col("node_id").alias(name), F.col("label").alias(f"{name}_label"))
+    relevant = ranked.select("query_id", F.col("node_id").alias("relevant_id")).join(label("query_id"), "query_id").join(label("relevant_id"), "relevant_id").where("query_id_label = relevant_id_label").select("query_id", "relevant_id")
     return R.hit_rates(ranked, relevant, 3)
 
 

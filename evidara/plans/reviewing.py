@@ -35,11 +35,11 @@ def review_reasons(spark, sf_dir):
 
 
 @query("""
-SELECT source, CASE WHEN n = 1 THEN o END AS owner, CASE WHEN n = 0 THEN 'no_owner' WHEN n > 1 THEN 'several_owners' ELSE '' END AS reason
-FROM (SELECT source, count(DISTINCT lang) AS n, min(lang) AS o FROM documents WHERE n_chars > 4000 GROUP BY source)
+SELECT n_chars, CASE WHEN n = 1 THEN o END AS owner, CASE WHEN n = 0 THEN 'no_owner' WHEN n > 1 THEN 'several_owners' ELSE '' END AS reason
+FROM (SELECT n_chars, count(DISTINCT lang) AS n, min(lang) AS o FROM documents GROUP BY n_chars)
 """)
 def sole_owner(spark, sf_dir):
-    return R.sole_owner(table(spark, sf_dir, "documents").where("n_chars > 4000"), "source", "lang")
+    return R.sole_owner(table(spark, sf_dir, "documents"), "n_chars", "lang")
 
 
 @query("""
@@ -66,14 +66,14 @@ def embedding_bundle_validation(spark, sf_dir):
 
 
 @query("""
-SELECT o_custkey % 97 AS snapshot_id, CASE WHEN count(o_orderkey) = 0 THEN 'empty' WHEN count(DISTINCT o_orderkey) < count(o_orderkey) THEN 'duplicate' WHEN bool_or(o_custkey % 3 <> o_custkey % 97 % 3 AND o_orderkey % 50 = 0) THEN 'foreign_project'
-  WHEN bool_or(o_orderkey % 40 = 1) THEN 'blocked' WHEN bool_or(o_orderkey % 20 = 2 AND o_custkey % 2 = 0) THEN 'needs_decision' ELSE '' END AS reason FROM orders WHERE o_orderkey % 9 = 0 GROUP BY 1
+SELECT o_custkey AS snapshot_id, CASE WHEN count(o_orderkey) = 0 THEN 'empty' WHEN count(DISTINCT o_orderkey) < count(o_orderkey) THEN 'duplicate' WHEN bool_or(o_orderkey % 50 = 0) THEN 'foreign_project'
+  WHEN bool_or(o_orderkey % 40 = 1) THEN 'blocked' WHEN bool_or(o_orderkey % 20 = 2 AND o_custkey % 2 = 0) THEN 'needs_decision' ELSE '' END AS reason FROM orders GROUP BY 1
 """)
 def snapshot_eligibility(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     state = F.when(k % 40 == 1, "blocked").when(k % 20 == 2, "needs_review").otherwise("clean")
-    rows = table(spark, sf_dir, "orders").where(k % 9 == 0).select(
-        (c % 97).alias("snapshot_id"), k.alias("revision_id"), F.when((c % 3 != c % 97 % 3) & (k % 50 == 0), 1).otherwise(0).alias("project_id"), F.lit(0).alias("owner_id"), state.alias("review_state"), F.when(c % 2 != 0, "approved").alias("decision")
+    rows = table(spark, sf_dir, "orders").select(
+        c.alias("snapshot_id"), k.alias("revision_id"), F.when(k % 50 == 0, 1).otherwise(0).alias("project_id"), F.lit(0).alias("owner_id"), state.alias("review_state"), F.when(c % 2 != 0, "approved").alias("decision")
     )
     return R.snapshot_gate(rows)
 
@@ -89,14 +89,25 @@ def ocr_confidence(spark, sf_dir):
     return table(spark, sf_dir, "events").where("value >= 0").groupBy("user_id").agg(F.round(F.avg(c), 6).alias("confidence"), F.count_if(c < 0.5).alias("low"), F.count("*").alias("words"))
 
 
-@query("SELECT * FROM (VALUES ('1-3,5', '1,2,3,5'), ('7', '7'), (' 2 - 4 , 3', '2,3,4')) AS t(spec, pages)")
+@query("""
+SELECT l_orderkey, spec, array_to_string(list_sort(list_distinct(flatten([range(a, a + b + 1), [c]]))), ',') AS pages
+FROM (SELECT l_orderkey, l_linenumber, a || '-' || a + b || ' , ' || c AS spec, a, b, c FROM (SELECT l_orderkey, l_linenumber, l_linenumber AS a, l_suppkey % 4 AS b, l_partkey % 9 + 1 AS c FROM lineitem))
+""")
 def page_spec(spark, sf_dir):
-    return spark.createDataFrame([("1-3,5",), ("7",), (" 2 - 4 , 3",)], "spec string").select("spec", F.array_join(T.page_spec(F.col("spec")).cast("array<string>"), ",").alias("pages"))
+    a, b, c = F.col("l_linenumber"), F.col("l_suppkey") % 4, F.col("l_partkey") % 9 + 1
+    text = lambda x: x.cast("string")
+    specs = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(text(a), F.lit("-"), text(a + b), F.lit(" , "), text(c)).alias("spec"))
+    return specs.select("l_orderkey", "spec", F.array_join(T.page_spec(F.col("spec")).cast("array<string>"), ",").alias("pages"))
 
 
-@query("SELECT * FROM (VALUES ('1', 1), ('1.2', 2), ('1.2.3.4.5.6.7', 6), ('Artículo 5.1', 1), ('ARTICULO', 1)) AS t(label, level)")
+@query("""
+SELECT l_orderkey, label, CAST(CASE WHEN word THEN 1 ELSE least(6, parts) END AS INTEGER) AS level
+FROM (SELECT l_orderkey, l_linenumber % 3 = 0 AS word, l_quantity % 8 + 1 AS parts, CASE WHEN l_linenumber % 3 = 0 THEN 'Artículo ' ELSE '' END || array_to_string(list_transform(range(1, CAST(l_quantity AS BIGINT) % 8 + 2), lambda i: CAST(i AS VARCHAR)), '.') AS label FROM lineitem)
+""")
 def article_levels(spark, sf_dir):
-    return spark.createDataFrame([("1",), ("1.2",), ("1.2.3.4.5.6.7",), ("Artículo 5.1",), ("ARTICULO",)], "label string").select("label", R.article_level(F.col("label")).alias("level"))
+    numbers = F.array_join(F.transform(F.sequence(F.lit(1), F.col("l_quantity").cast("int") % 8 + 1), lambda i: i.cast("string")), ".")
+    label = F.concat(F.when(F.col("l_linenumber") % 3 == 0, "Artículo ").otherwise(""), numbers)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", label.alias("label")).select("l_orderkey", "label", R.article_level(F.col("label")).alias("level"))
 
 
 @query("SELECT doc_id, '---' || chr(10) || 'id: ' || doc_id || chr(10) || 'lang: ' || coalesce(lang, '') || chr(10) || 'chars: ' || n_chars || chr(10) || '---' AS front FROM documents")

@@ -27,11 +27,11 @@ def grouped_children(spark, sf_dir):
 
 
 @query("""
-SELECT conv_id, turn, role, CAST(CASE WHEN role = '' OR contains(left(min(text), 60), role) THEN 0 ELSE 1 END AS INTEGER) AS added FROM conversations GROUP BY conv_id, turn, role
+SELECT conv_id, turn, role, CAST(CASE WHEN role = '' OR contains(min(text), role) THEN 0 ELSE 1 END AS INTEGER) AS added FROM conversations GROUP BY conv_id, turn, role
 """)
 def hybrid_pages(spark, sf_dir):
     """Pages with their own text and their role (twice) as regions: only a role that the page does not hold is new."""
-    pages = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn", "role").agg(F.substring(F.min("text"), 1, 60).alias("text"))
+    pages = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn", "role").agg(F.min("text").alias("text"))
     keys = ["conv_id", "turn", "role"]
     regions = pages.select(*keys, F.posexplode(F.array("text", "role", "role")).alias("ordinal", "text"))
     return A.merge_regions(pages, regions, keys).select(*keys, "added")
@@ -116,14 +116,14 @@ def metadata_maps(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, md5(regexp_replace(regexp_replace(lower(translate(left(coalesce(source, '') || ' ' || coalesce(lang, '') || ' Ñandú', 80), 'áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ', 'aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS slug_md5,
+SELECT doc_id, md5(regexp_replace(regexp_replace(lower(translate(coalesce(source, '') || ' ' || coalesce(lang, '') || ' Ñandú', 'áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ', 'aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS slug_md5,
   CASE WHEN lang = 'en' THEN source || chr(10) || 'x' ELSE 'x' END AS input, doc_id % 3 <> 0 AS safe, 'a.b/' || doc_id || '.metadata.json' AS sidecar
 FROM documents
 """)
 def text_keys(spark, sf_dir):
     d = F.col("doc_id").cast("string")
     path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("a/../"), d)).otherwise(F.concat(F.lit("a..b/"), d, F.lit(".pdf")))
-    named = F.substring(F.concat_ws(" ", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.lit("Ñandú")), 1, 80)
+    named = F.concat_ws(" ", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.lit("Ñandú"))
     prefix = F.when(F.col("lang") == "en", F.col("source")).otherwise("")
     return table(spark, sf_dir, "documents").select(
         "doc_id", F.md5(T.slug(named)).alias("slug_md5"), T.in_context(prefix, F.lit("x")).alias("input"), T.safe_path(path).alias("safe"), T.sidecar(F.concat(F.lit("a.b/"), d, F.lit(".pdf")), ".metadata.json").alias("sidecar")
@@ -132,9 +132,12 @@ def text_keys(spark, sf_dir):
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents")
 def composed_text(spark, sf_dir):
-    """Texts with every é taken apart and put together again, and read wrongly and repaired, are the texts."""
+    """Texts with every é taken apart are put together again, and those that were read as Latin-1 are repaired: SQL sees the texts as they are."""
     text = F.coalesce("text", F.lit(""))
-    return texts(spark, sf_dir).select("doc_id", F.sha2(T.compose(F.replace(text, F.lit("é"), F.lit("e\u0301"))), 256).alias("text_sha256"))
+    apart = T.compose(F.replace(text, F.lit("é"), F.lit("e\u0301")))
+    wrong = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    repaired = F.when(F.col("doc_id") % 2 == 0, apart).otherwise(T.repair(wrong))
+    return texts(spark, sf_dir).select("doc_id", F.sha2(repaired, 256).alias("text_sha256"))
 
 
 @query("""

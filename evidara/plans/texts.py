@@ -179,7 +179,7 @@ SELECT d.doc_id, b.value, b.source, CAST(coalesce(b.a, 0.35) AS DOUBLE) AS autho
 def rule_classification(spark, sf_dir):
     docs = texts(spark, sf_dir)
     evidence = docs.select("doc_id", F.lit("content").alias("source"), "text").unionByName(docs.select("doc_id", F.lit("route").alias("source"), F.col("source").alias("text")))
-    return C.choose(evidence, C.rules_frame(spark, _RULES), key="doc_id")
+    return C.choose(evidence, _RULES, key="doc_id")
 
 
 @query(r"""
