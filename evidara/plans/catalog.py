@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidara.plans import checking, controlling, gating, ledgers, marking, merging, retrieving, reviewing, storing, texts  # noqa: F401
+from evidara.plans import checking, controlling, gating, ledgers, marking, merging, retrieving, reviewing, storing, texts, verifying  # noqa: F401
 from evidara.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "evidence_search"
