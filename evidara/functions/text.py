@@ -131,3 +131,61 @@ def page_spec(spec: Column) -> Column:
     """1-3,5 as the array 1, 2, 3, 5."""
     one = lambda x: F.sequence(F.element_at(F.split(x, "-"), 1).cast("int"), F.element_at(F.split(x, "-"), -1).cast("int"))
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(F.regexp_replace(spec, r"\s", ""), ","), one))))
+
+
+#: Keys whose values never leave, endings of such keys, keys of stored provider responses, and what a signed URL looks like.
+SENSITIVE = (
+    "api_key", "authorization", "body", "chunk_text", "content", "credential", "document_text", "markdown", "password", "payload", "prompt", "raw", "raw_text", "request_body", "response", "secret", "signed_url", "text", "token",
+    "url", "value_raw",
+)
+SENSITIVE_ENDS = ("_body", "_content", "_markdown", "_payload", "_text", "_url")
+PAYLOAD_KEYS = ("api_key", "token", "authorization", "signed_url", "url")
+SIGNED_URL = r"(?i)https?://\S*(?:signature|x-amz-signature|x-goog-signature|token|auth|sig)=\S*"
+REDACTED = "***redacted***"
+
+
+def sanitize(value: Column, key: Column | str = "", limit: int = 256) -> Column:
+    """A value as a log may hold it: nothing of sensitive keys or with a signed URL, the first ``limit`` characters (an ellipsis included) of the rest."""
+    name = F.lower(F.lit(key) if isinstance(key, str) else key)
+    secret = name.isin(*SENSITIVE) | name.rlike("(?:" + "|".join(SENSITIVE_ENDS) + ")$") | value.rlike(SIGNED_URL)
+    cut = F.when(F.length(value) <= limit, value).otherwise(F.concat(F.substring(value, 1, limit - 3), F.lit("...")))
+    return F.when((value != "") & F.coalesce(secret, F.lit(False)), F.lit(REDACTED)).otherwise(cut)
+
+
+def preview(values: Column, key: Column | str = "", items: int = 8) -> Column:
+    """The first items of an array, each as ``sanitize`` leaves it, and how many more there are."""
+    shown = F.transform(F.slice(values, 1, items), lambda x: sanitize(x, key))
+    return F.when(F.size(values) > items, F.concat(shown, F.array(F.concat(F.lit("...(+"), (F.size(values) - items).cast("string"), F.lit(" more)"))))).otherwise(shown)
+
+
+def error_text(text: Column) -> Column:
+    """An error's text without URLs and absolute paths."""
+    bare = F.regexp_replace(F.regexp_replace(text, SIGNED_URL, REDACTED), r"(?i)https?://\S+", REDACTED)
+    return F.regexp_replace(bare, r"(?:[A-Za-z]:\\|\\\\|/)[^\s\"']{2,}", REDACTED)
+
+
+def redact_json(payload: Column) -> Column:
+    """A provider's JSON response with the values of its secret keys, and all strings that are URLs, replaced. Objects and arrays of secret keys stay."""
+    string = r'"(?:[^"\\]|\\.)*+"'
+    keyed = F.regexp_replace(payload, r'(?i)("(?:' + "|".join(PAYLOAD_KEYS) + r')"\s*:\s*)(?:' + string + r"|-?[0-9][0-9.eE+-]*|true|false|null)", f'$1"{REDACTED}"')
+    return F.regexp_replace(keyed, r'(?i)"https?://(?:[^"\\]|\\.)*+"(?!\s*:)', f'"{REDACTED}"')
+
+
+#: What the labels of form fields begin with, further whole labels, and words that forms announce themselves with.
+LABEL_STARTS = ("nombre", "cargo", "documento", "descripcion", "firma", "telefono", "correo", "proyecto", "celular")
+LABELS = (*LABEL_STARTS, "fecha", "area", "testigo", "documento de identidad", "correo electronico")
+FORM_WORDS = ("formato", "formulario", "diligencie", "datos de la persona")
+
+
+def is_label(line: Column) -> Column:
+    """Whether a line is the label of a form field: a known one, or one that begins with a known word, with a colon at its end."""
+    bare = F.regexp_replace(F.lower(normalize_text(line)), ":+$", "")
+    return F.coalesce(F.trim(line).endswith(":") & (bare.isin(*LABELS) | bare.rlike("^(?:" + "|".join(LABEL_STARTS) + ") ")), F.lit(False))
+
+
+def has_form_signal(text: Column) -> Column:
+    low = F.lower(normalize_text(text))
+    found = F.lit(False)
+    for word in FORM_WORDS:
+        found = found | F.contains(low, F.lit(word))
+    return F.coalesce(found, F.lit(False))

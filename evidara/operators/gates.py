@@ -42,6 +42,39 @@ def retrieval_readiness(retrieval: DataFrame, profiles: DataFrame, targets: Data
     return out.select("retrieval_id", zero("active_rows"), zero("active_documents"), "bundle_id", (F.col("blocking_reasons") == "").alias("ready"), "blocking_reasons")
 
 
+def indexing_readiness(bundles: DataFrame, profiles: DataFrame, targets: DataFrame) -> DataFrame:
+    """(bundle_id, ready, blocking_reasons): whether a bundle may be indexed. bundles(bundle_id, profile_id, status, configuration_fingerprint, metric),
+    profiles(profile_id, proven, document_enabled, waived, expected_fingerprint, vector_table, target_id), targets(target_id, target_active, target_table, metrics array)."""
+    rows = bundles.join(profiles, "profile_id", "left").join(targets, "target_id", "left")
+    fits = F.col("target_active") & (F.col("target_table") == F.col("vector_table")) & F.array_contains("metrics", F.col("metric"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    found = reasons(
+        embedding_bundle_invalid=~F.col("status").eqNullSafe("sealed"), embedding_profile_compatibility_not_proven=~yes(F.col("proven")), embedding_profile_documents_disabled=~yes(F.col("document_enabled")) & ~yes(F.col("waived")),
+        embedding_engine_semantic_mismatch=~F.col("configuration_fingerprint").eqNullSafe(F.col("expected_fingerprint")), indexing_target_incompatible=~yes(fits),
+    )
+    return rows.withColumn("blocking_reasons", found).select("bundle_id", (F.col("blocking_reasons") == "").alias("ready"), "blocking_reasons")
+
+
+def serving_readiness(runs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(run_id, active_vector_rows, ready, blocking_reasons): whether an indexing run can serve searches. runs(run_id, status, activation_status, bundle_id,
+    target_id, corpus_version), vectors(bundle_id, target_id, corpus_version, is_active)."""
+    lane = ["bundle_id", "target_id", "corpus_version"]
+    counts = vectors.where("is_active").groupBy(*lane).agg(F.count("*").alias("active_vector_rows"))
+    rows = runs.join(counts, lane, "left").withColumn("active_vector_rows", F.coalesce("active_vector_rows", F.lit(0)))
+    placed = F.col("bundle_id").isNotNull() & F.col("target_id").isNotNull() & F.col("corpus_version").isNotNull()
+    found = reasons(
+        indexing_run_not_completed=~F.col("status").eqNullSafe("completed"), indexing_bundle_not_activated=~F.col("activation_status").eqNullSafe("active"),
+        no_active_vector_rows=placed & (F.col("active_vector_rows") == 0), indexing_target_incompatible=~placed,
+    )
+    return rows.withColumn("blocking_reasons", found).select("run_id", "active_vector_rows", (F.col("blocking_reasons") == "").alias("ready"), "blocking_reasons")
+
+
+def health(**families: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """(family, issue, subject): every failing row of every check of every family, each given as (issue, frame of failing rows, column that names them)."""
+    rows = [df.select(F.lit(family).alias("family"), F.lit(issue).alias("issue"), F.col(column).cast("string").alias("subject")) for family, checks in families.items() for issue, df, column in checks]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def run_errors(runs: DataFrame, documents: DataFrame) -> DataFrame:
     """(run_id, document_id, status, error_code): failed and skipped documents; a failed run without any gets one row of its own code."""
     bad = documents.where(F.col("status").isin("failed", "skipped")).select("run_id", "document_id", "status", "error_code")

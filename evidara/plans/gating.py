@@ -215,3 +215,52 @@ def vector_alignment(spark, sf_dir):
 def ordered_unique(spark, sf_dir):
     listed = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"])
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(G.ordered_unique(listed), ",").alias("kinds"))
+
+
+@query("""
+SELECT k AS bundle_id, r = '' AS ready, r AS blocking_reasons FROM (SELECT o_orderkey AS k, concat_ws(',', CASE WHEN o_orderkey % 6 = 0 THEN 'EMBEDDING_BUNDLE_INVALID' END, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 4 = 3 THEN 'EMBEDDING_ENGINE_SEMANTIC_MISMATCH' END,
+  CASE WHEN o_orderkey % 4 = 3 THEN 'EMBEDDING_PROFILE_COMPATIBILITY_NOT_PROVEN' END, CASE WHEN o_orderkey % 4 IN (1, 3) THEN 'EMBEDDING_PROFILE_DOCUMENTS_DISABLED' END, CASE WHEN o_orderkey % 4 IN (2, 3) OR o_orderkey % 5 = 0 THEN 'INDEXING_TARGET_INCOMPATIBLE' END) AS r FROM orders)
+""")
+def indexing_readiness(spark, sf_dir):
+    k, i = F.col("o_orderkey"), F.col("id")
+    bundles = table(spark, sf_dir, "orders").select(k.alias("bundle_id"), (k % 4).alias("profile_id"), F.when(k % 6 == 0, "writing").otherwise("sealed").alias("status"), F.when(k % 7 == 0, "x").otherwise("f").alias("configuration_fingerprint"), F.when(k % 5 == 0, "l1").otherwise("l2").alias("metric"))
+    profiles = spark.range(3).select(i.alias("profile_id"), F.lit(True).alias("proven"), (i != 1).alias("document_enabled"), F.lit(False).alias("waived"), F.lit("f").alias("expected_fingerprint"), F.lit("t").alias("vector_table"), i.alias("target_id"))
+    targets = spark.range(3).select(i.alias("target_id"), (i != 2).alias("target_active"), F.lit("t").alias("target_table"), F.array(F.lit("l2")).alias("metrics"))
+    return G.indexing_readiness(bundles, profiles, targets)
+
+
+@query("""
+WITH c AS (SELECT label AS b, vec_id % 3 AS t, count(*) AS n FROM embeddings WHERE vec_id % 4 <> 0 GROUP BY 1, 2),
+r AS (SELECT c_custkey AS run_id, c_custkey % 14 AS b, CASE WHEN c_custkey % 9 <> 0 THEN c_custkey % 3 END AS t, c_custkey % 5 = 0 AS failed, c_custkey % 8 = 0 AS off FROM customer)
+SELECT run_id, coalesce(n, 0) AS active_vector_rows, x = '' AS ready, x AS blocking_reasons FROM (SELECT r.*, n, concat_ws(',', CASE WHEN off THEN 'INDEXING_BUNDLE_NOT_ACTIVATED' END, CASE WHEN failed THEN 'INDEXING_RUN_NOT_COMPLETED' END,
+  CASE WHEN r.t IS NULL THEN 'INDEXING_TARGET_INCOMPATIBLE' END, CASE WHEN r.t IS NOT NULL AND n IS NULL THEN 'NO_ACTIVE_VECTOR_ROWS' END) AS x FROM r LEFT JOIN c ON c.b = r.b AND c.t = r.t)
+""")
+def serving_readiness(spark, sf_dir):
+    k, v = F.col("c_custkey"), F.col("vec_id")
+    runs = table(spark, sf_dir, "customer").select(k.alias("run_id"), F.when(k % 5 == 0, "failed").otherwise("completed").alias("status"), F.when(k % 8 == 0, "superseded").otherwise("active").alias("activation_status"), (k % 14).alias("bundle_id"), F.when(k % 9 != 0, k % 3).alias("target_id"), F.lit("1").alias("corpus_version"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("label").cast("bigint").alias("bundle_id"), (v % 3).alias("target_id"), F.lit("1").alias("corpus_version"), (v % 4 != 0).alias("is_active"))
+    return G.serving_readiness(runs, vectors)
+
+
+@query("""
+SELECT 'ownership' AS family, 'nation_missing' AS issue, CAST(c_custkey AS VARCHAR) AS subject FROM customer WHERE c_nationkey % 25 = 24
+UNION ALL SELECT 'orphans', 'customer_missing', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey % 13 = 0 UNION ALL SELECT 'orphans', 'part_missing', CAST(l_partkey AS VARCHAR) FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey % 97 = 0)
+UNION ALL SELECT 'releases', 'version_missing', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 89 = 0
+UNION ALL SELECT 'runs', 'completed_without_bundle', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT 'materializations', 'count_differs', CAST(l_orderkey AS VARCHAR) FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) <> max(l_linenumber))
+UNION ALL SELECT 'vectors', 'dimension', CAST(vec_id AS VARCHAR) FROM embeddings WHERE len(embedding) <> 64 UNION ALL SELECT 'project_mismatches', 'nation_differs', CAST(c_custkey AS VARCHAR) FROM customer JOIN supplier ON s_suppkey = c_custkey WHERE c_nationkey <> s_nationkey
+""")
+def platform_health(spark, sf_dir):
+    """Seven families of checks, one row a failing subject."""
+    t = lambda name: table(spark, sf_dir, name)
+    orders, items, customers = t("orders"), t("lineitem"), t("customer")
+    known = customers.where("c_custkey % 13 <> 0").select(F.col("c_custkey").alias("o_custkey"))
+    counts = items.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_linenumber").alias("last")).where("n <> last")
+    other = customers.join(t("supplier").select(F.col("s_suppkey").alias("c_custkey"), "s_nationkey"), "c_custkey").where("c_nationkey <> s_nationkey")
+    return G.health(
+        ownership=[("nation_missing", customers.where("c_nationkey % 25 = 24"), "c_custkey")],
+        orphans=[("customer_missing", orders.join(known, "o_custkey", "left_anti"), "o_orderkey"), ("part_missing", items.where("l_partkey % 97 = 0").select("l_partkey").distinct(), "l_partkey")],
+        releases=[("version_missing", orders.where("o_orderkey % 89 = 0"), "o_orderkey")],
+        runs=[("completed_without_bundle", orders.where("o_orderstatus = 'F'").join(items.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti"), "o_orderkey")],
+        materializations=[("count_differs", counts, "l_orderkey")], vectors=[("dimension", t("embeddings").where("size(embedding) <> 64"), "vec_id")], project_mismatches=[("nation_differs", other, "c_custkey")],
+    )

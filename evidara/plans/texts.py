@@ -222,3 +222,35 @@ SELECT doc_id, CASE WHEN len(t) > 256 THEN left(t, 256) || '...' ELSE t END AS t
 """)
 def redact_truncate(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", T.redact(F.col("text")).alias("text"))
+
+
+@query("""
+WITH v AS (SELECT doc_id, coalesce(source, '') || CASE WHEN doc_id % 5 = 0 THEN ' https://h/x?sig=1' ELSE '' END || coalesce(text, '') AS v, CASE doc_id % 4 WHEN 0 THEN 'raw_text' WHEN 1 THEN 'Token' ELSE 'note' END AS k FROM documents)
+SELECT doc_id, CASE WHEN v <> '' AND (doc_id % 4 < 2 OR doc_id % 5 = 0) THEN '***redacted***' WHEN len(v) <= 256 THEN v ELSE left(v, 253) || '...' END AS shown, CASE WHEN doc_id % 12 > 8 THEN list_concat(list_transform(range(8), lambda i: 'i' || i), ['...(+' || doc_id % 12 - 8 || ' more)']) ELSE list_transform(range(doc_id % 12), lambda i: 'i' || i) END[-1] AS last FROM v
+""")
+def sanitized_values(spark, sf_dir):
+    d = F.col("doc_id")
+    value = F.concat(F.coalesce("source", F.lit("")), F.when(d % 5 == 0, " https://h/x?sig=1").otherwise(""), F.coalesce("text", F.lit("")))
+    key = F.when(d % 4 == 0, "raw_text").when(d % 4 == 1, "Token").otherwise("note")
+    items = F.transform(F.slice(F.sequence(F.lit(0), F.lit(11)), 1, (d % 12).cast("int")), lambda i: F.concat(F.lit("i"), i.cast("string")))
+    return texts(spark, sf_dir).select("doc_id", T.sanitize(value, key).alias("shown"), F.try_element_at(T.preview(items, "note"), F.lit(-1)).alias("last"))
+
+
+@query("""
+SELECT event_id, '{"name":"' || event_type || '","token":"***redacted***","nested":{"api_key":"***redacted***","link":"***redacted***"},"n":' || event_id || '}' AS payload FROM events
+""")
+def redacted_payloads(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    raw = F.to_json(F.struct(F.col("event_type").alias("name"), F.concat(F.lit('a"b'), "event_type").alias("token"), F.struct(F.col("event_id").alias("api_key"), F.lit("https://h/x").alias("link")).alias("nested"), F.col("event_id").alias("n")))
+    return e.select("event_id", T.redact_json(raw).alias("payload"))
+
+
+@query("""
+SELECT c_custkey, c_custkey % 4 IN (0, 1) AS label, c_custkey % 3 = 0 AS signal FROM customer
+""")
+def form_signals(spark, sf_dir):
+    k = F.col("c_custkey")
+    line = F.when(k % 4 == 0, F.concat(F.lit("Nombre del "), "c_name", F.lit(":"))).when(k % 4 == 1, " Área:").when(k % 4 == 2, F.concat("c_name", F.lit(":"))).otherwise("Firma")
+    line = F.when(k % 4 == 1, F.lit(" FECHA: ")).otherwise(line)
+    page = F.when(k % 3 == 0, F.concat("c_name", F.lit(" Diligencie\n los DATOS"))).otherwise(F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.is_label(line).alias("label"), T.has_form_signal(page).alias("signal"))
