@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from evidara.llm import chat, decontamination, huffman, knn_join, language_id, packing, secrets, simhash, substring_dedup, suffix_dedup
@@ -68,6 +70,19 @@ def test_training_bound_and_repeated_ids(spark):
 # SimHash
 
 
+def plain_fingerprint(text):
+    """The fingerprint by its definition, bit by bit."""
+    words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda x: x.group().lower(), text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_by_definition():
+    texts = [t for _, t in corpus(12, 60, 30)] + [t for i, t in ODD if i != 9] + ["A b", "a B c", "ÀB c d e", "x\x1cy z w", "a\x0bb\x0cc d", "one two three four " * 9]
+    assert [simhash.fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]
+
+
 def test_simhash_components(spark):
     rows = corpus(1, 200, 25) + [(i and i + 1000, t) for i, t in ODD]
     got = {r.doc_id: r for r in simhash.near_duplicates(docs(spark, rows)).collect()}
