@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidara.operators import markdown as M
 from evidara.operators import structure as S
 from evidara.plans.registry import query, table, texts
+from evidara.plans.texts import chunk_sql
 
 _STEPS = (("<h1[^>]*>", "\n\n# "), ("<li[^>]*>", "\n- "), ("<p[^>]*>", "\n\n"), ("<tr[^>]*>", "\n| "), ("</td>|</th>", " | "), ("<[^>]*>", ""))
 
@@ -41,23 +42,36 @@ def markdown_regions(spark, sf_dir):
     return M.regions(_markdown(spark, sf_dir)).select("document_id", "ordinal", "kind", F.md5("text").alias("text_md5"), "char_start", "char_end")
 
 
-@query(_REGIONS + r""",
+def _parents(limit: int) -> str:
+    return _REGIONS + r""",
 t AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS k, CASE WHEN kind = 'heading' AND lag(kind) OVER (PARTITION BY document_id ORDER BY ordinal) IS DISTINCT FROM 'heading' THEN 1 ELSE 0 END AS opens FROM b),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY document_id ORDER BY ordinal) AS section FROM t),
 g AS (SELECT document_id, section, list(k ORDER BY ordinal) AS ks, bool_or(kind = 'table') AS tab FROM s GROUP BY document_id, section),
-f AS (SELECT document_id, section, list_reduce(list_transform(ks, lambda x: {'g': 0, 'n': x, 'out': [0]}), lambda a, x: {'g': CASE WHEN NOT tab AND a.n + x.n > 60 THEN a.g + 1 ELSE a.g END, 'n': CASE WHEN NOT tab AND a.n + x.n > 60 THEN x.n ELSE a.n + x.n END, 'out': list_append(a.out, CASE WHEN NOT tab AND a.n + x.n > 60 THEN a.g + 1 ELSE a.g END)}).out AS gs FROM g),
+f AS (SELECT document_id, section, list_reduce(list_transform(ks, lambda x: {'g': 0, 'n': x, 'out': [0]}), lambda a, x: {'g': CASE WHEN NOT tab AND a.n + x.n > LIMIT THEN a.g + 1 ELSE a.g END, 'n': CASE WHEN NOT tab AND a.n + x.n > LIMIT THEN x.n ELSE a.n + x.n END, 'out': list_append(a.out, CASE WHEN NOT tab AND a.n + x.n > LIMIT THEN a.g + 1 ELSE a.g END)}).out AS gs FROM g),
 u AS (SELECT s.*, f.gs[CAST(row_number() OVER (PARTITION BY s.document_id, s.section ORDER BY ordinal) AS BIGINT)] AS grp FROM s JOIN f ON f.document_id = s.document_id AND f.section = s.section),
-p AS (SELECT document_id, section, grp, min(ordinal) AS first, sum(k) AS token_count, count(*) AS n_blocks, md5(string_agg(text, chr(10) || chr(10) ORDER BY ordinal)) AS text_md5, min(char_start) AS char_start, max(char_end) AS char_end FROM u GROUP BY document_id, section, grp)
-SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY first) - 1 AS ordinal, token_count, n_blocks, text_md5, char_start, char_end FROM p
-""")
+p AS (SELECT document_id, section, grp, min(ordinal) AS first, sum(k) AS token_count, count(*) AS n_blocks, string_agg(text, chr(10) || chr(10) ORDER BY ordinal) AS text, min(char_start) AS char_start, max(char_end) AS char_end FROM u GROUP BY document_id, section, grp)
+""".replace("LIMIT", str(limit))
+
+
+@query(_parents(60) + "SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY first) - 1 AS ordinal, token_count, n_blocks, md5(text) AS text_md5, char_start, char_end FROM p")
 def parent_chunks(spark, sf_dir):
     found = M.parents(M.regions(_markdown(spark, sf_dir)), 60)
     return found.select("document_id", "ordinal", "token_count", "n_blocks", F.md5("text").alias("text_md5"), "char_start", "char_end")
 
 
-@query()
+#: The pages hold no tables, so every parent is atomic or cut by sentences; tables have tests of their own.
+_CHILDREN = f"""
+WITH RECURSIVE par AS MATERIALIZED (SELECT 'par_' || left(sha256(document_id || chr(31) || ordinal || chr(31) || text), 32) AS parent_id, text, token_count FROM ({_parents(1500)} SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY first) - 1 AS ordinal, text, token_count FROM p)),
+{chunk_sql('SELECT parent_id, text FROM par WHERE token_count > 60', 'parent_id', 22, 40, 52, 4, 8, 5)}
+SELECT parent_id, 0 AS ordinal, 'atomic' AS kind, '' AS context_prefix, md5(text) AS text_md5, CAST(token_count AS INTEGER) AS token_count FROM par WHERE token_count <= 60
+UNION ALL SELECT parent_id, ordinal, 'text', '', md5(text), token_count FROM c
+"""
+
+
+@query(_CHILDREN)
 def parent_child_chunks(spark, sf_dir):
-    return M.children(M.parents(M.regions(_markdown(spark, sf_dir))), S.Profile(30, 45, 60, 0.12, 4, 8))
+    found = M.children(M.parents(M.regions(_markdown(spark, sf_dir))), S.Profile(30, 45, 60, 0.12, 4, 8))
+    return found.select("parent_id", "ordinal", "kind", "context_prefix", F.md5("text").alias("text_md5"), "token_count")
 
 
 _ROWS = "SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'Historial de cambios' WHEN o_orderkey % 11 = 0 THEN '# fin' ELSE '| v' || o_orderkey % 9 || ' | ' || CASE WHEN o_orderkey % 7 = 0 THEN 'pendiente' ELSE '0' || o_orderkey % 9 + 1 || '/12/2024' END || ' | texto ' || o_orderkey || ' |' END AS line FROM orders"

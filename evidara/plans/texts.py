@@ -80,20 +80,25 @@ def greedy_token_packing(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", F.array_join(groups.cast("array<string>"), ",").alias("groups"))
 
 
-@query(r"""
-WITH RECURSIVE s AS (
-  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n\s*\n', chr(1), 'g'), chr(1)), lambda x: trim(x, chr(10) || chr(9) || chr(13) || ' ')), lambda x: x <> '') AS s FROM documents),
-n AS (SELECT doc_id, s, list_transform(s, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> ''))) AS n FROM s WHERE len(s) > 0),
-p AS (SELECT doc_id, s, len(s) AS m, list_transform(range(0, len(s) + 1), lambda i: CAST(coalesce(list_sum(n[1:i]), 0) AS BIGINT)) AS p FROM n),
+def chunk_sql(rows: str, key: str, least: int, goal: int, most: int, low: int, high: int, overlap: int) -> str:
+    """CTEs up to c(key, ordinal, n_sentences, n_overlap, token_count, text): sentence children of rows(key, text) by walking from start to start."""
+    return rf"""
+s AS (
+  SELECT {key}, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n\s*\n', chr(1), 'g'), chr(1)), lambda x: trim(x, chr(10) || chr(9) || chr(13) || ' ')), lambda x: x <> '') AS s FROM ({rows})),
+n AS (SELECT {key}, s, list_transform(s, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> ''))) AS n FROM s WHERE len(s) > 0),
+p AS (SELECT {key}, s, len(s) AS m, list_transform(range(0, len(s) + 1), lambda i: CAST(coalesce(list_sum(n[1:i]), 0) AS BIGINT)) AS p FROM n),
 walk AS (
-  SELECT doc_id, CAST(0 AS BIGINT) AS a FROM p
-  UNION ALL SELECT doc_id, c FROM (SELECT w.doc_id, list_min(list_filter(range(w.a + 1, p.m), lambda i: p.p[i + 1] - p.p[w.a + 1] >= 44 AND (p.p[i + 1] - p.p[w.a + 1] >= 79 OR p.p[i + 2] - p.p[w.a + 1] > 104))) AS c FROM walk w JOIN p ON p.doc_id = w.doc_id) WHERE c IS NOT NULL),
-r AS (SELECT w.doc_id, a, lag(a) OVER o AS pa, lead(a) OVER o AS na, s, m, p FROM walk w JOIN p ON p.doc_id = w.doc_id WINDOW o AS (PARTITION BY w.doc_id ORDER BY a)),
-k AS (SELECT * FROM r WHERE NOT (na IS NULL AND pa IS NOT NULL AND p[m + 1] - p[a + 1] < 44 AND p[m + 1] - p[pa + 1] <= 104)),
-f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS ordinal, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), m) AS b,
-  CASE WHEN pa IS NULL THEN a ELSE coalesce(-list_sort(list_transform(list_filter(range(pa, a), lambda j: p[a + 1] - p[j + 1] BETWEEN 8 AND 16), lambda j: [abs(p[a + 1] - p[j + 1] - 11), -j]))[1][2], a) END AS first FROM k)
-SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(b - a AS INTEGER) AS n_sentences, CAST(a - first AS INTEGER) AS n_overlap, CAST(p[b + 1] - p[first + 1] AS INTEGER) AS token_count, md5(array_to_string(s[first + 1:b], ' ')) AS text_md5 FROM f
-""")
+  SELECT {key}, CAST(0 AS BIGINT) AS a FROM p
+  UNION ALL SELECT {key}, c FROM (SELECT w.{key}, list_min(list_filter(range(w.a + 1, p.m), lambda i: p.p[i + 1] - p.p[w.a + 1] >= {least} AND (p.p[i + 1] - p.p[w.a + 1] >= {goal} OR p.p[i + 2] - p.p[w.a + 1] > {most}))) AS c FROM walk w JOIN p ON p.{key} = w.{key}) WHERE c IS NOT NULL),
+r AS (SELECT w.{key}, a, lag(a) OVER o AS pa, lead(a) OVER o AS na, s, m, p FROM walk w JOIN p ON p.{key} = w.{key} WINDOW o AS (PARTITION BY w.{key} ORDER BY a)),
+k AS (SELECT * FROM r WHERE NOT (na IS NULL AND pa IS NOT NULL AND p[m + 1] - p[a + 1] < {least} AND p[m + 1] - p[pa + 1] <= {most})),
+f AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY a) - 1 AS ordinal, coalesce(lead(a) OVER (PARTITION BY {key} ORDER BY a), m) AS b,
+  CASE WHEN pa IS NULL THEN a ELSE coalesce(-list_sort(list_transform(list_filter(range(pa, a), lambda j: p[a + 1] - p[j + 1] BETWEEN {low} AND {high}), lambda j: [abs(p[a + 1] - p[j + 1] - {overlap}), -j]))[1][2], a) END AS first FROM k),
+c AS (SELECT {key}, CAST(ordinal AS INTEGER) AS ordinal, CAST(b - a AS INTEGER) AS n_sentences, CAST(a - first AS INTEGER) AS n_overlap, CAST(p[b + 1] - p[first + 1] AS INTEGER) AS token_count, array_to_string(s[first + 1:b], ' ') AS text FROM f)
+"""
+
+
+@query("WITH RECURSIVE " + chunk_sql("SELECT doc_id, text FROM documents", "doc_id", 44, 79, 104, 8, 16, 11) + "SELECT doc_id, ordinal, n_sentences, n_overlap, token_count, md5(text) AS text_md5 FROM c")
 def sentence_chunking_overlap(spark, sf_dir):
     found = S.sentence_chunks(texts(spark, sf_dir).select("doc_id", "text"), S.Profile(60, 90, 120, 0.12, 8, 16))
     return found.select("doc_id", "ordinal", "n_sentences", "n_overlap", "token_count", F.md5("text").alias("text_md5"))
