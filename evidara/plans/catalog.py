@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidara.plans import checking, controlling, gating, identifying, ledgers, marking, merging, retrieving, reviewing, selecting, storing, texts, verifying  # noqa: F401
+from evidara.plans import checking, controlling, documenting, gating, identifying, ledgers, marking, merging, retrieving, reviewing, selecting, storing, texts, verifying  # noqa: F401
 from evidara.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "evidence_search"
