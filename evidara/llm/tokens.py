@@ -25,7 +25,7 @@ from evidara.llm.textarrays import LOWER, SPACE, buffers, word_hashes
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of kept parts, ids and their overhead in one generation of the store; longer parts than LONG bytes are not kept.
-KEEP, LONG, OVERHEAD = 76 << 20, 1024, 190
+KEEP, LONG, OVERHEAD = 56 << 20, 1024, 190
 END_ID = 2
 #: Bytes that, after a blank, start a new piece of the byte-level vocabulary: printable ASCII, and first bytes of U+00C0 to U+023F.
 OPENS = np.array([0x21 <= b <= 0x7E or 0xC3 <= b <= 0xC8 for b in range(256)])
