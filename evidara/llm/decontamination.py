@@ -141,7 +141,7 @@ def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
 
     dealt = hashes.select("h").repartition(F.shiftrightunsigned("h", 64 - bits + BLOCK_BITS))
     out = np.zeros(((1 << bits) // 64 + words - 1) // words * words, dtype=np.uint64).reshape(-1, words)
-    for x in dealt.mapInArrow(fill, "block bigint, bits binary").toLocalIterator():
+    for x in dealt.mapInArrow(fill, "block bigint, bits binary").collect():  # 2**bits bits at most
         out[x["block"]] = np.frombuffer(x["bits"], np.uint64)
     return out.reshape(-1)
 
