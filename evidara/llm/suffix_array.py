@@ -1,4 +1,4 @@
-"""A suffix array by Lyndon grouping, for integer sequences: linear but for sorting the members of each group by position."""
+"""A suffix array by Lyndon grouping, for integer sequences: linear once the symbols are ranked."""
 
 from __future__ import annotations
 
@@ -9,7 +9,10 @@ def lyndon_groups(text: list[int]) -> tuple[list[list[int]], list[int]]:
 
     Groups start as the equal first symbols and are taken in descending order. When one is taken its members' groups are final;
     each member extends the prefix of the position before it that has a smaller group, so those parents move, within their own groups,
-    above the rest, the further the more members they got. A position leaves a group by its label; its stale entry is skipped later."""
+    above the rest, the further the more members they got. A position leaves a group by its label; its stale entry is skipped later.
+
+    Members stay in ascending order without sorting: the parents of ascending members ascend too, since a parent between a member and its own parent
+    would have been nearer. Parents are taken by their number of members from buckets, so every step is linear in the members of its group."""
     n = len(text)
     rank = {c: i for i, c in enumerate(sorted(set(text)))}
     label = [rank[c] for c in text]
@@ -24,7 +27,6 @@ def lyndon_groups(text: list[int]) -> tuple[list[list[int]], list[int]]:
         own = [s for s in members[g] if label[s] == g]
         members[g] = []
         if own:
-            own.sort()
             extended: dict[int, int] = {}
             for s in own:
                 p = s - 1
@@ -38,21 +40,25 @@ def lyndon_groups(text: list[int]) -> tuple[list[list[int]], list[int]]:
             for s in own:
                 done[s] = 1
             out.append(own)
-            moved: dict[tuple[int, int], list[int]] = {}
+            by_count: list[list[int]] = [[] for _ in range(max(extended.values(), default=0) + 1)]
             for p, k in extended.items():
-                moved.setdefault((label[p], k), []).append(p)
+                by_count[k].append(p)
             # the most extended first: each new group goes right above the old one, below those put there before
-            for (old, _), parents in sorted(moved.items(), key=lambda x: -x[0][1]):
-                new = len(members)
-                members.append(parents)
-                for p in parents:
-                    label[p] = new
-                up = above[old]
-                above.append(up)
-                below.append(old)
-                above[old] = new
-                if up >= 0:
-                    below[up] = new
+            for same in reversed(by_count):
+                moved: dict[int, list[int]] = {}
+                for p in same:
+                    moved.setdefault(label[p], []).append(p)
+                for old, parents in moved.items():
+                    new = len(members)
+                    members.append(parents)
+                    for p in parents:
+                        label[p] = new
+                    up = above[old]
+                    above.append(up)
+                    below.append(old)
+                    above[old] = new
+                    if up >= 0:
+                        below[up] = new
         g = below[g]
     return out, before
 
