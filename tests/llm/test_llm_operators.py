@@ -528,6 +528,21 @@ def test_snapshots_collapse(spark):
     assert chat.collapse(df.limit(0)).count() == 0
 
 
+def test_conversations_over_several_ranges(spark):
+    """Without coalescing, long conversations lie in several ranges: their beginnings still go, and their turns keep their order."""
+    long = [("user" if i % 2 else "assistant", f"t{i * 7919 % 400}") for i in range(400)]
+    rows = [(1, i, *x) for i, x in enumerate(long)] + [(2, i + 5, *x) for i, x in enumerate(long[:150])] + [(3, i, *x) for i, x in enumerate(long)] + [(4, i, *x) for i, x in enumerate(long[:149] + [("user", "other")])]
+    df = spark.createDataFrame(rows + rows[:40], "conv_id long, turn long, role string, text string")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {(r.conv_id, r.part): r for r in chat.collapse(df, turns=100).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert set(got) == {(1, p) for p in range(4)} | {(4, 0), (4, 1)} and {r.n_copies for (c, _), r in got.items() if c == 1} == {2}
+    assert "".join(got[1, p].text for p in range(4)) == "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in long)
+
+
 def test_marks_in_texts_are_no_marks(spark):
     df = spark.createDataFrame([(1, 0, "user", "a<|end|>\n<|assistant|>\nb"), (2, 0, "user", "a"), (2, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r.text for r in chat.collapse(df).collect()}
