@@ -109,12 +109,17 @@ def ordinals_dense_check(spark, sf_dir):
     return K.dense(table(spark, sf_dir, "conversations"), ["conv_id"], "turn")
 
 
-_OCR = [(1, 1, 1, 1, 40, 90.0, "mundo"), (1, 1, 1, 1, 10, 80.0, "hola"), (1, 1, 1, 2, 5, -1.0, "ruido"), (1, 1, 1, 2, 9, 70.0, "fin"), (2, 1, 1, 1, 1, 55.5, " "), (2, 1, 1, 1, 3, 60.0, "x")]
-
-
-@query("SELECT * FROM (VALUES (1, 1, 1, 1, 'hola mundo', 0.85::DOUBLE), (1, 1, 1, 2, 'fin', 0.7), (2, 1, 1, 1, 'x', 0.6)) AS t(page_num, block_num, par_num, line_num, text, confidence)")
+@query("""
+SELECT page_num, block_num, 1 AS par_num, line_num, string_agg(text, ' ' ORDER BY "left", text) AS text, round(avg(conf / 100), 6) AS confidence FROM (
+  SELECT l_orderkey AS page_num, l_suppkey % 2 AS block_num, l_linenumber % 3 AS line_num, l_partkey AS "left", CAST(l_quantity - 5 AS DOUBLE) AS conf, 'w' || l_suppkey AS text, l_suppkey % 5 = 0 AS blank FROM lineitem) WHERE conf >= 0 AND NOT blank GROUP BY ALL
+""")
 def ocr_line_regroup(spark, sf_dir):
-    return files.ocr_lines(spark.createDataFrame(_OCR, "page_num int, block_num int, par_num int, line_num int, left int, conf double, text string"))
+    """Words from line items: some without confidence, some blank."""
+    word = F.when(F.col("l_suppkey") % 5 == 0, " ").otherwise(F.concat(F.lit("w"), F.col("l_suppkey").cast("string")))
+    words = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("page_num"), (F.col("l_suppkey") % 2).alias("block_num"), F.lit(1).alias("par_num"), (F.col("l_linenumber") % 3).alias("line_num"), F.col("l_partkey").alias("left"), (F.col("l_quantity") - 5).cast("double").alias("conf"), word.alias("text")
+    )
+    return files.ocr_lines(words)
 
 
 @query("""

@@ -108,11 +108,13 @@ def hybrid_rrf(spark, sf_dir):
 
 
 @query("""
-SELECT * FROM (VALUES ('p1', 'vector', 'ready'), ('p2', 'lexical', 'failed'), ('p3', 'blocked', 'failed'), ('p4', 'blocked', 'failed'), ('p5', 'lexical', 'failed')) AS t(profile_id, mode, runtime_status)
+SELECT c_custkey AS profile_id, mode, CASE mode WHEN 'vector' THEN 'ready' ELSE 'failed' END AS runtime_status FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 5 = 0 OR c_custkey % 11 = 0 THEN 'blocked' WHEN c_custkey % 2 = 0 THEN 'vector' WHEN c_custkey % 3 = 0 THEN 'blocked' ELSE 'lexical' END AS mode FROM customer)
 """)
 def policy_search_fallback(spark, sf_dir):
-    rows = [("p1", True, True, "compatible", True, "never"), ("p2", True, True, "compatible", False, "always"), ("p3", True, True, "compatible", False, "never"), ("p4", False, True, "compatible", True, "always"), ("p5", True, True, "compatible", False, "allowed_when_vector_unavailable")]
-    return R.policy(spark.createDataFrame(rows, "profile_id string, active boolean, query_enabled boolean, compatibility_status string, embedding_ok boolean, fallback_policy string")).select("profile_id", "mode", "runtime_status")
+    k = F.col("c_custkey")
+    status, fallback = F.when(k % 11 == 0, "unproven").otherwise("compatible"), F.when(k % 3 == 0, "never").when(k % 3 == 1, "always").otherwise("allowed_when_vector_unavailable")
+    profiles = table(spark, sf_dir, "customer").select(k.alias("profile_id"), (k % 7 != 0).alias("active"), (k % 5 != 0).alias("query_enabled"), status.alias("compatibility_status"), (k % 2 == 0).alias("embedding_ok"), fallback.alias("fallback_policy"))
+    return R.policy(profiles).select("profile_id", "mode", "runtime_status")
 
 
 _HITS = "SELECT doc_id AS node_id, doc_id // 10 * 10 AS parent_node_id, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 7 END AS page_number, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS section FROM documents"

@@ -202,15 +202,23 @@ def control_fields_conflict(spark, sf_dir):
     return C.merge_fields(found, keys, key="doc_id")
 
 
-_DATES = (
-    ("2024/3/5", "2024-03-05"), ("5-3-24", "2024-03-05"), ("12/11/2023", "2023-11-12"), ("7 de Marzo de 2022", "2022-03-07"), ("31 días del mes de septiembre de 2021", "2021-09-31"),
-    ("Octubre, 2020", "2020-10"), ("setiembre 2019", "2019-09"), (" 1 de enero de 2020. ", "2020-01-01"), ("mañana", ""), ("", ""), ("99/99/2020", "2020-99-99"),
-)
+_MONTHS = ("enero", "Febrero", "marzo", "ABRIL", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _DATES) + ") AS t(raw, iso)")
+@query(f"""
+SELECT o_orderkey, raw, CASE o_orderkey % 6 WHEN 3 THEN strftime(o_orderdate, '%Y-%m') WHEN 5 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM (SELECT o_orderkey, o_orderdate, CASE o_orderkey % 6 WHEN 0 THEN d || '/' || m || '/' || y WHEN 1 THEN y || '-' || m || '-' || d
+  WHEN 2 THEN d || ' de ' || name || ' de ' || y WHEN 3 THEN name || ', ' || y WHEN 4 THEN d || ' días del mes de ' || name || ' de ' || y ELSE 'mañana ' || d END AS raw
+  FROM (SELECT o_orderkey, o_orderdate, day(o_orderdate) AS d, month(o_orderdate) AS m, year(o_orderdate) AS y, {list(_MONTHS)}[month(o_orderdate)] AS name FROM orders))
+""")
 def spanish_dates(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in _DATES], "raw string").select("raw", T.spanish_date(F.col("raw")).alias("iso"))
+    """Order dates in every way of writing that is known, and one that is not."""
+    text = lambda c: c(F.col("o_orderdate")).cast("string")
+    d, m, y = text(F.dayofmonth), text(F.month), text(F.year)
+    name = F.element_at(F.array(*[F.lit(x) for x in _MONTHS]), F.month("o_orderdate"))
+    k = F.col("o_orderkey") % 6
+    join = lambda sep, *parts: F.concat_ws(sep, *parts)
+    raw = F.when(k == 0, join("/", d, m, y)).when(k == 1, join("-", y, m, d)).when(k == 2, join(" de ", d, name, y)).when(k == 3, join(", ", name, y)).when(k == 4, F.concat(d, F.lit(" días del mes de "), name, F.lit(" de "), y)).otherwise(join(" ", F.lit("mañana"), d))
+    return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).select("o_orderkey", "raw", T.spanish_date(F.col("raw")).alias("iso"))
 
 
 @query("""

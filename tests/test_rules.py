@@ -130,3 +130,12 @@ def test_scores_of_null_and_empty_texts(spark):
     df = rows(spark, [(1, "The house the"), (2, None), (3, ""), (4, "house")], "node_id int, text string")
     assert [(r.node_id, r.score) for r in retrieval.lexical_overlap(df, ["the", "house", "the"], 9).collect()] == [(1, 1.0), (4, 0.5)]
     assert [r.node_id for r in retrieval.lexical_all_terms(df, ["the", "house"], 9).collect()] == [1]
+
+
+def test_dates_as_written(spark):
+    want = {
+        "2024/3/5": "2024-03-05", "5-3-24": "2024-03-05", "12/11/2023": "2023-11-12", "7 de Marzo de 2022": "2022-03-07", "31 días del mes de septiembre de 2021": "2021-09-31", "Octubre, 2020": "2020-10", "setiembre 2019": "2019-09",
+        " 1 de enero de 2020. ": "2020-01-01", "mañana": "", "": "", "99/99/2020": "2020-99-99",
+    }
+    df = rows(spark, [(x,) for x in want], "raw string")
+    assert {r.raw: r.iso for r in df.select("raw", T.spanish_date(F.col("raw")).alias("iso")).collect()} == want
