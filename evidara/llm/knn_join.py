@@ -28,7 +28,9 @@ SCALE = 1024
 #: Sampled vectors, of which the first are pivots: one for PER_CELL vectors, PIVOTS at most.
 SAMPLE, PIVOTS, PER_CELL = 1024, 512, 1500
 #: Rows of data, and of queries, that one block pair holds about.
-BLOCK, QUERIES = 4096, 512
+BLOCK, QUERIES = 4096, 4096
+#: Queries whose scores with a block are held at a time.
+AT_ONCE = 256
 RINGS = 32
 EXACT = float(1 << 53)
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -157,7 +159,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, *, key: str = "vec_
         left = left.sort_by("vec_id").combine_chunks()
         right = right.combine_chunks()
         flat = lambda t, c: t.column(c).combine_chunks()
-        got = top(matrix(flat(right, "v"), dim), right.column("query_id").to_numpy(), right.column("least").to_numpy(), matrix(flat(left, "v"), dim), left.column("vec_id").to_numpy(), k)
+        asked, ids, least = matrix(flat(right, "v"), dim), right.column("query_id").to_numpy(), right.column("least").to_numpy()
+        data, data_ids = matrix(flat(left, "v"), dim), left.column("vec_id").to_numpy()
+        parts = [top(asked[i : i + AT_ONCE], ids[i : i + AT_ONCE], least[i : i + AT_ONCE], data, data_ids, k) for i in range(0, len(ids), AT_ONCE)]
+        got = [np.concatenate(x) for x in zip(*parts, strict=True)]
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in got], schema=kinds)
 
     on = ("qblock", "cell", "dblock")
