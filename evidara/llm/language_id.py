@@ -24,6 +24,8 @@ from evidara.llm.textarrays import buffers, slices
 from evidara.plans.registry import texts
 
 SLOTS = 1 << 15
+#: Bytes of text that a task works on at a time: some 50 bytes of arrays for each.
+SLICE = 1 << 19
 #: Training reads at most so many labelled texts per language, those with the smallest hashes of their ids.
 TRAINING_TEXTS = 4000
 LETTER = re.compile(r"[^\W\d_]")
@@ -61,7 +63,7 @@ def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 slot, row = gram_slots(*buffers(part.column(1)))
                 names = part.column(0).to_pylist()
                 of = {x: i for i, x in enumerate(dict.fromkeys(names))}
@@ -129,7 +131,7 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], *, key: str = "doc_i
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 data, offsets = buffers(part.column(1))
                 slot, row = gram_slots(data, offsets)
                 bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
