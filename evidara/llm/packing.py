@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from evidara.llm.common import records, written
 from evidara.llm.textarrays import slices
-from evidara.llm.tokens import END_ID, binary, encoder, id_width
+from evidara.llm.tokens import END_ID, KEEP, binary, encoder, id_width
 
 SIZE = 4096
 QUEUES = 1024
@@ -146,14 +146,14 @@ def queued(docs: DataFrame, *, key: str, text: str, source: str, named: list[str
     return found.select(F.coalesce("queue", F.lit(len(named))).alias("queue"), "doc_id", "text"), named
 
 
-def tokenised(rows: DataFrame, tokenizer: str, end: int = END_ID) -> DataFrame:
+def tokenised(rows: DataFrame, tokenizer: str, end: int = END_ID, keep: int = KEEP) -> DataFrame:
     """(queue, own, doc_id, n, ids, part) in order of queue and doc_id over parts; ids little-endian, two bytes each if the vocabulary
     allows, else four; own: ids before the document's in its part's queue."""
     width = id_width(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, int] = {}
-        own = encoder(tokenizer)
+        own = encoder(tokenizer, keep)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, bounds = own.encode(part.column(2), end)
@@ -170,13 +170,14 @@ def tokenised(rows: DataFrame, tokenizer: str, end: int = END_ID) -> DataFrame:
 
 def pack(
     docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", source: str = "source", size: int = SIZE, end: int = END_ID,
-    weights: dict[str | None, float] | None = None, power: float = 1.0,
+    weights: dict[str | None, float] | None = None, power: float = 1.0, keep: int = KEEP,
 ) -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
-    weights: target proportion of each source; without, targets are the supplies to the given power."""
+    weights: target proportion of each source; without, targets are the supplies to the given power.
+    keep: bytes of a generation of a worker's store of ids."""
     rows, named = queued(docs, key=key, text=text, source=source, named=None if weights is None else list(weights))
-    table = written(tokenised(rows, tokenizer, end))
+    table = written(tokenised(rows, tokenizer, end, keep))
     sums = table.groupBy("part", "queue").agg(F.sum("n").alias("n"))
     totals = [0] * (len(named) + 1)
     for x in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # one row a queue

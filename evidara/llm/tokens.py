@@ -47,7 +47,7 @@ class Encoder:
 
     letters = _byte_letters()
 
-    def __init__(self, path: str, special_as_text: bool = False):
+    def __init__(self, path: str, special_as_text: bool = False, keep: int = KEEP):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -64,7 +64,7 @@ class Encoder:
         self.size = self.library.get_vocab_size()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.held = 0
+        self.held, self.keep = 0, keep
 
     def _marks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """Starts, ends and ids of the special strings within rows."""
@@ -116,7 +116,7 @@ class Encoder:
         found = list(map(self.young.get, parts))
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
-            if self.held > KEEP:
+            if self.held > self.keep:
                 self.old, self.young, self.held = self.young, {}, 0
             parts = [parts[i] for i in missing]
             back = list(map(self.old.get, parts))
@@ -193,11 +193,11 @@ def id_width(path: str) -> str:
     return "<u2" if encoder(path).size <= 1 << 16 else "<u4"
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, keep: int = KEEP) -> Encoder:
+    """One encoder per worker process, file and store size."""
+    if (path, keep) not in _encoders:
+        _encoders[path, keep] = Encoder(path, keep=keep)
+    return _encoders[path, keep]
