@@ -15,6 +15,7 @@ OPERATORS = {
     "op8_substring_dedup": "substring_dedup",
     "op9_packing": "packing",
     "op10_chat_collapse": "chat",
+    "op11_resampling": "resampling",
 }
 
 

@@ -194,3 +194,20 @@ def spread(keys: np.ndarray, *, second: np.ndarray | None = None, order: np.ndar
     several[at[:-1]] |= ~head[1:]
     several |= later
     return later, several, np.where(later, mix(keys + np.arange(len(keys), dtype=np.uint64), 0x5A), keys)
+
+
+def pieces(data: np.ndarray, outside: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """One text in ranges of about ``limit`` bytes that end at a separator, so no word is cut; a longer word stays whole."""
+    at = 0
+    while at < len(data):
+        end = at + limit
+        if end < len(data):
+            breaks = np.flatnonzero(outside[data[at:end]])
+            if len(breaks):
+                end = at + int(breaks[-1]) + 1
+            else:
+                while end < len(data) and not outside[data[end]]:
+                    near = np.flatnonzero(outside[data[end : end + limit]])
+                    end = end + int(near[0]) if len(near) else min(end + limit, len(data))
+        yield data[at:end]
+        at = end
