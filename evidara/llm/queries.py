@@ -16,6 +16,7 @@ OPERATORS = {
     "op9_packing": "packing",
     "op10_chat_collapse": "chat",
     "op11_resampling": "resampling",
+    "op12_token_alignment": "alignment",
 }
 
 
