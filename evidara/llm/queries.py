@@ -17,6 +17,7 @@ OPERATORS = {
     "op10_chat_collapse": "chat",
     "op11_resampling": "resampling",
     "op12_token_alignment": "alignment",
+    "op13_lm_scoring": "lm_scoring",
 }
 
 
