@@ -33,8 +33,9 @@ from evidara.llm.textarrays import buffers, slices
 from evidara.llm.tokens import Encoder
 from evidara.plans.registry import texts
 
-#: Bytes of text that a task works on at a time, bytes of kept parts for each vocabulary, and contributions in a task's buffer.
-SLICE, KEEP, BUFFER = 2 << 20, 24 << 20, 1 << 21
+#: Bytes of text that a task works on at a time, bytes of kept parts for each vocabulary, and contributions in a task's buffer (Spark sums what
+#: leaves it by document before the shuffle).
+SLICE, KEEP, BUFFER = 2 << 20, 24 << 20, 1 << 16
 #: Shares of the postings for each shuffle partition: an id with more than one share is dealt out.
 SHARES = 4
 ROWS = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, b int, n bigint, base bigint, a binary, docs binary, m binary"
