@@ -109,3 +109,20 @@ def running_tables(spark, sf_dir):
     text = F.when(c % 3 == 1, "<td>Código</td><td>**Página**</td>").when((c % 3 == 2) & (c % 2 == 0), "| Versión | fecha |").when(c % 3 == 2, "| fecha | página |").otherwise("| versión |")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"), (F.col("o_orderkey") % 25).alias("char_start"), F.lit(0).alias("page_char_start"))
     return D.running_tables(rows, ("codigo", "version", "pagina", "fecha")).select("o_orderkey", "running")
+
+
+_PARTS = ("OBJETIVOS Y METAS", "POLÍTICA DE", "SEGURIDAD VIAL", "texto corriente", "COPIA CONTROLADA", "MANUAL ANTE EL COMITÉ")
+
+
+@query(f"""
+WITH l AS (SELECT l_orderkey AS d, l_linenumber AS n, l_partkey % {len(_PARTS)} AS k, {_sql_list(_PARTS)}[l_partkey % {len(_PARTS)} + 1] AS t, CASE WHEN l_linenumber <= 4 THEN 1 ELSE 2 END AS page FROM lineitem),
+x AS (SELECT *, lead(k) OVER w AS nk, lead(t) OVER w AS nt, lead(page) OVER w AS np FROM l WINDOW w AS (PARTITION BY d ORDER BY n, t)),
+b AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY CASE WHEN k IN (0, 1, 5) THEN 0 ELSE 1 END, n, t) AS r FROM x WHERE page = 1 AND k <> 3)
+SELECT d AS document_id, CASE WHEN k IN (0, 1, 5) AND np = 1 AND nk IN (2, 4) THEN t || CASE WHEN k = 0 AND nk = 2 THEN ' DE ' ELSE ' ' END || nt ELSE t END AS title, k IN (0, 1, 5) AND coalesce(np = 1 AND nk IN (2, 4), FALSE) AS goes_on FROM b WHERE r = 1
+""")
+def title_continuation(spark, sf_dir):
+    """Titles of two lines, made from line items."""
+    k = (F.col("l_partkey") % len(_PARTS)).cast("int")
+    line = F.get(F.array(*[F.lit(x) for x in _PARTS]), k)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.when(F.col("l_linenumber") <= 4, 1).otherwise(2).alias("page"), F.col("l_linenumber").alias("line_no"), line.alias("line"))
+    return D.titles(rows).select("document_id", F.col("value").alias("title"), (~F.col("value").isin(*_PARTS)).alias("goes_on"))

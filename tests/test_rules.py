@@ -34,6 +34,30 @@ def test_control_fields(spark):
     assert control.fields(rows(spark, [], "document_id long, page int, line_no int, line string")).count() == 0
 
 
+def test_control_values_keep_to_their_grammar(spark):
+    lines = [
+        "Código: PR-5ST | Versión: [02]", "codigo # GH - PS - 001 SST", "CÓDIGO seguridad", "code: abcde-1", "Código: A-123456789", "ver. o3", "Versión 1,2.3 de junio", "versión de los incidentes", "conversión: 7",
+        "Fecha de emisión: 5 de marzo de 2021.", "publicación - 3 días del mes de abril de 2020", "emisión sin fecha", "firmado en Bogotá el 2 de mayo de 2019", "Vigencia: 2024-1-9", "ref AB.CD-12-XYZ y ab-cd-12ef", "Julio 2018", "Juliol 2018",
+    ]
+    got = {}
+    for r in control.candidates(rows(spark, [(i, 1, i, x) for i, x in enumerate(lines)], "document_id long, page int, line_no int, line string")).collect():
+        got.setdefault(r.document_id, []).append((r.field, r.rank, r.value))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        0: [("code", 1, "PR-5ST"), ("version", 0, "0.2")], 1: [("code", 1, "GH-PS-001 SST"), ("code", 2, "GH-PS-001 SST")], 5: [("version", 0, "0.3")], 6: [("version", 0, "1.2.3")],
+        9: [("publication_date", 0, "2021-03-05")], 10: [("publication_date", 0, "2020-04-03")], 12: [("publication_date", 1, "2019-05-02")], 13: [("effective_date", 0, "2024-01-09")],
+        14: [("code", 2, "AB-CD-12EF"), ("code", 2, "AB.CD-12-XYZ")], 15: [("publication_date", 2, "2018-07")],
+    }
+
+
+def test_titles_go_on_in_the_next_line(spark):
+    docs = {
+        1: ["OBJETIVOS Y METAS", "", "SEGURIDAD VIAL"], 2: ["Política de", "texto corriente"], 3: ["REGLAMENTO ANTE", "UNO DOS TRES CUATRO CINCO SEIS SIETE"], 4: ["COPIA CONTROLADA", "# Manual de", "NORMAS GENERALES"], 5: ["MANUAL DEL", "FORMATO UNO"],
+    }
+    lines = [(d, 1, i, x) for d, t in docs.items() for i, x in enumerate(t)] + [(6, 1, 0, "GUÍA DE"), (6, 2, 1, "BUENAS PRÁCTICAS")]
+    got = {r.document_id: r.value for r in control.titles(rows(spark, lines, "document_id long, page int, line_no int, line string")).collect()}
+    assert got == {1: "OBJETIVOS Y METAS DE SEGURIDAD VIAL", 2: "Política de", 3: "REGLAMENTO ANTE", 4: "Manual de", 5: "MANUAL DEL", 6: "GUÍA DE"}
+
+
 def test_rollback_leaves_other_bundles(spark):
     schema = "project_id string, profile_id string, document_id int, bundle_id string, is_active boolean, superseded_at timestamp"
     vectors = rows(spark, [("p", "f", 1, "old", False, None), ("p", "f", 1, "new", True, None), ("p", "f", 2, "old", False, None), ("p", "f", 2, "new", False, None), ("p", "f", 2, "third", True, None), ("q", "f", 1, "new", True, None)], schema)
