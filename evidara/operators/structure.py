@@ -60,11 +60,42 @@ def page_spans(marks: DataFrame, *, document: str = "document_id", start: str =
     return marks.withColumn("end", F.coalesce(F.lead(start).over(w), F.col(length)))
 
 
-def overlap(regions: DataFrame, traces: DataFrame, document: str) -> DataFrame:
-    """Pages that each region overlaps (half-open intervals of one document): least and greatest."""
-    r, t = regions.alias("r"), traces.alias("t")
-    joined = r.join(t, (F.col(f"r.{document}") == F.col(f"t.{document}")) & (F.col("t.end") > F.col("r.start")) & (F.col("t.start") < F.col("r.end")), "left")
-    return joined.groupBy(f"r.{document}", "r.region_id").agg(F.min("t.page").alias("page_start"), F.max("t.page").alias("page_end"))
+def dyadic_cover(start: Column, end: Column, levels: int) -> Column:
+    """Cells (level, number) of 2^level positions that together are [start, end): at most two a level, none twice."""
+    start, end = start.cast("bigint"), end.cast("bigint")
+
+    def at(k):
+        size = F.lit(1 << k).cast("bigint")
+        low, high = -F.floor(-start / size).cast("bigint"), F.floor(end / size).cast("bigint")
+        inside = low < high
+        top = F.lit(k == levels)  # whole cells of the last level, one by one
+        edges = F.array(F.when(inside & (F.pmod(low, F.lit(2)) == 1), low), F.when(inside & (F.pmod(high, F.lit(2)) == 1), high - 1))
+        numbers = F.when(top & inside, F.sequence(low, high - 1)).when(~top, F.array_distinct(F.array_compact(edges)))
+        return F.transform(F.coalesce(numbers, F.array().cast("array<bigint>")), lambda n: F.struct(F.lit(k).alias("level"), n.alias("cell")))
+
+    return F.flatten(F.array(*[at(k) for k in range(levels + 1)]))
+
+
+def holding(points: DataFrame, intervals: DataFrame, on: list[str], *, levels: int, at: str = "at") -> DataFrame:
+    """Pairs of points and the intervals [start, end) that hold them: a point looks up the cells above it, of which an interval's cover holds one at most. So no pair
+    comes twice, and the work grows with the rows and pairs, not with their product."""
+    up = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col(at) / F.lit(1 << k)).cast("bigint").alias("cell")) for k in range(levels + 1)])
+    a = points.select("*", F.explode(up).alias("_c")).select("*", "_c.level", "_c.cell").drop("_c")
+    b = intervals.select("*", F.explode(dyadic_cover(F.col("start"), F.col("end"), levels)).alias("_c")).select("*", "_c.level", "_c.cell").drop("_c")
+    return a.join(b, [*on, "level", "cell"]).drop("level", "cell")
+
+
+def overlap(regions: DataFrame, traces: DataFrame, document: str, *, levels: int = 20) -> DataFrame:
+    """Pages that each region overlaps (half-open intervals of one document): least and greatest.
+
+    Two intervals overlap if one holds the other's start; which of the two starts first tells the cases apart."""
+    r = regions.select(document, "region_id", F.col("start").alias("_start"), F.col("end").alias("_end"))
+    t = traces.select(document, "page", F.col("start").alias("_from"), F.col("end").alias("_to"))
+    one = holding(r.withColumn("at", F.col("_start")), t.select("*", F.col("_from").alias("start"), F.col("_to").alias("end")), [document], levels=levels)
+    two = holding(t.withColumn("at", F.col("_from")), r.select("*", F.col("_start").alias("start"), F.col("_end").alias("end")), [document], levels=levels).where("_from > _start")
+    pairs = one.select(document, "region_id", "page", "_start", "_end", "_from", "_to").unionByName(two.select(document, "region_id", "page", "_start", "_end", "_from", "_to")).where("_to > _start and _from < _end")
+    found = pairs.groupBy(document, "region_id").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"))
+    return regions.select(document, "region_id").distinct().join(found, [document, "region_id"], "left")
 
 
 def pack(lines: Column, cost, limit: int | Column) -> Column:
