@@ -80,7 +80,6 @@ class Slice:
         self.row = np.repeat(np.arange(len(size)), size)
         self.place = np.arange(n) - self.bounds[self.row]
         self.counts = self.place >= self.lead  # what stands before belongs to the piece before, or is the start mark
-        self.hashes = np.frombuffer(row["hashes"], dtype=np.uint64) if row.get("hashes") is not None else None
 
     def learnt(self) -> np.ndarray:
         return self.counts & ~self.held[self.row]
@@ -162,25 +161,26 @@ def token_counts(table: DataFrame) -> DataFrame:
 
 
 def with_counts(table: DataFrame, counts: DataFrame) -> DataFrame:
-    """The slices with the corpus count (known) and hash of each of their tokens, in the slice's order."""
+    """The slices with the corpus count of each of their tokens (known), in the slice's order. The answers are a table of their own first, so the shuffles that made
+    them are gone before the slices move."""
     asked = table.select("slice", F.posexplode("tokens").alias("pos", "token"))
-    answers = asked.join(counts, "token").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("answers"))
-    joined = table.join(answers, "slice", "left").select("slice", "doc_id", "held", "bounds", "lead", "codes", "tokens", "answers.pos", "answers.c")
-    keep = ["slice", "doc_id", "held", "bounds", "lead", "codes"]
+    answers = written(asked.join(counts, "token").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("answers")).select("slice", "answers.pos", "answers.c"))
+    keep = ["slice", "doc_id", "held", "bounds", "lead", "codes", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                tokens = one.column(6).flatten()
-                known = np.zeros(len(tokens), dtype="<i8")
+                known = np.zeros(len(one.column(6).flatten()), dtype="<i8")
                 known[one.column(7).flatten().to_numpy()] = one.column(8).flatten().to_numpy()
-                yield pa.record_batch([*one.columns[:6], pa.array([_hashes(tokens).tobytes()], pa.binary()), pa.array([known.tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=[*keep, "hashes", "known", "levels"])
+                yield pa.record_batch([*one.columns[:7], pa.array([known.tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=[*keep, "known", "levels"])
 
-    return joined.mapInArrow(run, LOOKED_UP)
+    out = written(table.join(answers, "slice", "left").select(*keep, "pos", "c").mapInArrow(run, LOOKED_UP))
+    dropped(answers)
+    return out
 
 
-LOOKED_UP = "slice bigint, doc_id array<bigint>, held array<boolean>, bounds array<bigint>, lead int, codes binary, hashes binary, known binary, levels binary"
+LOOKED_UP = "slice bigint, doc_id array<bigint>, held array<boolean>, bounds array<bigint>, lead int, codes binary, tokens array<binary>, known binary, levels binary"
 
 
 def _block(h: np.ndarray, blocks: int) -> np.ndarray:
@@ -289,9 +289,10 @@ def look_up(table: DataFrame, blocks: int, first: int, shared, order: int = ORDE
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                part = Slice(one.to_pylist()[0])
-                levels = np.concatenate([probed(np.where(whole, h, 0), blocks, first, bits) * whole for h, whole in grams(part.hashes[part.codes], part.place, order)])
-                before = one.column(8)[0].as_buffer()
+                part = Slice(one.drop_columns(["tokens", "known", "levels"]).to_pylist()[0])
+                seq = _hashes(one.column("tokens").flatten())[part.codes]
+                levels = np.concatenate([probed(np.where(whole, h, 0), blocks, first, bits) * whole for h, whole in grams(seq, part.place, order)])
+                before = one.column("levels")[0].as_buffer()
                 if len(before):
                     levels = np.maximum(levels, np.frombuffer(before, dtype=np.uint8))
                 yield pa.record_batch([*one.columns[:8], pa.array([levels.tobytes()], pa.binary())], names=one.schema.names)
@@ -328,6 +329,7 @@ def shares(table: DataFrame, order: int = ORDER) -> np.ndarray:
         at = np.arange(sums[..., 0].size)
         yield pa.record_batch({"at": pa.array(at), "n": pa.array(sums[..., 0].ravel()), "again": pa.array(sums[..., 1].ravel())})
 
+    table = table.drop("slice", "tokens")
     out = np.zeros((order - 1) * (LEVELS + 1))
     for x in table.mapInArrow(run, "at bigint, n bigint, again bigint").where("n > 0").groupBy("at").agg(F.sum("n").alias("n"), F.sum("again").alias("again")).collect():
         out[x["at"]] = (x["again"] + 0.5) / (x["n"] + 1)
@@ -364,7 +366,7 @@ def scored(table: DataFrame, share: np.ndarray, n: int, v: int, order: int = ORD
                     }
                 )
 
-    return table.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return table.drop("slice", "tokens").mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
 def held_out(key: str = "doc_id") -> F.Column:
@@ -380,8 +382,10 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held: F.C
     n, v = counts.where(F.col("token") != F.lit(bytearray(START))).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     distinct = table.select(F.explode("few").alias("h")).distinct().count() * SIZED_BY
     blocks = max(1, math.ceil(distinct * PER_GRAM * BITS / BLOCK))
-    bits = filter_blocks(table, blocks, order)
     now = with_counts(table, counts)
+    dropped(table)
+    dropped(counts)
+    bits = filter_blocks(now, blocks, order)
     for first in range(0, blocks, round_blocks):
         size_now = min(round_blocks, blocks - first)
         filled = bytearray(size_now * (BLOCK // 8))
@@ -394,9 +398,6 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held: F.C
         shared.destroy()
         dropped(now)
         now = after
-        if first == 0:
-            dropped(table)
-            dropped(counts)
     dropped(bits)
     sums = scored(now, shares(now, order), n, v, order).groupBy("doc_id", "held_out")
     whole = sums.agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
