@@ -3,17 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame as a checkpoint in spark.checkpoint.dir. Only a local session may lack the setting; it gets a folder of its own."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only a local session may lack the setting; it gets one of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if root is None and not context.master.startswith("local[") and context.master != "local":
+    if root is None:
+        if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place for a table that nothing else uses."""
+    return f"{folder(spark)}/{name}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame as a checkpoint."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()
