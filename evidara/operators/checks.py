@@ -33,18 +33,35 @@ def dense(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), ((F.max(ordinal) == F.count("*") - 1) & (F.min(ordinal) == 0) & (F.countDistinct(ordinal) == F.count("*"))).alias("dense"))
 
 
-def table_digest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-independent: md5 of the sorted md5s of the rows. Row digests are combined in slices by their first digits, three for up to a hundred million rows
-    and three more for each further factor of 4096, and slices in slices of slices, so no task holds all of them."""
+#: Digits of a row's MD5 in each of the sums of a table's state; a sum of 2^47 rows still fits.
+LANE = 4
+
+
+def digest_state(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row (lanes, n): sums over the rows' MD5s, four hexadecimal digits each, and the number of rows. States of parts add up to that of the whole, in any order and
+    layout, and repeated rows count as often as they stand; so a change is added or taken away without a look at the table."""
     row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]))
-    digits, most = 3, 100_000_000
-    while df.count() > most:
-        digits, most = digits + 3, most * 4096
-    slices = df.select(row.alias("m")).groupBy(F.substring("m", 1, digits).alias("p")).agg(F.md5(F.array_join(F.array_sort(F.collect_list("m")), "")).alias("d"), F.count("*").alias("n"))
-    for d in range(digits - 3, 0, -3):
-        inner = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ""))
-        slices = slices.groupBy(F.substring("p", 1, d).alias("q")).agg(inner.alias("d"), F.sum("n").alias("n")).withColumnRenamed("q", "p")
-    return slices.agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "")).alias("digest"), F.sum("n").alias("n_rows"))
+    hashed = df.select(row.alias("m"))
+    sums = [F.coalesce(F.sum(F.conv(F.substring("m", 1 + LANE * i, LANE), 16, 10).cast("bigint")), F.lit(0)) for i in range(32 // LANE)]
+    return hashed.agg(F.array(*sums).alias("lanes"), F.count("*").alias("n"))
+
+
+def changed_state(state: DataFrame, *, added: DataFrame | None = None, gone: DataFrame | None = None) -> DataFrame:
+    """A state after rows came and went, from the states of the changes alone."""
+    parts = [(state, 1), (added, 1), (gone, -1)]
+    signed = lambda df, sign: df.select((F.lit(sign) * F.col("n")).alias("n"), F.transform("lanes", lambda x: x * sign).alias("lanes"))
+    every = reduce(DataFrame.unionByName, [signed(*part) for part in parts if part[0] is not None])
+    return every.agg(F.array(*[F.sum(F.col("lanes")[i]) for i in range(32 // LANE)]).alias("lanes"), F.sum("n").alias("n"))
+
+
+def digest_of(state: DataFrame) -> DataFrame:
+    """(digest, n_rows) of a state."""
+    return state.select(F.sha2(F.concat_ws(":", F.transform("lanes", lambda x: x.cast("string")), F.col("n").cast("string")), 256).alias("digest"), F.col("n").alias("n_rows"))
+
+
+def table_digest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(digest, n_rows) of a table as a multiset of rows."""
+    return digest_of(digest_state(df, columns))
 
 
 def manifest(members: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Changes as frames: the old rows and the change give the new rows. Nothing is updated in place."""
+"""Changes as frames: the old rows and the change give the new rows. Functions that end in ``_in`` change a stored table, and in it only the folders of the lanes that the change touches."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidara.operators import lineage
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """New rows in place of old ones of the same keys. Of new rows that repeat a key the last by ``order`` stays; without an order they must be unique."""
@@ -60,3 +62,76 @@ def seal_once(old: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, Data
     """(rows after the upsert, refused rows): a sealed row never changes."""
     sealed = old.where("status = 'sealed'").select(key)
     return upsert(old, new.join(sealed, key, "left_anti"), [key]), new.join(sealed, key, "left_semi")
+
+
+#: Columns that name a lane; tables of lanes have a folder for each.
+LANE = ("project_id", "profile_id")
+
+
+def write_lanes(rows: DataFrame, path: str) -> None:
+    """A new table with a folder for each lane."""
+    rows.repartition(*LANE).write.partitionBy(*LANE).parquet(path)
+
+
+def _swap(rows: DataFrame, path: str, expected: int) -> None:
+    """Put the rows in place of the lanes they are of. They are staged and counted first; other lanes keep their files."""
+    spark = rows.sparkSession
+    staged = lineage.new_path(spark, "staged")
+    rows.write.parquet(staged)
+    ready = spark.read.schema(rows.schema).parquet(staged)
+    n = ready.count()
+    if n != expected:
+        raise ValueError(f"{n} rows are staged for {path}, {expected} are due: nothing was changed")
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LANE).parquet(path)
+
+
+def one_lane(spark: SparkSession, path: str, project: str, profile: str) -> DataFrame:
+    """The rows of one lane; the filter picks its folder."""
+    return spark.read.parquet(path).where((F.col("project_id") == project) & (F.col("profile_id") == profile))
+
+
+def activate_in(spark: SparkSession, path: str, project: str, profile: str, bundle: str, as_of: str) -> int:
+    """``activate`` for a lane of a stored table; returns how many rows the bundle has active there. Only that lane is read and written."""
+    lane = one_lane(spark, path, project, profile)
+    _swap(activate(lane, bundle, as_of).select(*lane.columns), path, lane.count())
+    return one_lane(spark, path, project, profile).where((F.col("bundle_id") == bundle) & F.col("is_active")).count()
+
+
+def rollback_in(spark: SparkSession, path: str, project: str, profile: str, current: str, previous: str, as_of: str, bundles: DataFrame) -> int:
+    """``rollback`` for a lane of a stored table, if the bundles allow it; returns how many rows are active afterwards. Only that lane is read and written."""
+    asked = spark.createDataFrame([(current, previous)], "current string, previous string")
+    reason = rollback_reasons(asked, bundles).first()["reason"]
+    if reason:
+        raise ValueError(f"cannot roll back from {current} to {previous}: {reason}")
+    lane = one_lane(spark, path, project, profile)
+    _swap(rollback(lane, current, previous, as_of).select(*lane.columns), path, lane.count())
+    return one_lane(spark, path, project, profile).where(F.col("is_active")).count()
+
+
+def rollback_reasons(requests: DataFrame, bundles: DataFrame) -> DataFrame:
+    """requests(current, previous) with ``reason``: the first that stands against going back, else empty. bundles(bundle_id, is_sealed, profile_id, corpus_version)."""
+    side = lambda name: bundles.select(F.col("bundle_id").alias(name), *[F.col(c).alias(f"_{name}_{c}") for c in ("is_sealed", "profile_id", "corpus_version")], F.lit(True).alias(f"_{name}"))
+    both = requests.join(side("current"), "current", "left").join(side("previous"), "previous", "left")
+    other = lambda c: ~F.col(f"_previous_{c}").eqNullSafe(F.col(f"_current_{c}"))
+    reason = F.when(F.col("_current").isNull() | F.col("_previous").isNull(), "unknown_bundle").when(~F.coalesce("_previous_is_sealed", F.lit(False)), "previous_not_sealed").when(other("profile_id"), "other_profile")
+    return both.select(*requests.columns, reason.when(other("corpus_version"), "other_corpus_version").otherwise("").alias("reason"))
+
+
+def _touched(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Old rows of the lanes that new rows are of: folders of other lanes are pruned as the query runs."""
+    return old.join(new.select(*LANE).distinct(), list(LANE), "left_semi")
+
+
+def upsert_in(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: str | None = None) -> None:
+    """``upsert`` into a stored table. Lanes without new rows are neither read nor written. The keys hold the lane's columns."""
+    old = _touched(spark.read.parquet(path), new)
+    fresh = new.select(*keys).distinct().join(old, keys, "left_anti").count()
+    merged = upsert(old, new.select(*old.columns) if order is None or order in old.columns else new, keys, order)
+    _swap(merged.select(*old.columns), path, old.count() + fresh)
+
+
+def replace_in(spark: SparkSession, path: str, new: DataFrame, scope: list[str]) -> None:
+    """``replace_scope`` in a stored table; the scope holds the lane's columns."""
+    old = _touched(spark.read.parquet(path), new)
+    kept = old.join(new.select(*scope).distinct(), scope, "left_anti")
+    _swap(kept.unionByName(new.select(*old.columns)), path, kept.count() + new.count())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +31,56 @@ def vector_topk(vectors: DataFrame, query: list[float] | Column, k: int, *, metr
     return vectors.withColumn("score", F.round(V.score(F.col(vector), q, metric), 6)).orderBy(F.desc("score"), key).limit(k)
 
 
+#: Rows of a block of queries and of data, and queries whose scores a task holds at a time.
+QUERY_BLOCK, DATA_BLOCK, TILE = 2048, 16384, 128
+
+
+def _block_best(queries: pa.Table, rows: pa.Table, k: int, metric: str, key: str) -> pa.Table:
+    """The k best rows of a block for each of its queries: one matrix product a tile."""
+    matrix = lambda x: np.stack(x.to_numpy()).astype(np.float64) if len(x) else np.zeros((0, 0))
+    ids, q, keys, v = queries["query_id"].to_numpy(), matrix(queries["query"]), rows[key].to_numpy(), matrix(rows["_v"])
+    order = np.argsort(keys, kind="stable")
+    keys, v = keys[order], v[order]
+    out: list[tuple] = []
+    size = np.sqrt((v * v).sum(axis=1)) if len(v) else np.zeros(0)
+    for a in range(0, len(ids) if len(keys) else 0, TILE):
+        part = q[a : a + TILE]
+        dots = part @ v.T
+        if metric == "cosine":
+            both = np.sqrt((part * part).sum(axis=1))[:, None] * size[None, :]
+            scores = np.divide(dots, both, out=np.zeros_like(dots), where=both > 0)
+        elif metric == "l2":
+            apart = np.zeros_like(dots)
+            for x, y in zip(part.T, v.T, strict=True):
+                apart += (x[:, None] - y[None, :]) ** 2
+            scores = 1 - np.sqrt(apart)
+        else:
+            scores = 1 + dots
+        scores = np.where(keys[None, :] == ids[a : a + TILE, None], -np.inf, np.round(scores, 6))
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # keys ascend, so ties go to the smaller one
+        best = np.take_along_axis(scores, top, axis=1)
+        out.append((np.repeat(ids[a : a + TILE], top.shape[1]), keys[top.ravel()], best.ravel()))
+    columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [ids[:0], keys[:0], np.zeros(0)]
+    real = columns[2] > -np.inf
+    return pa.table({"query_id": columns[0][real], key: columns[1][real], "score": columns[2][real]})
+
+
 def batch_topk(queries: DataFrame, vectors: DataFrame, k: int, *, metric: str = "cosine", key: str = "node_id", vector: str = "embedding") -> DataFrame:
-    """Top-k of every query over one set of vectors: rows (query_id, rank, key, score). queries(query_id, query) is a stated, small set:
-    it is broadcast to the vectors if Spark finds it small, and each task keeps k rows a query before the shuffle."""
-    pairs = vectors.select(F.col(key), F.col(vector).alias("_v")).join(queries, F.col(key) != F.col("query_id"))
-    scored = pairs.select("query_id", key, F.round(V.score(F.col("_v"), F.col("query"), metric), 6).alias("score"))
+    """Top-k of every query(query_id, query) over one set of vectors but the query's own row: rows (query_id, key, score, rank), ties to the smaller key. Keys and query ids are
+    of one type; null vectors take no part.
+
+    Queries and vectors are dealt into blocks. Each pair of blocks meets in one task, which multiplies two matrices and keeps k rows a query; so a task holds two blocks, and
+    k rows for each query and block of data are shuffled, whatever the tables' sizes."""
+    asked, rows = queries.select("query_id", "query").dropna(), vectors.select(F.col(key), F.col(vector).alias("_v")).dropna()
+    n_queries, n_rows = -(-asked.count() // QUERY_BLOCK), -(-rows.count() // DATA_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0))))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(n, 1))).cast("int")
+    a = asked.withColumn("_q", deal("query_id", n_queries)).select("*", every(n_rows).alias("_d"))
+    b = rows.withColumn("_d", deal(key, n_rows)).select("*", every(n_queries).alias("_q"))
+    shape = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
+    met = a.groupBy("_q", "_d").cogroup(b.groupBy("_q", "_d")).applyInArrow(lambda x, y: _block_best(x, y, k, metric, key), shape)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", key, "score", "rank")
 
 
 def lexical_overlap(nodes: DataFrame, terms: list[str], k: int, *, text: str = "text", key: str = "node_id") -> DataFrame:

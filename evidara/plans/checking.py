@@ -68,13 +68,25 @@ def version_bindings_having(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("version"), F.count("*").alias("n")).where("n <> 1")
 
 
-@query("""
-WITH m AS (SELECT md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), l_returnflag)) AS m FROM lineitem),
-s AS (SELECT left(m, 3) AS p, md5(string_agg(m, '' ORDER BY m)) AS d, count(*) AS n FROM m GROUP BY 1)
-SELECT md5(string_agg(d, '' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS n_rows FROM s
-""")
+_DIGESTED = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
+_STATE_SQL = "WITH m AS (%s), s AS (SELECT " + ", ".join(f"CAST(sum(CAST('0x' || substr(m, {4 * i + 1}, 4) AS BIGINT)) AS VARCHAR) AS s{i}" for i in range(8)) + ", count(*) AS n FROM m) "
+_STATE_SQL += "SELECT sha256(concat_ws(':', " + ", ".join(f"s{i}" for i in range(8)) + ", CAST(n AS VARCHAR))) AS digest, n AS n_rows FROM s"
+_ROW_MD5 = "md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), %s)) AS m FROM lineitem"
+
+
+@query(_STATE_SQL % ("SELECT " + _ROW_MD5 % "l_returnflag"))
 def table_digest(spark, sf_dir):
-    return K.table_digest(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"])
+    return K.table_digest(table(spark, sf_dir, "lineitem"), _DIGESTED)
+
+
+@query(_STATE_SQL % ("SELECT " + _ROW_MD5 % "CASE WHEN l_linenumber = 2 THEN 'Z' ELSE l_returnflag END" + " UNION ALL SELECT " + _ROW_MD5 % "l_returnflag" + " WHERE l_suppkey % 5 = 0"))
+def digest_after_changes(spark, sf_dir):
+    """The state of the old table, without the rows that changed, with their new versions and some rows once more."""
+    rows = table(spark, sf_dir, "lineitem")
+    state = lambda df: K.digest_state(df, _DIGESTED)
+    old = rows.where("l_linenumber = 2")
+    new = old.withColumn("l_returnflag", F.lit("Z")).select(*_DIGESTED).unionAll(rows.where("l_suppkey % 5 = 0").select(*_DIGESTED))
+    return K.digest_of(K.changed_state(state(rows), added=state(new), gone=state(old)))
 
 
 @query("SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY turn, text)) AS manifest_hash, count(*) AS n_members FROM conversations GROUP BY conv_id")

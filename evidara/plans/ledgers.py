@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidara.operators import ledger as L
 from evidara.plans.registry import query, table
+from evidara.streaming import stateful
 
 
 def events(spark, sf_dir):
@@ -62,3 +63,21 @@ SELECT job_id, (['view', 'click', 'purchase', 'done'])[coalesce(last, -1) + 2] A
 def job_resume(spark, sf_dir):
     states = events(spark, sf_dir).select(F.col("user_id").alias("job_id"), F.col("event_type").alias("state"), (F.col("value") > 20).alias("ok"))
     return L.resume(states, ["view", "click", "purchase"]).select("job_id", "next_state")
+
+
+_STATUSES = ("ok", "failed", "skipped", "needs_review", "error", "warning", "processed")
+
+
+@query(f"""
+SELECT event_id, '1.0' AS schema_version, s AS status, CASE WHEN s IN ('failed', 'error') THEN 'error' WHEN s IN ('skipped', 'needs_review', 'warning') THEN 'warning' ELSE 'info' END AS level, '***redacted***' AS token, event_type AS kind, round(value, 4) AS cost
+FROM (SELECT *, ['{"', '".join(_STATUSES)}'][event_id % {len(_STATUSES)} + 1] AS s FROM events)
+""")
+def event_log(spark, sf_dir):
+    """Events of the log, with levels, versions and secrets set by the sink's rules."""
+    status = F.get(F.array(*[F.lit(x) for x in _STATUSES]), (F.col("event_id") % len(_STATUSES)).cast("int"))
+    rows = events(spark, sf_dir).select(
+        F.col("event_id").cast("string").alias("request_id"), status.alias("status"), F.create_map(F.lit("token"), F.concat(F.lit("t"), F.col("user_id").cast("string")), F.lit("kind"), F.col("event_type")).alias("context"),
+        F.create_map(F.lit("cost"), F.col("value")).alias("metrics"),
+    )
+    made = stateful.event_rows(rows)
+    return made.select(F.col("request_id").cast("bigint").alias("event_id"), "schema_version", "status", "level", F.col("context")["token"].alias("token"), F.col("context")["kind"].alias("kind"), F.round(F.col("metrics")["cost"], 4).alias("cost"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidara.operators import lanes as L
+from evidara.operators import lineage
 from evidara.plans.registry import query, table
 
 _AT = "2026-01-01 00:00:00"
@@ -91,3 +92,29 @@ def seal_once(spark, sf_dir):
     old = orders.select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, "sealed").otherwise("writing").alias("status"), F.lit(1).alias("version"))
     new = orders.where("o_orderkey % 6 = 0").select("o_orderkey", F.lit("sealed").alias("status"), F.lit(2).alias("version"))
     return L.seal_once(old, new, "o_orderkey")[0]
+
+
+@query(f"""
+WITH r AS ({_ROWS}), t AS (SELECT DISTINCT document_id FROM r WHERE bundle_id = 'b1' AND project_id = 'p0'),
+j AS (SELECT r.*, r.project_id = 'p0' AND t.document_id IS NOT NULL AS touched FROM r LEFT JOIN t USING (document_id))
+SELECT node_id, bundle_id, CASE WHEN project_id = 'p0' AND bundle_id = 'b1' THEN TRUE WHEN touched THEN FALSE ELSE is_active END AS is_active,
+  strftime(CASE WHEN project_id = 'p0' AND bundle_id = 'b1' THEN NULL WHEN touched AND is_active THEN TIMESTAMP '{_AT}' ELSE superseded_at END, '%Y-%m-%d') AS superseded FROM j
+""")
+def lane_activation(spark, sf_dir):
+    """A stored table of lanes, one of which activates a bundle."""
+    path = lineage.new_path(spark, "lanes")
+    L.write_lanes(lane_rows(spark, sf_dir), path)
+    L.activate_in(spark, path, "p0", "f", "b1", _AT)
+    return _shown(spark.read.parquet(path))
+
+
+@query("""
+WITH b AS (SELECT o_orderkey AS id, o_orderkey % 3 <> 0 AS sealed, o_custkey % 2 AS profile, o_orderkey % 5 = 0 AS late FROM orders), r AS (SELECT o_orderkey AS c, o_orderkey - o_custkey % 4 * 32 AS p FROM orders)
+SELECT r.c AS current, r.p AS previous, CASE WHEN y.id IS NULL THEN 'unknown_bundle' WHEN NOT y.sealed THEN 'previous_not_sealed' WHEN x.profile <> y.profile THEN 'other_profile' WHEN x.late <> y.late THEN 'other_corpus_version' ELSE '' END AS reason
+FROM r JOIN b x ON x.id = r.c LEFT JOIN b y ON y.id = r.p
+""")
+def rollback_conditions(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    orders = table(spark, sf_dir, "orders")
+    bundles = orders.select(k.alias("bundle_id"), (k % 3 != 0).alias("is_sealed"), (c % 2).alias("profile_id"), F.when(k % 5 == 0, "late").otherwise("early").alias("corpus_version"))
+    return L.rollback_reasons(orders.select(k.alias("current"), (k - c % 4 * 32).alias("previous")), bundles).select("current", "previous", "reason")
