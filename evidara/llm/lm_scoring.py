@@ -33,7 +33,7 @@ from evidara.plans.registry import texts
 
 ORDER, BASE = 3, 1.5
 #: Bits for each level of an n-gram, probes for each, bits of a block, blocks in one broadcast, and levels per n-gram that the filter is sized for.
-BITS, PROBES, BLOCK, ROUND, PER_GRAM = 12, 4, 1 << 20, 512, 1.3
+BITS, PROBES, BLOCK, ROUND, PER_GRAM = 10, 4, 1 << 20, 512, 1.2
 SLICE = 4 << 20
 #: One n-gram hash in so many is counted to size the filter.
 SIZED_BY = 256
@@ -173,14 +173,14 @@ def with_counts(table: DataFrame, counts: DataFrame) -> DataFrame:
                 one = batch.slice(i, 1)
                 known = np.zeros(len(one.column(6).flatten()), dtype="<i8")
                 known[one.column(7).flatten().to_numpy()] = one.column(8).flatten().to_numpy()
-                yield pa.record_batch([*one.columns[:7], pa.array([known.tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=[*keep, "known", "levels"])
+                yield pa.record_batch([*one.columns[:7], pa.array([known.tobytes()], pa.binary())], names=[*keep, "known"])
 
-    out = written(table.join(answers, "slice", "left").select(*keep, "pos", "c").mapInArrow(run, LOOKED_UP))
+    out = written(table.join(answers, "slice", "left").select(*keep, "pos", "c").mapInArrow(run, COUNTED))
     dropped(answers)
     return out
 
 
-LOOKED_UP = "slice bigint, doc_id array<bigint>, held array<boolean>, bounds array<bigint>, lead int, codes binary, tokens array<binary>, known binary, levels binary"
+COUNTED = "slice bigint, doc_id array<bigint>, held array<boolean>, bounds array<bigint>, lead int, codes binary, tokens array<binary>, known binary"
 
 
 def _block(h: np.ndarray, blocks: int) -> np.ndarray:
@@ -282,22 +282,50 @@ def probed(h: np.ndarray, blocks: int, first: int, bits: np.ndarray) -> np.ndarr
 
 
 def look_up(table: DataFrame, blocks: int, first: int, shared, order: int = ORDER) -> DataFrame:
-    """The slices with the levels of what the broadcast blocks hold."""
+    """(slice, levels): the levels of what the broadcast blocks hold, for each order and position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                part = Slice(one.drop_columns(["tokens", "known", "levels"]).to_pylist()[0])
+                part = Slice(one.drop_columns(["tokens"]).to_pylist()[0])
                 seq = _hashes(one.column("tokens").flatten())[part.codes]
                 levels = np.concatenate([probed(np.where(whole, h, 0), blocks, first, bits) * whole for h, whole in grams(seq, part.place, order)])
-                before = one.column("levels")[0].as_buffer()
-                if len(before):
-                    levels = np.maximum(levels, np.frombuffer(before, dtype=np.uint8))
-                yield pa.record_batch([*one.columns[:8], pa.array([levels.tobytes()], pa.binary())], names=one.schema.names)
+                yield pa.record_batch([one.column("slice"), pa.array([levels.tobytes()], pa.binary())], names=["slice", "levels"])
+
+    return table.select("slice", "doc_id", "held", "bounds", "lead", "codes", "tokens").mapInArrow(run, "slice bigint, levels binary")
+
+
+MERGED = "doc_id array<bigint>, held array<boolean>, bounds array<bigint>, lead int, codes binary, known binary, levels binary"
+
+
+def with_levels(table: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """The slices with the levels of all rounds: a sorted stream in which each slice comes before its levels, so a task holds one slice and one round's levels of it."""
+    rows = table.select("slice", F.lit(-1).alias("round"), "doc_id", "held", "bounds", "lead", "codes", "known")
+    for i, found in enumerate(rounds):
+        rows = rows.unionByName(found.select("slice", F.lit(i).alias("round"), "levels"), allowMissingColumns=True)
+    names = [x.split()[0] for x in MERGED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, levels = None, None
+
+        def whole() -> pa.RecordBatch:
+            return pa.record_batch([*row, pa.array([levels.tobytes()], pa.binary())], names=names)
+
+        for batch in batches:
+            for i, number in enumerate(batch.column("round").to_pylist()):
+                if number < 0:
+                    if row is not None:
+                        yield whole()
+                    row, levels = [batch.column(n).slice(i, 1) for n in names[:-1]], np.zeros(0, np.uint8)
+                else:
+                    found = np.frombuffer(batch.column("levels")[i].as_buffer(), dtype=np.uint8)
+                    levels = np.maximum(levels, found) if len(levels) else found
+        if row is not None:
+            yield whole()
 
-    return table.mapInArrow(run, LOOKED_UP)
+    return rows.repartition("slice").sortWithinPartitions("slice", "round").mapInArrow(run, MERGED)
 
 
 def _histories(part: Slice, known: np.ndarray, levels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -329,7 +357,6 @@ def shares(table: DataFrame, order: int = ORDER) -> np.ndarray:
         at = np.arange(sums[..., 0].size)
         yield pa.record_batch({"at": pa.array(at), "n": pa.array(sums[..., 0].ravel()), "again": pa.array(sums[..., 1].ravel())})
 
-    table = table.drop("slice", "tokens")
     out = np.zeros((order - 1) * (LEVELS + 1))
     for x in table.mapInArrow(run, "at bigint, n bigint, again bigint").where("n > 0").groupBy("at").agg(F.sum("n").alias("n"), F.sum("again").alias("again")).collect():
         out[x["at"]] = (x["again"] + 0.5) / (x["n"] + 1)
@@ -366,7 +393,7 @@ def scored(table: DataFrame, share: np.ndarray, n: int, v: int, order: int = ORD
                     }
                 )
 
-    return table.drop("slice", "tokens").mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return table.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
 def held_out(key: str = "doc_id") -> F.Column:
@@ -385,7 +412,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held: F.C
     now = with_counts(table, counts)
     dropped(table)
     dropped(counts)
-    bits = filter_blocks(now, blocks, order)
+    bits, rounds = filter_blocks(now, blocks, order), []
     for first in range(0, blocks, round_blocks):
         size_now = min(round_blocks, blocks - first)
         filled = bytearray(size_now * (BLOCK // 8))
@@ -394,14 +421,15 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held: F.C
             filled[at : at + BLOCK // 8] = x["bits"]
         shared = spark.sparkContext.broadcast(bytes(filled))
         del filled
-        after = written(look_up(now, blocks, first, shared, order))
+        rounds.append(written(look_up(now, blocks, first, shared, order)))
         shared.destroy()
-        dropped(now)
-        now = after
     dropped(bits)
-    sums = scored(now, shares(now, order), n, v, order).groupBy("doc_id", "held_out")
-    whole = sums.agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
-    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
+    whole = written(with_levels(now, rounds))
+    for x in (now, *rounds):
+        dropped(x)
+    sums = scored(whole, shares(whole, order), n, v, order).groupBy("doc_id", "held_out")
+    out = sums.agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
