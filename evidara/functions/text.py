@@ -122,8 +122,8 @@ def spanish_date(text: Column) -> Column:
 
 
 def redact(text: Column, limit: int = 256) -> Column:
-    """Values of secret-looking names replaced, then cut to a length with an ellipsis."""
-    out = F.regexp_replace(text, r"(token|password|secret|api_key)(\s*=\s*\"?)([A-Za-z0-9_]+)", "$1$2[redacted]")
+    """Values of secret-looking names replaced, to the quote that they open with or the next white space, then cut to a length with an ellipsis."""
+    out = F.regexp_replace(text, r"(token|password|secret|api_key)(\s*=\s*)(?:\"[^\"]*\"?|[^\s\"]+)", "$1$2[redacted]")
     return F.when(F.length(out) > limit, F.concat(F.substring(out, 1, limit), F.lit("..."))).otherwise(out)
 
 
@@ -161,7 +161,9 @@ def preview(values: Column, key: Column | str = "", items: int = 8) -> Column:
 def error_text(text: Column) -> Column:
     """An error's text without URLs and absolute paths."""
     bare = F.regexp_replace(F.regexp_replace(text, SIGNED_URL, REDACTED), r"(?i)https?://\S+", REDACTED)
-    return F.regexp_replace(bare, r"(?:[A-Za-z]:\\|\\\\|/)[^\s\"']{2,}", REDACTED)
+    # a path is a root (of a drive, a share or the file system) and what follows it up to white space or a quote, two characters at least
+    root = "|".join((r"\b[A-Za-z]:[\\/]", r"\\\\", "/"))
+    return F.regexp_replace(bare, rf"(?:{root})[^\s'\"][^\s'\"]+", REDACTED)
 
 
 def redact_json(payload: Column) -> Column:

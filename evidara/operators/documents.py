@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.functions import text as T
+from evidara.operators import matching
 from evidara.operators.gates import golden
 from evidara.operators.invariants import outcomes
 
@@ -42,9 +43,7 @@ def golden_documents(expected: DataFrame, documents: DataFrame, pages: DataFrame
     counts = pages.groupBy("document_id").agg(F.count("*").alias("n"))
     n = expected.join(counts, "document_id", "left").where(~F.col("page_count").eqNullSafe(F.coalesce("n", F.lit(0))))
     found = found.unionByName(n.select("document_id", F.lit("page_count").alias("field"), F.col("page_count").cast("string").alias("expected"), F.coalesce("n", F.lit(0)).cast("string").alias("actual")))
-    wanted = expected.select("document_id", F.explode("anchors").alias("anchor")).distinct()
-    told = wanted.join(pages.select("document_id", T.normalize_text(F.col("text")).alias("t")), "document_id").where(F.contains("t", T.normalize_text(F.col("anchor")))).select("document_id", "anchor").distinct()
-    lost = wanted.join(told, ["document_id", "anchor"], "left_anti")
+    lost = matching.anchors(expected, pages).where("pages = 0")
     found = found.unionByName(lost.select("document_id", F.lit("anchor").alias("field"), F.col("anchor").alias("expected"), F.lit(None).cast("string").alias("actual")))
     extra = documents.select("document_id").distinct().join(expected.select("document_id"), "document_id", "left_anti")
     return found.unionByName(extra.select("document_id", F.lit("unexpected").alias("field"), F.lit(None).cast("string").alias("expected"), F.col("document_id").cast("string").alias("actual")))

@@ -34,10 +34,12 @@ def project_mismatch_theta(spark, sf_dir):
 
 @query("""
 SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'missing_left' ELSE 'missing_right' END AS side
-FROM (SELECT doc_id FROM documents WHERE doc_id % 9 <> 0) d FULL OUTER JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL
+FROM (SELECT CASE WHEN doc_id % 9 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id FROM documents) d FULL OUTER JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL
 """)
 def inventory_bijection(spark, sf_dir):
-    return K.bijection(table(spark, sf_dir, "documents").where("doc_id % 9 <> 0"), table(spark, sf_dir, "labels"), "doc_id")
+    """Documents, every ninth under another id, against labels."""
+    d = F.col("doc_id")
+    return K.bijection(table(spark, sf_dir, "documents").select(F.when(d % 9 == 0, -1 - d).otherwise(d).alias("doc_id")), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("SELECT o_orderkey AS key, CASE WHEN l.k IS NULL THEN 'missing_right' END AS side FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linenumber > 1) l ON l.k = o_orderkey WHERE l.k IS NULL")

@@ -91,14 +91,15 @@ def parsed_cells(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT o_custkey AS bundle_id, o_orderkey AS node_id, o_orderkey % 3 = 0 AS is_active, 'old' AS v FROM orders WHERE o_orderkey % 4 <> 0), n AS (SELECT o_custkey AS bundle_id, o_orderkey AS node_id FROM orders WHERE o_orderkey % 4 < 2)
+WITH s AS (SELECT o_custkey AS bundle_id, o_orderkey AS node_id, o_orderkey % 3 = 0 AS is_active, 'old' AS v FROM orders), n AS (SELECT o_custkey AS bundle_id, CASE WHEN o_orderkey % 4 = 0 THEN -o_orderkey ELSE o_orderkey END AS node_id FROM orders)
 SELECT s.bundle_id, s.node_id, s.is_active, CASE WHEN n.node_id IS NULL THEN 'old' ELSE 'new' END AS v FROM s LEFT JOIN n ON n.node_id = s.node_id AND n.bundle_id = s.bundle_id
-UNION ALL SELECT n.bundle_id, n.node_id, FALSE, 'new' FROM n WHERE n.node_id % 4 = 0
+UNION ALL SELECT n.bundle_id, n.node_id, FALSE, 'new' FROM n WHERE n.node_id < 0
 """)
 def append_inactive(spark, sf_dir):
     k = F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("bundle_id"), k.alias("node_id"), (k % 3 == 0).alias("is_active"))
-    return P.append_inactive(rows.where("node_id % 4 <> 0").withColumn("v", F.lit("old")), rows.where("node_id % 4 < 2").drop("is_active").withColumn("v", F.lit("new")), ["bundle_id", "node_id"])
+    new = rows.select("bundle_id", F.when(F.col("node_id") % 4 == 0, -F.col("node_id")).otherwise(F.col("node_id")).alias("node_id"), F.lit("new").alias("v"))
+    return P.append_inactive(rows.withColumn("v", F.lit("old")), new, ["bundle_id", "node_id"])
 
 
 @query("""

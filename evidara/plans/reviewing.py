@@ -78,9 +78,11 @@ def snapshot_eligibility(spark, sf_dir):
     return R.snapshot_gate(rows)
 
 
-@query("SELECT DISTINCT l_orderkey FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM lineitem WHERE l_partkey % 7 <> 0) WHERE r <> l_linenumber")
+@query("SELECT DISTINCT l_orderkey FROM (SELECT l_orderkey, n, row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS r FROM (SELECT l_orderkey, l_linenumber + CASE WHEN l_partkey % 7 = 0 THEN 10 ELSE 0 END AS n FROM lineitem)) WHERE r <> n")
 def page_contiguity(spark, sf_dir):
-    return K.contiguous(table(spark, sf_dir, "lineitem").where("l_partkey % 7 <> 0"), ["l_orderkey"], "l_linenumber")
+    """Line items as pages; every seventh part's page has a wrong number."""
+    number = F.col("l_linenumber") + F.when(F.col("l_partkey") % 7 == 0, 10).otherwise(0)
+    return K.contiguous(table(spark, sf_dir, "lineitem").select("l_orderkey", number.alias("n")), ["l_orderkey"], "n")
 
 
 @query("SELECT user_id, round(avg(value / 100), 6) AS confidence, count(*) FILTER (value / 100 < 0.5) AS low, count(*) AS words FROM events WHERE value >= 0 GROUP BY user_id")

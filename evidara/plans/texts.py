@@ -231,7 +231,7 @@ def inventory_ids(spark, sf_dir):
 
 @query(r"""
 SELECT doc_id, CASE WHEN len(t) > 256 THEN left(t, 256) || '...' ELSE t END AS text FROM (
-  SELECT doc_id, regexp_replace(text, '(token|password|secret|api_key)(\s*=\s*"?)([A-Za-z0-9_]+)', '\1\2[redacted]', 'g') AS t FROM documents)
+  SELECT doc_id, regexp_replace(text, '(token|password|secret|api_key)(\s*=\s*)(?:"[^"]*"?|[^\s"]+)', '\1\2[redacted]', 'g') AS t FROM documents)
 """)
 def redact_truncate(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", T.redact(F.col("text")).alias("text"))
