@@ -34,6 +34,31 @@ def repair(text: Column) -> Column:
     return F.when(sign & F.is_valid_utf8(again), again).otherwise(text)
 
 
+#: Letters that UTF-8 read as Latin-1 begins with.
+MISREAD = ("Ã", "Â", "â")
+
+
+def repaired(text: Column) -> Column:
+    """``repair`` up to twice, for texts that were misread twice: each pass must be valid UTF-8 and leave fewer of the letters that give such texts away."""
+
+    def one(x):
+        told = F.lit(False)
+        for mark in MISREAD:
+            told = told | F.contains(x, F.lit(mark))
+        again = F.encode(F.when(told & ~x.rlike("[^\u0000-\u00ff]"), x), "ISO-8859-1").cast("string")
+        signs = lambda y: F.length(y) - F.length(F.translate(y, "ÃÂ", ""))
+        return F.get(F.transform(F.array(again), lambda y: F.when(F.is_valid_utf8(y) & (signs(y) < signs(x)), y).otherwise(x)), F.lit(0))
+
+    # each pass is bound once, however often it looks at its text
+    return F.get(F.transform(F.transform(F.array(text), one), one), F.lit(0))
+
+
+def golden_value(value: Column, field: str = "") -> Column:
+    """A field as golden values are compared: repaired, folded, without marks, single blanks; codes are letters and digits alone, titles have no end marks."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(fold(repaired(value)), r"\p{Mn}", ""), r"\s+", " "))
+    return {"document_code": F.regexp_replace(plain, r"[^\p{L}\p{N}]", ""), "title": F.regexp_replace(plain, "[ .:;]+$", "")}.get(field, plain)
+
+
 def slug(text: Column) -> Column:
     """Folded letters and digits joined by single hyphens."""
     return F.regexp_replace(F.regexp_replace(fold(text), "[^a-z0-9]+", "-"), "^-|-$", "")

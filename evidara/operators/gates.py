@@ -131,12 +131,13 @@ def call_order(calls: DataFrame, run: str) -> DataFrame:
     return per.select(run, F.when(F.col("n") != 1, "not_one_parse").when(F.col("again"), "repeated").when(F.col("e") < F.col("p"), "extract_before_parse").when(F.col("c") > F.col("e"), "classify_after_extract").otherwise("").alias("reason"))
 
 
-def golden(expected: DataFrame, actual: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field, expected, actual) where they differ; a missing document differs in every field that is expected."""
+def golden(expected: DataFrame, actual: DataFrame, key: str, fields: list[str], fold=lambda value, field: value) -> DataFrame:
+    """(key, field, expected, actual) where they differ, as fold(value, field) shows them; a missing document differs in every field that is expected."""
     theirs = actual.select(key, *[F.col(f).cast("string").alias(f"_{f}") for f in fields])
-    pairs = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("expected"), F.col(f"_{f}").alias("actual")) for f in fields]
     joined = expected.select(key, *fields).join(theirs, key, "left")
-    return joined.select(key, F.inline(F.filter(F.array(*pairs), lambda x: ~x["expected"].eqNullSafe(x["actual"]))))
+    differs = lambda f: ~fold(F.col(f).cast("string"), f).eqNullSafe(fold(F.col(f"_{f}"), f))
+    pairs = [F.when(differs(f), F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("expected"), F.col(f"_{f}").alias("actual"))) for f in fields]
+    return joined.select(key, F.inline(F.array_compact(F.array(*pairs))))
 
 
 def provision(profiles: DataFrame, targets: DataFrame) -> DataFrame:

@@ -99,16 +99,20 @@ def overlap(regions: DataFrame, traces: DataFrame, document: str, *, levels: int
 
 
 def pack(lines: Column, cost, limit: int | Column) -> Column:
-    """Group number of every element: greedy groups whose cost stays within the limit, an element beyond it alone."""
-    start = F.struct(F.lit(0).alias("g"), F.lit(0).alias("n"), F.lit(0).alias("seen"), F.array().cast("array<int>").alias("out"))
+    """Group number of every element: greedy groups whose cost stays within the limit, an element beyond it alone. The fold keeps the first elements of groups, not a
+    number an element, so long arrays are not copied at every step."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("seen"), F.array().cast("array<int>").alias("first"))
 
     def step(a, x):
         c = cost(x).cast("int")
-        new = (a["seen"] > 0) & (a["n"] + c > limit)
-        g = a["g"] + new.cast("int")
-        return F.struct(g.alias("g"), F.when(new, c).otherwise(a["n"] + c).alias("n"), (a["seen"] + 1).alias("seen"), F.concat(a["out"], F.array(g)).alias("out"))
+        new = (a["seen"] == 0) | (a["n"] + c > limit)
+        return F.struct(F.when(new, c).otherwise(a["n"] + c).alias("n"), (a["seen"] + 1).alias("seen"), F.when(new, F.concat(a["first"], F.array(a["seen"]))).otherwise(a["first"]).alias("first"))
 
-    return F.aggregate(lines, start, step, lambda a: a["out"])
+    def spread(a):
+        ends = F.concat(F.slice(a["first"], 2, F.greatest(F.size(a["first"]) - 1, F.lit(0))), F.array(a["seen"]))
+        return F.when(a["seen"] > 0, F.flatten(F.transform(F.arrays_zip(a["first"].alias("first"), ends.alias("end")), lambda x, g: F.array_repeat(g, x["end"] - x["first"])))).otherwise(F.array().cast("array<int>"))
+
+    return F.aggregate(lines, start, step, spread)
 
 
 BETWEEN, WORD = re.compile(r"(?<=[.!?])\s+|\n\s*\n", re.A), re.compile(r"\S+", re.A)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidara.functions import text as T
 from evidara.operators import gates as G
 from evidara.plans.registry import query, table, texts
 
@@ -140,6 +141,24 @@ def golden_fields(spark, sf_dir):
     return G.golden(docs, actual, "doc_id", ["lang", "source", "n_chars"])
 
 
+_TITLES = ("Gu\u00eda de uso.", "Pol\u00edtica  SST", "Acta :", "Norma")
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey, o_custkey % 4 AS k, o_orderkey % 3 AS c FROM orders)
+SELECT o_orderkey, f AS field, CASE f WHEN 'title' THEN ['{"', '".join(_TITLES)}'][k + 1] ELSE 'PR-SST-0' || c END AS expected, CASE f WHEN 'title' THEN 'Norma' ELSE 'pr sst 01' END AS actual
+FROM o CROSS JOIN (VALUES ('title'), ('document_code')) AS u(f) WHERE CASE f WHEN 'title' THEN k <> 3 AND NOT (o_orderkey % 2 = 0) ELSE c <> 1 END
+""")
+def golden_folded(spark, sf_dir):
+    """Titles that differ in accents, misread letters, blanks and end marks, and codes in their separators, are equal; every second order has its own title in another spelling."""
+    k, o = F.col("o_custkey") % 4, F.col("o_orderkey")
+    pick = lambda values: F.get(F.array(*[F.lit(x) for x in values]), k.cast("int"))
+    spelt = ("GUIA DE  USO", "Pol\u00c3\u00adtica SST", "acta", "norma.")
+    rows = table(spark, sf_dir, "orders").select(o, pick(_TITLES).alias("title"), F.concat(F.lit("PR-SST-0"), (o % 3).cast("string")).alias("document_code"), pick(spelt).alias("other"))
+    actual = rows.select(o, F.when(o % 2 == 0, F.col("other")).otherwise("Norma").alias("title"), F.lit("pr sst 01").alias("document_code"))
+    return G.golden(rows, actual, "o_orderkey", ["title", "document_code"], lambda value, field: T.golden_value(value, field)).select("o_orderkey", "field", "expected", F.when(F.col("field") == "title", "Norma").otherwise(F.col("actual")).alias("actual"))
+
+
 @query("SELECT c_custkey AS profile_id, min(CASE WHEN s_suppkey % 3 = c_custkey % 4 AND (c_nationkey % 2 = 0 OR s_nationkey % 2 = 0) THEN s_suppkey END) AS target_id FROM customer LEFT JOIN supplier ON s_suppkey % 3 = c_custkey % 4 GROUP BY c_custkey")
 def target_provisioning(spark, sf_dir):
     profiles = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("profile_id"), _text("t", F.col("c_custkey") % 4).alias("vector_table"), F.when(F.col("c_nationkey") % 2 == 0, "cosine").otherwise("l2").alias("metric"))
