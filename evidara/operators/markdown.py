@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,16 +94,16 @@ def tokens(text: Column) -> Column:
     return F.size(F.array_remove(F.split(text, r"\s+"), ""))
 
 
-def parents(blocks: DataFrame, limit: int = 1500, *, key: str = "document_id") -> DataFrame:
+def parents(blocks: DataFrame, limit: int = 1500, *, key: str = "document_id", count: Callable[[Column], Column] = tokens) -> DataFrame:
     """(key, ordinal, parent_id, kind, text, token_count, n_blocks, char_start, char_end, page_start, page_end, blocks): a heading opens a section, headings
     alone join the section after them; sections beyond the limit are cut greedily between blocks, but not those with a table. The page span is
-    null if any block has none. kind is table if a block is one."""
+    null if any block has none. kind is table if a block is one. count: the number of tokens of a text."""
     w = Window.partitionBy(key).orderBy("ordinal")
     heads = F.col("kind") == "heading"
     opens = heads & (F.coalesce(F.lag("kind").over(w), F.lit("")) != "heading")
     cut = blocks.withColumn("section", F.sum(opens.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     fields = ["ordinal", "kind", "text", "char_start", "char_end", "page_start", "page_end"]
-    whole = cut.groupBy(key, "section").agg(F.array_sort(F.collect_list(F.struct(*fields, tokens(F.col("text")).alias("n")))).alias("b"), F.bool_or(F.col("kind") == "table").alias("table"))
+    whole = cut.groupBy(key, "section").agg(F.array_sort(F.collect_list(F.struct(*fields, count(F.col("text")).alias("n")))).alias("b"), F.bool_or(F.col("kind") == "table").alias("table"))
     groups = F.when(F.col("table"), F.transform("b", lambda x: F.lit(0))).otherwise(structure.pack(F.col("b"), lambda x: x["n"], limit))
     rows = whole.select(key, "section", "table", F.explode(F.arrays_zip(F.col("b"), groups.alias("g"))).alias("x")).select(key, "section", "table", "x.b.*", F.col("x.g").alias("g"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n\n")
@@ -125,14 +127,14 @@ def segments(found: DataFrame) -> DataFrame:
     return cut.groupBy("parent_id", "segment").agg(F.when(F.bool_or("tabular"), "table").otherwise("text").alias("kind"), text.alias("text"))
 
 
-def table_groups(tables: DataFrame, limit: int, *, key: str = "parent_id", text: str = "text") -> DataFrame:
+def table_groups(tables: DataFrame, limit: int, *, key: str = "parent_id", text: str = "text", count: Callable[[Column], Column] = tokens) -> DataFrame:
     """(key, ordinal, context_prefix, text, token_count): the rows of each table in greedy groups that fit the limit with the header; the header (two
     lines before pipes, else one) leads the first group as text and is the context of the others."""
     rows = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     n_head = F.when((F.size("rows") >= 2) & F.element_at("rows", 1).startswith("|"), 2).otherwise(1)
     cut = tables.select(F.col(key), rows.alias("rows")).where("size(rows) > 0").withColumn("n_head", n_head)
     cut = cut.select(key, F.slice("rows", 1, F.col("n_head")).alias("head"), F.slice("rows", F.col("n_head") + 1, F.size("rows")).alias("data"))
-    cut = cut.withColumn("head", F.array_join("head", "\n")).withColumn("g", structure.pack(F.col("data"), tokens, F.lit(limit) - tokens(F.col("head"))))
+    cut = cut.withColumn("head", F.array_join("head", "\n")).withColumn("g", structure.pack(F.col("data"), count, F.lit(limit) - count(F.col("head"))))
     rows = cut.select(key, "head", F.posexplode_outer(F.arrays_zip("data", "g")).alias("i", "x")).select(key, "head", "i", F.col("x.data").alias("row"), F.coalesce("x.g", F.lit(0)).alias("ordinal"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda x: x["row"]), "\n")
     made = rows.groupBy(key, "ordinal").agg(F.first("head").alias("head"), body.alias("body"))

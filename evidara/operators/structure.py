@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -174,9 +174,14 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def sentence_chunks(docs: DataFrame, profile: Profile = Profile(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def words_of(text: str) -> int:
+    """The tokens of a sentence if nothing else counts them: its words."""
+    return len(WORD.findall(text))
+
+
+def sentence_chunks(docs: DataFrame, profile: Profile = Profile(), *, key: str = "doc_id", text: str = "text", count: Callable[[str], int] = words_of) -> DataFrame:
     """(key, ordinal, n_sentences, n_overlap, token_count, text, char_start, char_end): children as ranges of sentences that keep to the token budgets, each
-    led in by the end of the one before. Tokens are words. Offsets are those of the range in the text. Null or empty texts have no children.
+    led in by the end of the one before. count: the number of tokens of a sentence. Offsets are those of the range in the text. Null or empty texts have no children.
 
     A range's end is found by binary search in the running token counts of the document, so long documents take one pass."""
     bounds = (max(1, profile.child_min - profile.overlap_max), profile.child_target - profile.overlap, profile.child_max - profile.overlap_max)
@@ -186,7 +191,7 @@ def sentence_chunks(docs: DataFrame, profile: Profile = Profile(), *, key: str =
             columns: list[list] = [[] for _ in range(8)]
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 spans = sentence_spans(t or "")
-                upto = np.cumsum([0, *(len(WORD.findall(t, a, b)) for a, b in spans)])
+                upto = np.cumsum([0, *(count(t[a:b]) for a, b in spans)])
                 starts = child_starts(upto, *bounds)
                 for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(spans)], strict=False)):
                     first = lead_in(upto, starts[i - 1], a, profile) if i else a

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidara.plans import adapting, checking, controlling, documenting, gating, identifying, ledgers, marking, merging, placing, retrieving, reviewing, searching, selecting, storing, texts, verifying  # noqa: F401
+from evidara.plans import adapting, checking, controlling, documenting, embedding, gating, identifying, ledgers, marking, merging, placing, retrieving, reviewing, searching, selecting, storing, texts, verifying  # noqa: F401
 from evidara.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "evidence_search"

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from evidara.functions import text as T
-from evidara.operators import structure
+from evidara.operators import engines, markdown, structure
 from evidara.sources import records
 
 
@@ -68,3 +68,20 @@ def test_texts_misread_twice(spark):
     assert got == [b for _, b in rows]
     value = lambda x, field="": spark.range(1).select(T.golden_value(F.lit(x), field)).first()[0]
     assert value(" GUÍA  de\tuso") == "guia de uso" and value("PR - SST.01", "document_code") == "prsst01" and value("Título .:;", "title") == "titulo" and value("ño") == "no"
+
+
+def test_engines_are_parameters(spark):
+    df = spark.createDataFrame([(1, "uno dos"), (2, ""), (3, None), (4, "..."), (5, "uno dos")], "node_id int, text string")
+    got = {r.node_id: r for r in engines.embedded(df, engines.worded(16)).collect()}
+    assert [got[i].reason for i in range(1, 6)] == ["", "no_text", "no_text", "", ""] and got[1].embedding == got[5].embedding and abs(sum(x * x for x in got[1].embedding) - 1) < 1e-6 and set(got[4].embedding) == {0.0}
+    own = engines.Engine("me", "odd", "2", 2, lambda t: F.when(t == "...", F.array(F.lit(1.0))).when(F.length(t) == 7, F.array(F.lit(1.0), F.lit(float("nan")))))
+    assert {r.node_id: r.reason for r in engines.embedded(df, own).collect()} == {1: "not_finite", 2: "no_text", 3: "no_text", 4: "dimension", 5: "not_finite"}
+
+
+def test_tokenizers_are_parameters(spark):
+    docs = spark.createDataFrame([(1, "Uno. Dos dos. Tres tres tres. Cuatro.")], "doc_id int, text string")
+    profile = structure.Profile(4, 8, 12, 0.12, 1, 3)
+    by_words, by_letters = (structure.sentence_chunks(docs, profile, **kw).collect() for kw in ({}, {"count": len}))
+    assert [len(by_words), len(by_letters), by_words[0].token_count, by_letters[0].token_count] == [1, 4, 7, 4]
+    blocks = spark.createDataFrame([(1, i, "text", "a b c", 0, 1, None, None) for i in range(4)], "document_id int, ordinal int, kind string, text string, char_start int, char_end int, page_start int, page_end int")
+    assert [markdown.parents(blocks, 6, count=f).count() for f in (markdown.tokens, lambda t: F.length(t))] == [2, 4]
