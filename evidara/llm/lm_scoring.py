@@ -3,7 +3,7 @@
 The filter holds quantised counts: an n-gram seen c times is entered with the levels 1 .. 1 + floor(log_BASE c), and its count is read by probing level
 after level until one is missing. It is cut into blocks of 2^20 bits, and all levels of an n-gram lie in the block that its hash names, so blocks are built
 apart, by the tasks to which Spark shuffles their n-grams, from the exact counts over the whole corpus. There are as many blocks as the distinct n-grams need at
-BITS bits an entry, so false positives are as rare in a large corpus as in a small one. Workers get the filter by broadcast, ROUND blocks (64 MB) at a
+BITS bits an entry, so false positives are as rare in a large corpus as in a small one. Workers get the filter by broadcast, ROUND blocks (96 MB) at a
 time: every round looks up the n-grams of its blocks in all texts and keeps the levels beside the tokens, so what is broadcast has a fixed bound.
 
 1. Texts become slices: distinct tokens, token numbers, document bounds. A document begins with a start mark and ends with the end token.
@@ -33,11 +33,13 @@ from evidara.plans.registry import texts
 
 ORDER, BASE = 3, 1.5
 #: Bits for each level of an n-gram, probes for each, bits of a block, blocks in one broadcast, and levels per n-gram that the filter is sized for.
-BITS, PROBES, BLOCK, ROUND, PER_GRAM = 10, 4, 1 << 20, 512, 1.2
+BITS, PROBES, BLOCK, ROUND, PER_GRAM = 10, 4, 1 << 20, 768, 1.2
 SLICE = 4 << 20
 #: One n-gram hash in so many is counted to size the filter.
 SIZED_BY = 256
 LEVELS = 96
+#: Positions that are looked up at a time: their arrays stay in a core's cache.
+NEAR = 1 << 15
 START, END = b"\n", b""  # neither is a word
 LEFT = np.uint64(0x9FB21C651E98DF25)
 TOKENS = "doc_id array<bigint>, held array<boolean>, bounds array<bigint>, lead int, codes binary, tokens array<binary>, times array<bigint>, few array<bigint>"
@@ -281,6 +283,17 @@ def probed(h: np.ndarray, blocks: int, first: int, bits: np.ndarray) -> np.ndarr
     return out
 
 
+def levels_of(seq: np.ndarray, place: np.ndarray, order: int, blocks: int, first: int, bits: np.ndarray) -> np.ndarray:
+    """Levels for each order and position of what the given blocks hold."""
+    out = np.zeros((order - 1, len(seq)), dtype=np.uint8)
+    for a in range(0, len(seq), NEAR):
+        low = max(0, a - order + 1)
+        part = slice(low, a + NEAR)
+        for i, (h, whole) in enumerate(grams(seq[part], place[part], order)):
+            out[i, a : a + NEAR] = (probed(h, blocks, first, bits) * whole)[a - low :]
+    return out
+
+
 def look_up(table: DataFrame, blocks: int, first: int, shared, order: int = ORDER) -> DataFrame:
     """(slice, levels): the levels of what the broadcast blocks hold, for each order and position."""
 
@@ -291,7 +304,7 @@ def look_up(table: DataFrame, blocks: int, first: int, shared, order: int = ORDE
                 one = batch.slice(i, 1)
                 part = Slice(one.drop_columns(["tokens"]).to_pylist()[0])
                 seq = _hashes(one.column("tokens").flatten())[part.codes]
-                levels = np.concatenate([probed(np.where(whole, h, 0), blocks, first, bits) * whole for h, whole in grams(seq, part.place, order)])
+                levels = levels_of(seq, part.place, order, blocks, first, bits)
                 yield pa.record_batch([one.column("slice"), pa.array([levels.tobytes()], pa.binary())], names=["slice", "levels"])
 
     return table.select("slice", "doc_id", "held", "bounds", "lead", "codes", "tokens").mapInArrow(run, "slice bigint, levels binary")
@@ -416,7 +429,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held: F.C
     for first in range(0, blocks, round_blocks):
         size_now = min(round_blocks, blocks - first)
         filled = bytearray(size_now * (BLOCK // 8))
-        for x in bits.where(F.col("block").between(first, first + size_now - 1)).toLocalIterator():  # at most ROUND blocks: 64 MB
+        for x in bits.where(F.col("block").between(first, first + size_now - 1)).toLocalIterator():  # at most ROUND blocks: 96 MB
             at = (x["block"] - first) * (BLOCK // 8)
             filled[at : at + BLOCK // 8] = x["bits"]
         shared = spark.sparkContext.broadcast(bytes(filled))

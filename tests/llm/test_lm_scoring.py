@@ -99,6 +99,7 @@ def test_against_exact_counts(spark, monkeypatch, size, order):
     """With many bits the filter has no false positives, so scores equal those from exact counts; texts in pieces too, blocks in rounds."""
     monkeypatch.setattr(lm, "BITS", 400_000)
     monkeypatch.setattr(lm, "SIZED_BY", 1)
+    monkeypatch.setattr(lm, "NEAR", 37)
     docs = corpus() | {6: "a long text of words that goes on and on " * 30}
     got = lm.score(frame(spark, [*docs.items(), (None, "no id"), (6, docs[6])]).repartition(5), size=size, order=order, round_blocks=400)
     compare(got, plain(docs, order), 1e-9)
