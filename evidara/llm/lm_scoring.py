@@ -162,27 +162,11 @@ def token_counts(table: DataFrame) -> DataFrame:
     return written(table.select(F.explode(F.arrays_zip("tokens", "times")).alias("x")).groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.times").alias("c")).where("c > 0"))
 
 
-def with_counts(table: DataFrame, counts: DataFrame) -> DataFrame:
-    """The slices with the corpus count of each of their tokens (known), in the slice's order. The answers are a table of their own first, so the shuffles that made
-    them are gone before the slices move."""
+def answers(table: DataFrame, counts: DataFrame) -> DataFrame:
+    """(slice, pos, c) as a table: the corpus counts of a slice's tokens that have any, and their places in the slice's list."""
     asked = table.select("slice", F.posexplode("tokens").alias("pos", "token"))
-    answers = written(asked.join(counts, "token").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("answers")).select("slice", "answers.pos", "answers.c"))
-    keep = ["slice", "doc_id", "held", "bounds", "lead", "codes", "tokens"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                known = np.zeros(len(one.column(6).flatten()), dtype="<i8")
-                known[one.column(7).flatten().to_numpy()] = one.column(8).flatten().to_numpy()
-                yield pa.record_batch([*one.columns[:7], pa.array([known.tobytes()], pa.binary())], names=[*keep, "known"])
-
-    out = written(table.join(answers, "slice", "left").select(*keep, "pos", "c").mapInArrow(run, COUNTED))
-    dropped(answers)
-    return out
-
-
-COUNTED = "slice bigint, doc_id array<bigint>, held array<boolean>, bounds array<bigint>, lead int, codes binary, tokens array<binary>, known binary"
+    found = asked.join(counts, "token").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("x"))
+    return written(found.select("slice", "x.pos", "x.c"))
 
 
 def _block(h: np.ndarray, blocks: int) -> np.ndarray:
@@ -313,25 +297,29 @@ def look_up(table: DataFrame, blocks: int, first: int, shared, order: int = ORDE
 MERGED = "doc_id array<bigint>, held array<boolean>, bounds array<bigint>, lead int, codes binary, known binary, levels binary"
 
 
-def with_levels(table: DataFrame, rounds: list[DataFrame]) -> DataFrame:
-    """The slices with the levels of all rounds: a sorted stream in which each slice comes before its levels, so a task holds one slice and one round's levels of it."""
-    rows = table.select("slice", F.lit(-1).alias("round"), "doc_id", "held", "bounds", "lead", "codes", "known")
+def merged(table: DataFrame, known: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """The slices with the counts of their tokens and the levels of all rounds: a sorted stream in which a slice comes first, then its counts, then its levels round by round,
+    so a task holds one slice and what one row brings to it."""
+    rows = table.select("slice", F.lit(-2).alias("round"), "doc_id", "held", "bounds", "lead", "codes", F.size("tokens").alias("n"))
+    rows = rows.unionByName(known.select("slice", F.lit(-1).alias("round"), "pos", "c"), allowMissingColumns=True)
     for i, found in enumerate(rounds):
         rows = rows.unionByName(found.select("slice", F.lit(i).alias("round"), "levels"), allowMissingColumns=True)
     names = [x.split()[0] for x in MERGED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, levels = None, None
+        row, counts, levels = None, None, None
 
         def whole() -> pa.RecordBatch:
-            return pa.record_batch([*row, pa.array([levels.tobytes()], pa.binary())], names=names)
+            return pa.record_batch([*row, pa.array([counts.tobytes()], pa.binary()), pa.array([levels.tobytes()], pa.binary())], names=names)
 
         for batch in batches:
             for i, number in enumerate(batch.column("round").to_pylist()):
-                if number < 0:
+                if number == -2:
                     if row is not None:
                         yield whole()
-                    row, levels = [batch.column(n).slice(i, 1) for n in names[:-1]], np.zeros(0, np.uint8)
+                    row, counts, levels = [batch.column(x).slice(i, 1) for x in names[:-2]], np.zeros(batch.column("n")[i].as_py(), dtype="<i8"), np.zeros(0, np.uint8)
+                elif number == -1:
+                    counts[batch.column("pos")[i].values.to_numpy()] = batch.column("c")[i].values.to_numpy()
                 else:
                     found = np.frombuffer(batch.column("levels")[i].as_buffer(), dtype=np.uint8)
                     levels = np.maximum(levels, found) if len(levels) else found
@@ -371,8 +359,10 @@ def shares(table: DataFrame, order: int = ORDER) -> np.ndarray:
         yield pa.record_batch({"at": pa.array(at), "n": pa.array(sums[..., 0].ravel()), "again": pa.array(sums[..., 1].ravel())})
 
     out = np.zeros((order - 1) * (LEVELS + 1))
-    for x in table.mapInArrow(run, "at bigint, n bigint, again bigint").where("n > 0").groupBy("at").agg(F.sum("n").alias("n"), F.sum("again").alias("again")).collect():
+    sums = written(table.mapInArrow(run, "at bigint, n bigint, again bigint").where("n > 0").groupBy("at").agg(F.sum("n").alias("n"), F.sum("again").alias("again")))
+    for x in sums.collect():
         out[x["at"]] = (x["again"] + 0.5) / (x["n"] + 1)
+    dropped(sums)
     out = out.reshape(order - 1, LEVELS + 1)
     for line in out:
         # a level that no training token stands after takes the share of the next lower one
@@ -422,10 +412,9 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held: F.C
     n, v = counts.where(F.col("token") != F.lit(bytearray(START))).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     distinct = table.select(F.explode("few").alias("h")).distinct().count() * SIZED_BY
     blocks = max(1, math.ceil(distinct * PER_GRAM * BITS / BLOCK))
-    now = with_counts(table, counts)
-    dropped(table)
+    known = answers(table, counts)
     dropped(counts)
-    bits, rounds = filter_blocks(now, blocks, order), []
+    bits, rounds = filter_blocks(table, blocks, order), []
     for first in range(0, blocks, round_blocks):
         size_now = min(round_blocks, blocks - first)
         filled = bytearray(size_now * (BLOCK // 8))
@@ -434,12 +423,10 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held: F.C
             filled[at : at + BLOCK // 8] = x["bits"]
         shared = spark.sparkContext.broadcast(bytes(filled))
         del filled
-        rounds.append(written(look_up(now, blocks, first, shared, order)))
+        rounds.append(written(look_up(table, blocks, first, shared, order)))
         shared.destroy()
     dropped(bits)
-    whole = written(with_levels(now, rounds))
-    for x in (now, *rounds):
-        dropped(x)
+    whole = merged(table, known, rounds)
     sums = scored(whole, shares(whole, order), n, v, order).groupBy("doc_id", "held_out")
     out = sums.agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
