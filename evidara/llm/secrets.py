@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidara.llm.common import dropped, written
@@ -51,13 +51,15 @@ DICTIONARY = (
 
 #: No letter, digit or underscore before: Java releases differ in what \\b takes for a letter.
 _BEGIN = "(?<![A-Za-z0-9_])"
+_NAMED = r"(?i:token|secret|passwo?r?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)[\"']?\s{0,2}(?:=>|[:=])\s{0,2}"
+#: A value in quotes ends at its quote (in the same line), any other at white space or a quote. A bare run is looked at from its start alone, once.
 PATTERN = (
     r"(?:" + _BEGIN + "(?:" + "|".join(x.replace("-", r"\-") for x in PREFIXES) + r")[A-Za-z0-9_.\-]{12,})"
-    r"|(?:(?i:token|secret|passwo?r?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)[\"']?\s{0,2}(?:=>|[:=])\s{0,2}[\"']?[^\s\"'<>,;|]{6,}+)"
-    r"|(?:" + _BEGIN + r"(?=[A-Za-z_+/=.-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_+/=.-]{15,}+)"
+    + r"|(?:" + _NAMED + r"(?:\"[^\"\n]{6,}+(?=\")|'[^'\n]{6,}+(?=')|[\"']?[^\s\"']{6,}+))"
+    + r"|(?:(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*+[0-9])[_+/=.-]*+[A-Za-z0-9][A-Za-z0-9_+/=.-]{15,}+)"
 )
-#: Left of the value within a match of the second kind.
-ASSIGNED = r"^(?i:token|secret|passwo?r?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)[\"']?\s{0,2}(?:=>|[:=])\s{0,2}[\"']?"
+#: Left of the value within a match of the second or third kind.
+ASSIGNED = r"^(?:" + _NAMED + r"[\"']?|[_+/=.-]+)"
 TRAIL = r"[.,;:!?)\]}]+$"
 CONTEXT = 48
 
@@ -105,20 +107,16 @@ def candidates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path
     found = rows.where(F.col("text").rlike(PATTERN)).select(
         "doc_id", "text_hash", "path", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found"), F.split("text", PATTERN, -1).alias("around")
     )
-    sizes = lambda arr: F.transform(arr, lambda x: F.length(x))
-    found = found.withColumn("found_n", sizes(F.col("found"))).withColumn("around_n", sizes(F.col("around")))
-    starts = F.transform(
-        F.sequence(F.lit(1), F.size("found")),
-        lambda i: F.aggregate(F.slice("around_n", 1, i), F.lit(0), lambda a, b: a + b) + F.aggregate(F.slice("found_n", 1, i - 1), F.lit(0), lambda a, b: a + b),
-    )
-    one = found.withColumn("starts", starts).select(
-        "doc_id", "text_hash", "path", F.explode(F.transform(F.sequence(F.lit(0), F.size("found") - 1), lambda i: F.struct(
-            F.get("starts", i).alias("at"), F.get("found", i).alias("match"),
-            F.substring(F.get("around", i), -CONTEXT, CONTEXT).alias("before"), F.substring(F.get("around", i + 1), 1, CONTEXT).alias("after"),
-        ))).alias("x")
-    ).select("doc_id", "text_hash", "path", "x.*")
+    # text before the i-th match is around[i], after it around[i + 1]
+    parts = F.transform("found", lambda m, i: F.struct(i.alias("i"), m.alias("match"), F.length(F.get("around", i)).alias("gap"), F.substring(F.get("around", i), -CONTEXT, CONTEXT).alias("before"), F.substring(F.get("around", i + 1), 1, CONTEXT).alias("after")))
+    one = found.select("doc_id", "text_hash", "path", F.inline(parts))
+    upto = F.sum(F.col("gap") + F.length("match")).over(Window.partitionBy("doc_id", "text_hash").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    one = one.withColumn("at", upto - F.length("match"))
     name = F.regexp_extract("match", ASSIGNED, 0)
-    value = F.regexp_replace(F.substr("match", F.length(name) + 1), TRAIL, "")
+    raw = F.substr("match", F.length(name) + 1)
+    mark = F.regexp_extract(name, "[\"']$", 0)
+    quoted = (mark != "") & F.startswith(F.coalesce("after", F.lit("")), mark)
+    value = F.when(quoted, raw).otherwise(F.regexp_replace(raw, TRAIL, ""))
     return one.select(
         "doc_id", "text_hash", (F.col("at") + F.length(name)).cast("int").alias("start"), value.alias("candidate"), F.concat(F.coalesce("before", F.lit("")), name).alias("before"), "after", "path"
     ).where(F.length("candidate") >= 6)
