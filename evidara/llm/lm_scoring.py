@@ -163,10 +163,19 @@ def token_counts(table: DataFrame) -> DataFrame:
 
 
 def answers(table: DataFrame, counts: DataFrame) -> DataFrame:
-    """(slice, pos, c) as a table: the corpus counts of a slice's tokens that have any, and their places in the slice's list."""
+    """(slice, pos, c) as a table, a few rows a slice: the corpus counts of its tokens that have any, and their places in the slice's list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, pos, c = (batch.column(i).to_numpy() for i in range(3))
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = np.append(first[1:], len(part))
+            cells = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())  # noqa: B023, E731
+            yield pa.record_batch({"slice": pa.array(part[first]), "pos": cells(pos.astype("<i4")), "c": cells(c.astype("<i8"))})
+
     asked = table.select("slice", F.posexplode("tokens").alias("pos", "token"))
-    found = asked.join(counts, "token").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("x"))
-    return written(found.select("slice", "x.pos", "x.c"))
+    found = asked.join(counts, "token").select("slice", "pos", "c").repartition("slice").sortWithinPartitions("slice")
+    return written(found.mapInArrow(run, "slice bigint, pos binary, c binary"))
 
 
 def _block(h: np.ndarray, blocks: int) -> np.ndarray:
@@ -319,7 +328,7 @@ def merged(table: DataFrame, known: DataFrame, rounds: list[DataFrame]) -> DataF
                         yield whole()
                     row, counts, levels = [batch.column(x).slice(i, 1) for x in names[:-2]], np.zeros(batch.column("n")[i].as_py(), dtype="<i8"), np.zeros(0, np.uint8)
                 elif number == -1:
-                    counts[batch.column("pos")[i].values.to_numpy()] = batch.column("c")[i].values.to_numpy()
+                    counts[np.frombuffer(batch.column("pos")[i].as_buffer(), "<i4")] = np.frombuffer(batch.column("c")[i].as_buffer(), "<i8")
                 else:
                     found = np.frombuffer(batch.column("levels")[i].as_buffer(), dtype=np.uint8)
                     levels = np.maximum(levels, found) if len(levels) else found
