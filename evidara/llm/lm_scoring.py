@@ -70,6 +70,15 @@ def grams(seq: np.ndarray, place: np.ndarray, order: int) -> Iterator[tuple[np.n
         yield out, place >= n - 1
 
 
+def stretches(seq: np.ndarray, place: np.ndarray, order: int) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
+    """``grams`` in stretches of NEAR positions: number of the length, positions, hashes and where they are whole. So no array but the result has a slice's size."""
+    for a in range(0, len(seq), NEAR):
+        low = max(0, a - order + 1)
+        part = slice(low, a + NEAR)
+        for i, (h, whole) in enumerate(grams(seq[part], place[part], order)):
+            yield i, slice(a, a + len(h) - (a - low)), h[a - low :], whole[a - low :]
+
+
 class Slice:
     """Arrays of one row of the token table."""
 
@@ -77,10 +86,10 @@ class Slice:
         self.doc_id, self.held, self.lead = row["doc_id"], np.array(row["held"], dtype=bool), row["lead"]
         self.bounds = np.array(row["bounds"], dtype=np.int64)
         n = int(self.bounds[-1])
-        self.codes = np.frombuffer(row["codes"], dtype="<u2" if len(row["codes"]) == 2 * n else "<u4").astype(np.int64)
+        self.codes = np.frombuffer(row["codes"], dtype="<u2" if len(row["codes"]) == 2 * n else "<u4")
         size = np.diff(self.bounds)
-        self.row = np.repeat(np.arange(len(size)), size)
-        self.place = np.arange(n) - self.bounds[self.row]
+        self.row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        self.place = np.arange(n, dtype=np.int32) - self.bounds.astype(np.int32)[self.row]
         self.counts = self.place >= self.lead  # what stands before belongs to the piece before, or is the start mark
 
     def learnt(self) -> np.ndarray:
@@ -109,11 +118,10 @@ def token_slices(docs: DataFrame, held: str, order: int = ORDER, size: int | Non
         place = np.arange(len(codes)) - bounds[own]
         # the start mark is counted once a training document, in its first piece
         train = ~np.array(flags, dtype=bool)[own] & ((place >= lead) | ((place == 0) & (lead == 1)))
-        seq, few = _hashes(tokens)[codes], []
-        for h, whole in grams(seq, place, order):
-            h = h[whole & train & (place >= lead)]
-            few.append(np.unique(h[h % np.uint64(SIZED_BY) == 0]))
-        few = np.concatenate([np.zeros(0, np.uint64), *few]).view(np.int64)
+        few, learnt = [np.zeros(0, np.uint64)], train & (place >= lead)
+        for _, at, h, whole in stretches(_hashes(tokens)[codes], place, order):
+            few.append(h[whole & learnt[at] & (h % np.uint64(SIZED_BY) == 0)])
+        few = np.unique(np.concatenate(few)).view(np.int64)
         one = lambda x, kind: pa.array([x], kind)
         longs = pa.list_(pa.int64())
         return pa.record_batch(
@@ -207,12 +215,16 @@ def filter_blocks(table: DataFrame, blocks: int, order: int = ORDER) -> DataFram
                 one = batch.slice(i, 1)
                 part = Slice(one.drop_columns(["tokens"]).to_pylist()[0])
                 learnt = part.learnt()
-                found = [h[whole & learnt] for h, whole in grams(_hashes(one.column("tokens").flatten())[part.codes], part.place, order)]
-                h = np.concatenate(found)
-                if not len(h):
+                found = [np.zeros(0, np.uint64)]
+                for _, at, h, whole in stretches(_hashes(one.column("tokens").flatten())[part.codes], part.place, order):
+                    h = h[whole & learnt[at]]
+                    found.append(_block(h, blocks) << np.uint64(40) | _name(h))
+                found = np.concatenate(found)
+                if not len(found):
                     continue
-                block = _block(h, blocks)
-                name, n = np.unique(block << np.uint64(40) | _name(h), return_counts=True)
+                found.sort()
+                head = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+                name, n = found[head], np.diff(head, append=len(found))
                 group = (name >> np.uint64(40)) * np.uint64(groups) // np.uint64(blocks)
                 first = np.flatnonzero(np.diff(group, prepend=np.uint64(groups)))
                 ends = np.append(first[1:], len(name))
@@ -279,11 +291,8 @@ def probed(h: np.ndarray, blocks: int, first: int, bits: np.ndarray) -> np.ndarr
 def levels_of(seq: np.ndarray, place: np.ndarray, order: int, blocks: int, first: int, bits: np.ndarray) -> np.ndarray:
     """Levels for each order and position of what the given blocks hold."""
     out = np.zeros((order - 1, len(seq)), dtype=np.uint8)
-    for a in range(0, len(seq), NEAR):
-        low = max(0, a - order + 1)
-        part = slice(low, a + NEAR)
-        for i, (h, whole) in enumerate(grams(seq[part], place[part], order)):
-            out[i, a : a + NEAR] = (probed(h, blocks, first, bits) * whole)[a - low :]
+    for i, at, h, whole in stretches(seq, place, order):
+        out[i, at] = probed(h, blocks, first, bits) * whole
     return out
 
 
