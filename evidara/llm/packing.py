@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from evidara.llm.common import records, written
 from evidara.llm.textarrays import slices
-from evidara.llm.tokens import END_ID, KEEP, binary, encoder, id_width
+from evidara.llm.tokens import END_ID, KEEP, binary, encoder, id_width, release
 
 SIZE = 4096
 QUEUES = 1024
@@ -146,7 +146,7 @@ def queued(docs: DataFrame, *, key: str, text: str, source: str, named: list[str
     return found.select(F.coalesce("queue", F.lit(len(named))).alias("queue"), "doc_id", "text"), named
 
 
-def tokenised(rows: DataFrame, tokenizer: str, end: int = END_ID, keep: int = KEEP) -> DataFrame:
+def tokenised(rows: DataFrame, tokenizer: str, end: int = END_ID, keep: int = KEEP, release_after: bool = False) -> DataFrame:
     """(queue, own, doc_id, n, ids, part) in order of queue and doc_id over parts; ids little-endian, two bytes each if the vocabulary
     allows, else four; own: ids before the document's in its part's queue."""
     width = id_width(tokenizer)
@@ -163,6 +163,9 @@ def tokenised(rows: DataFrame, tokenizer: str, end: int = END_ID, keep: int = KE
                     before.append(sums.get(q, 0))
                     sums[q] = before[-1] + n
                 yield pa.record_batch([part.column(0), pa.array(before, pa.int64()), part.column(1), pa.array(sizes), binary(ids.astype(width), bounds)], names=["queue", "own", "doc_id", "n", "ids"])
+        if release_after:
+            del own
+            release()
 
     ordered = rows.repartitionByRange("queue", "doc_id").sortWithinPartitions("queue", "doc_id")
     return ordered.mapInArrow(run, "queue int, own bigint, doc_id bigint, n bigint, ids binary").withColumn("part", F.spark_partition_id())
@@ -170,14 +173,14 @@ def tokenised(rows: DataFrame, tokenizer: str, end: int = END_ID, keep: int = KE
 
 def pack(
     docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", source: str = "source", size: int = SIZE, end: int = END_ID,
-    weights: dict[str | None, float] | None = None, power: float = 1.0, keep: int = KEEP,
+    weights: dict[str | None, float] | None = None, power: float = 1.0, keep: int = KEEP, release_after: bool = False,
 ) -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     weights: target proportion of each source; without, targets are the supplies to the given power.
-    keep: bytes of a generation of a worker's store of ids."""
+    keep: bytes of a generation of a worker's store of ids. release_after: tasks give back the memory of their encoder, which the next task then loads anew."""
     rows, named = queued(docs, key=key, text=text, source=source, named=None if weights is None else list(weights))
-    table = written(tokenised(rows, tokenizer, end, keep))
+    table = written(tokenised(rows, tokenizer, end, keep, release_after))
     sums = table.groupBy("part", "queue").agg(F.sum("n").alias("n"))
     totals = [0] * (len(named) + 1)
     for x in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # one row a queue

@@ -12,6 +12,9 @@ before and after is encoded on its own. With ``special_as_text`` they are ordina
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import os
 import re
@@ -193,6 +196,15 @@ def id_width(path: str) -> str:
     return "<u2" if encoder(path).size <= 1 << 16 else "<u4"
 
 
+def release() -> None:
+    """Give back the memory of this worker's encoders. Workers are shared by all stages of an application, so a stage that is not followed by another that encodes should
+    leave nothing behind; the C library is asked to return what it holds free, where it can."""
+    _encoders.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 

@@ -227,6 +227,12 @@ def test_candidates_are_brute_force(spark):
     assert {(r.doc_id, r.start, r.candidate) for r in secrets.candidates(docs(spark, rows)).collect()} == want
 
 
+def test_released_encoders_encode_alike(spark):
+    rows = docs(spark, [(i, f"some words {i} and more of them", "en", f"s{i % 3}") for i in range(40)]).repartition(5)
+    a, b = (sorted(map(tuple, packing.pack(rows, WORDS, release_after=x).select("doc_id", "start", "length", "ids_crc32", "sequence_id", "offset").collect())) for x in (False, True))
+    assert a == b and len(a) >= 40
+
+
 def test_redaction_with_repeated_ids_and_clashing_columns(spark, forest):
     a, b = (hashlib.sha1(x).hexdigest() for x in (b"a", b"b"))
     rows = [(3, f'token = "{a}"', 1), (3, f'zzzz token = "{b}" z', 2), (3, f'token = "{a}"', 1), (None, f'token = "{a}"', 3), (4, None, 4), (5, "", 5)]
