@@ -43,7 +43,7 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), power=packing.POWER, keep=12 << 20).drop("ids")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), power=packing.POWER, keep=12 << 20, release_after=True).drop("ids")
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("secrets", scan_secrets), ("packing", pack)]
