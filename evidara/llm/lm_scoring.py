@@ -312,39 +312,32 @@ def look_up(table: DataFrame, blocks: int, first: int, shared, order: int = ORDE
     return table.select("slice", "doc_id", "held", "bounds", "lead", "codes", "tokens").mapInArrow(run, "slice bigint, levels binary")
 
 
-MERGED = "doc_id array<bigint>, held array<boolean>, bounds array<bigint>, lead int, codes binary, known binary, levels binary"
-
-
-def merged(table: DataFrame, known: DataFrame, rounds: list[DataFrame]) -> DataFrame:
-    """The slices with the counts of their tokens and the levels of all rounds: a sorted stream in which a slice comes first, then its counts, then its levels round by round,
-    so a task holds one slice and what one row brings to it."""
+def streamed(table: DataFrame, known: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """The slices, the counts of their tokens and the levels of all rounds as one sorted stream, for ``whole_slices``."""
     rows = table.select("slice", F.lit(-2).alias("round"), "doc_id", "held", "bounds", "lead", "codes", F.size("tokens").alias("n"))
     rows = rows.unionByName(known.select("slice", F.lit(-1).alias("round"), "pos", "c"), allowMissingColumns=True)
     for i, found in enumerate(rounds):
         rows = rows.unionByName(found.select("slice", F.lit(i).alias("round"), "levels"), allowMissingColumns=True)
-    names = [x.split()[0] for x in MERGED.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, counts, levels = None, None, None
-
-        def whole() -> pa.RecordBatch:
-            return pa.record_batch([*row, pa.array([counts.tobytes()], pa.binary()), pa.array([levels.tobytes()], pa.binary())], names=names)
-
-        for batch in batches:
-            for i, number in enumerate(batch.column("round").to_pylist()):
-                if number == -2:
-                    if row is not None:
-                        yield whole()
-                    row, counts, levels = [batch.column(x).slice(i, 1) for x in names[:-2]], np.zeros(batch.column("n")[i].as_py(), dtype="<i8"), np.zeros(0, np.uint8)
-                elif number == -1:
-                    counts[np.frombuffer(batch.column("pos")[i].as_buffer(), "<i4")] = np.frombuffer(batch.column("c")[i].as_buffer(), "<i8")
-                else:
-                    found = np.frombuffer(batch.column("levels")[i].as_buffer(), dtype=np.uint8)
-                    levels = np.maximum(levels, found) if len(levels) else found
-        if row is not None:
-            yield whole()
-
-    return rows.repartition("slice").sortWithinPartitions("slice", "round").mapInArrow(run, MERGED)
+    return rows.repartition("slice").sortWithinPartitions("slice", "round")
+
+
+def whole_slices(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[Slice, np.ndarray, np.ndarray]]:
+    """Each slice with the counts of its tokens and its levels by order. A slice comes first, then its counts, then its levels round by round, so one slice and what one
+    row brings to it are held at a time."""
+    now = None
+    for batch in batches:
+        for i, number in enumerate(batch.column("round").to_pylist()):
+            if number == -2:
+                if now is not None:
+                    yield now
+                part = Slice(batch.slice(i, 1).select(["doc_id", "held", "bounds", "lead", "codes"]).to_pylist()[0])
+                now = part, np.zeros(batch.column("n")[i].as_py(), dtype=np.int64), np.zeros((order - 1, len(part.codes)), np.uint8)
+            elif number == -1:
+                now[1][np.frombuffer(batch.column("pos")[i].as_buffer(), "<i4")] = np.frombuffer(batch.column("c")[i].as_buffer(), "<i8")
+            else:
+                np.maximum(now[2], np.frombuffer(batch.column("levels")[i].as_buffer(), dtype=np.uint8).reshape(now[2].shape), out=now[2])
+    if now is not None:
+        yield now
 
 
 def _histories(part: Slice, known: np.ndarray, levels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -365,14 +358,11 @@ def shares(table: DataFrame, order: int = ORDER) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((order - 1, LEVELS + 1, 2), dtype=np.int64)
-        for batch in batches:
-            for x in batch.to_pylist():
-                part = Slice(x)
-                learnt = part.learnt()
-                levels = np.frombuffer(x["levels"], dtype=np.uint8).reshape(order - 1, -1)
-                for i, (level, before, _) in enumerate(_histories(part, np.frombuffer(x["known"], "<i8"), levels)):
-                    sums[i, :, 0] += np.bincount(before[learnt], minlength=LEVELS + 1)
-                    sums[i, :, 1] += np.bincount(before[learnt & (level >= 2)], minlength=LEVELS + 1)
+        for part, known, levels in whole_slices(batches, order):
+            learnt = part.learnt()
+            for i, (level, before, _) in enumerate(_histories(part, known, levels)):
+                sums[i, :, 0] += np.bincount(before[learnt], minlength=LEVELS + 1)
+                sums[i, :, 1] += np.bincount(before[learnt & (level >= 2)], minlength=LEVELS + 1)
         at = np.arange(sums[..., 0].size)
         yield pa.record_batch({"at": pa.array(at), "n": pa.array(sums[..., 0].ravel()), "again": pa.array(sums[..., 1].ravel())})
 
@@ -395,24 +385,21 @@ def scored(table: DataFrame, share: np.ndarray, n: int, v: int, order: int = ORD
     total = float(n + v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.to_pylist():
-                part, known = Slice(x), np.frombuffer(x["known"], "<i8")
-                unigram = (known + 1) / total
-                base, p = np.log10(unigram)[part.codes], unigram[part.codes]
-                levels = np.frombuffer(x["levels"], dtype=np.uint8).reshape(order - 1, -1)
-                for i, (level, before, count) in enumerate(_histories(part, known, levels)):
-                    s = share[i][before]
-                    p = s * np.minimum(MEANS[level] / np.maximum(count, 1), 1) + (1 - s) * p
-                own = part.row[part.counts]
-                by_row = lambda w: np.bincount(own, weights=w[part.counts], minlength=len(part.doc_id))  # noqa: B023, E731
-                whole = lambda w: pa.array(by_row(w.astype(np.float64)).astype(np.int64))
-                yield pa.record_batch(
-                    {
-                        "doc_id": pa.array(part.doc_id, pa.int64()), "held_out": pa.array(part.held), "n_tokens": whole(np.ones(len(p))), "n_known": whole(known[part.codes] > 0),
-                        "base_score": pa.array(by_row(base)), "score": pa.array(by_row(np.log10(p))),
-                    }
-                )
+        for part, known, levels in whole_slices(batches, order):
+            unigram = (known + 1) / total
+            base, p = np.log10(unigram)[part.codes], unigram[part.codes]
+            for i, (level, before, count) in enumerate(_histories(part, known, levels)):
+                s = share[i][before]
+                p = s * np.minimum(MEANS[level] / np.maximum(count, 1), 1) + (1 - s) * p
+            own = part.row[part.counts]
+            by_row = lambda w: np.bincount(own, weights=w[part.counts], minlength=len(part.doc_id))  # noqa: B023, E731
+            whole = lambda w: pa.array(by_row(w.astype(np.float64)).astype(np.int64))  # noqa: B023, E731
+            yield pa.record_batch(
+                {
+                    "doc_id": pa.array(part.doc_id, pa.int64()), "held_out": pa.array(part.held), "n_tokens": whole(np.ones(len(p))), "n_known": whole(known[part.codes] > 0),
+                    "base_score": pa.array(by_row(base)), "score": pa.array(by_row(np.log10(p))),
+                }
+            )
 
     return table.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
@@ -444,7 +431,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held: F.C
         rounds.append(written(look_up(table, blocks, first, shared, order)))
         shared.destroy()
     dropped(bits)
-    whole = merged(table, known, rounds)
+    whole = streamed(table, known, rounds)
     sums = scored(whole, shares(whole, order), n, v, order).groupBy("doc_id", "held_out")
     out = sums.agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
