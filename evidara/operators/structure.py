@@ -208,13 +208,23 @@ def sentence_chunks(docs: DataFrame, profile: Profile = Profile(), *, key: str =
 def nearest_within(left: DataFrame, right: DataFrame, *, on: list[str], left_value: str, right_value: str, within: float, left_key: str, right_key: str) -> DataFrame:
     """(left_key, right_key): for each left row the right row of the same ``on`` whose value is nearest, no farther than ``within``; ties to the smaller key.
 
-    Values are cut into bins of that width, and a right row stands in its own bin and the two beside it, so only neighbours meet."""
+    Values are cut into bins of that width and sorted there. A left row looks at the right values next to it in its bin, the highest of the bin below and the lowest of
+    the bin above: never at all that lie near, so its work does not grow with them."""
     bin_of = lambda c: F.floor(F.col(c) / within)
-    a = left.select(*on, left_key, F.col(left_value).alias("_a"), bin_of(left_value).alias("_bin"))
-    b = right.select(*on, right_key, F.col(right_value).alias("_b"), F.explode(F.array(*[bin_of(right_value) + d for d in (-1, 0, 1)])).alias("_bin"))
-    away = F.abs(F.col("_a") - F.col("_b"))
-    near = a.join(b, [*on, "_bin"]).where(away <= within)
-    return near.groupBy(left_key).agg(F.min_by(right_key, F.struct(away, right_key)).alias(right_key))
+    group = [*on, "_bin"]
+    a = left.select(*on, left_key, F.col(left_value).alias("_x"), bin_of(left_value).alias("_bin")).dropna(subset=[*on, "_x"])
+    b = right.dropna(subset=[*on, right_value]).where(~F.isnan(right_value)).groupBy(*on, F.col(right_value).alias("_x")).agg(F.min(right_key).alias("_key")).withColumn("_bin", bin_of("_x"))
+    spot = F.struct(F.col("_x").alias("x"), F.col("_key").alias("key"))
+    ends = b.groupBy(*group).agg(F.max(spot).alias("_high"), F.min(spot).alias("_low"))
+    beside = ends.withColumn("_bin", F.explode(F.array(F.struct((F.col("_bin") + 1).alias("to"), F.lit(True).alias("below")), F.struct((F.col("_bin") - 1).alias("to"), F.lit(False).alias("below"))))).select(*on, F.col("_bin.to").alias("_bin"), F.when(F.col("_bin.below"), F.col("_high")).alias("_under"), F.when(~F.col("_bin.below"), F.col("_low")).alias("_over"))
+    beside = beside.groupBy(*group).agg(F.max("_under").alias("_under"), F.min("_over").alias("_over"))
+    rows = a.withColumn("_here", F.lit(None).cast(b.select(spot.alias("s")).schema["s"].dataType)).unionByName(b.select(*group, "_x", spot.alias("_here")), allowMissingColumns=True)
+    order = Window.partitionBy(*group)
+    told = lambda way: F.last("_here", ignorenulls=True).over(order.orderBy(way, F.col("_here").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    asked = rows.withColumn("_before", told(F.asc("_x"))).withColumn("_after", told(F.desc("_x"))).where("_here is null").join(beside, group, "left")
+    away = F.transform(F.array("_before", "_after", "_under", "_over"), lambda c: F.struct(F.abs(F.col("_x") - c["x"]).alias("away"), c["key"].alias("key")))
+    best = asked.select(left_key, F.array_min(F.filter(away, lambda c: c["away"] <= within)).alias("_best")).where("_best is not null")
+    return best.groupBy(left_key).agg(F.min("_best").alias("_best")).select(left_key, F.col("_best.key").alias(right_key))
 
 
 def starts_within(rows: DataFrame, *, on: list[str], at: str, key: str, within: float) -> DataFrame:
