@@ -87,11 +87,12 @@ def _relative(path: Column, root: str | None, document: Column, fallback: Column
 def adapted(payloads: DataFrame, kind: str, *, key: str = "artifact_id", body: str = "body", root: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows of 2.0 with schema_version as stored and warnings, refused payloads (key, reason)) of payloads(key, body) of one kind."""
     spec = KINDS[kind]
-    parsed = payloads.select(key, F.try_parse_json(body).alias("_v"), F.col(body).isNull().alias("_none"))
+    # generated columns: a filter on plain ones would go below them, and the optimizer would parse once more for every use of a field
+    parsed = payloads.select(key, F.col(body).isNull().alias("_none"), F.explode(F.array(F.try_parse_json(body))).alias("_v"))
     parsed = parsed.withColumn("_version", F.try_variant_get("_v", "$.schema_version", "string"))
     top = [name for name in spec.paths if not spec.items or name in spec.top]
     pick = lambda variant, name: F.when(F.col("_version") == NEW, _got(variant, spec.paths[name][0], spec.paths[name][2])).otherwise(_got(variant, spec.paths[name][0], spec.paths[name][1]))
-    rows = parsed.select("*", *[pick(F.col("_v"), name).alias(name) for name in top])
+    rows = parsed.select("*", F.inline(F.array(F.struct(*[pick(F.col("_v"), name).alias(name) for name in top]))))
     if spec.items:
         rows = rows.withColumn("_items", F.try_variant_get("_v", spec.items, "array<variant>"))
         reason_items = F.when(F.col("_items").isNull(), "no_items")
@@ -104,7 +105,7 @@ def adapted(payloads: DataFrame, kind: str, *, key: str = "artifact_id", body: s
     good = rows.where("_reason is null")
     if spec.items:
         good = good.select(key, "_version", *top, F.explode("_items").alias("_item"))
-        good = good.select("*", *[pick(F.col("_item"), name).alias(name) for name in spec.paths if name not in top])
+        good = good.select("*", F.inline(F.array(F.struct(*[pick(F.col("_item"), name).alias(name) for name in spec.paths if name not in top]))))
         short = F.coalesce(*[F.when(F.col(name).isNull(), f"item_missing_{name}") for name in spec.required if name not in top])
         good = good.withColumn("_reason", short)
         refused = refused.unionByName(good.where("_reason is not null").select(key, F.col("_reason").alias("reason")).distinct())
