@@ -31,3 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()
+
+
+#: Rows of a partition that ``parts`` aims at.
+ROWS = 250_000
+
+
+def parts(df: DataFrame, rows: int = ROWS) -> int:
+    """Partitions that keep about ``rows`` rows each. Short rows else end up by the millions in one task, as partitions are joined by their compressed size; those of a
+    repartition by number are not."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))

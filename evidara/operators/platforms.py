@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidara.functions import text as T
+from evidara.operators import lineage
 
 #: Page size of lists if none is asked for, and the largest.
 PAGE, LARGEST_PAGE = 25, 100
@@ -75,9 +76,11 @@ def rerank(hits: DataFrame, score: Column | None = None, *, key: str = "node_id"
 
 def append_inactive(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Stored vectors and new ones, which come in inactive; a new row of stored keys takes the place of the old one and stays as active as that was."""
+    n = max(lineage.parts(stored), lineage.parts(new))
+    stored, new = stored.repartition(n, *keys), new.repartition(n, *keys)
     before = stored.select(*keys, F.col("is_active").alias("_was"))
-    fresh = new.join(before, keys, "left").withColumn("is_active", F.coalesce("_was", F.lit(False))).select(*stored.columns)
-    return stored.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(fresh)
+    fresh = new.join(before.hint("merge"), keys, "left").withColumn("is_active", F.coalesce("_was", F.lit(False))).select(*stored.columns)
+    return stored.join(new.select(*keys).distinct().hint("merge"), keys, "left_anti").unionByName(fresh)
 
 
 def parents_first(nodes: DataFrame, *, key: str = "node_id", parent: str = "parent_node_id") -> tuple[DataFrame, DataFrame, DataFrame]:
