@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.functions import text as T
-from evidara.operators import matching
+from evidara.operators import lineage, matching
 from evidara.operators.gates import golden
 from evidara.operators.invariants import outcomes
 
@@ -65,10 +65,11 @@ def materialization_report(materializations: DataFrame, vectors: DataFrame) -> D
 def preflight(requests: DataFrame, variants: DataFrame, revisions: DataFrame) -> DataFrame:
     """(request_id, reason, revision_ids) of requests(request_id, project_id, variant_id, ordinal, revision_id), variants(variant_id, variant_project), revisions(revision_id,
     revision_project): revisions once each in order of their first place, unless the variant or a revision is not the project's."""
-    rows = requests.join(variants, "variant_id", "left").join(revisions, "revision_id", "left")
+    n = lineage.parts(requests)
+    rows = requests.repartition(n, "revision_id").join(variants, "variant_id", "left").join(revisions, "revision_id", "left")
     foreign = lambda c: ~F.col(c).eqNullSafe(F.col("project_id"))
     first = rows.groupBy("request_id", "revision_id").agg(F.min("ordinal").alias("o"), F.bool_or(foreign("variant_project")).alias("v"), F.bool_or(foreign("revision_project")).alias("r"))
-    per = first.groupBy("request_id").agg(F.bool_or("v").alias("v"), F.bool_or("r").alias("r"), F.array_sort(F.collect_list(F.struct("o", "revision_id"))).alias("m"))
+    per = first.repartition(n, "request_id").groupBy("request_id").agg(F.bool_or("v").alias("v"), F.bool_or("r").alias("r"), F.array_sort(F.collect_list(F.struct("o", "revision_id"))).alias("m"))
     reason = F.when(F.col("v"), "variant_of_other_project").when(F.col("r"), "revision_of_other_project").otherwise("")
     return per.select("request_id", reason.alias("reason"), F.when(reason == "", F.transform("m", lambda x: x["revision_id"])).alias("revision_ids"))
 
