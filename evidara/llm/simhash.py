@@ -116,13 +116,22 @@ def links(distinct: DataFrame, *, partitions: int | None = None) -> DataFrame:
     return parts.sortWithinPartitions("bucket").mapInArrow(connect, "a bigint, b bigint").distinct()
 
 
+def meetings(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b): pairs of documents that connect all whose fingerprints are within two bits of each other, found by multi-index hashing."""
+    prints = written(fingerprints(docs, shingle=shingle))
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
+    end = lambda name: first.select(F.col("fp").alias(name), F.col("first_doc").alias(f"first_{name}"))
+    apart = links(first.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    return apart.union(prints.join(first, "fp").where("doc_id <> first_doc").select("first_doc", "doc_id"))
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id): the component is the smallest doc_id reachable over links, the document's own included.
 
-    With ``similarity`` texts link whose shingle sets have that Jaccard similarity (and there is no fp): most such pairs have fingerprints too far
-    apart for Hamming balls, so their candidates come from ``near_copies``, which misses none."""
+    With ``similarity`` texts link whose shingle sets have that Jaccard similarity (and there is no fp): multi-index hashing gives the first pairs to check. Most such
+    pairs have fingerprints too far apart for Hamming balls, so ``near_copies`` then takes those that it leaves unconnected, and misses none."""
     if similarity is not None:
-        return near_copies(docs, key=key, text=text, shingle=shingle, similarity=similarity)
+        return near_copies(docs, key=key, text=text, shingle=shingle, similarity=similarity, suggest=lambda rows: meetings(rows, shingle=shingle))
     prints = written(fingerprints(docs, key=key, text=text, shingle=shingle))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
     found = components(links(classes.select("fp")))
