@@ -10,17 +10,25 @@ from evidara.operators import lineage
 
 #: Middles of one line lie no farther apart; share of a page that is header or footer; tolerance of positions; least pages.
 SAME_LINE, BAND, TOLERANCE, LEAST_PAGES = 12.0, 0.16, 8.0, 2
+#: Labels that a first search is to find.
+FEW = 4
 
 
 def _cell(value: Column, level: Column) -> Column:
-    return F.floor(value / F.pow(F.lit(2.0), level)).cast("bigint")
+    """The cell that holds a value; cells are twice as wide as the radius 2^level of a search."""
+    return F.floor(value / F.pow(F.lit(2.0), level + 1)).cast("bigint")
+
+
+def _touched(value: Column, level: Column, *sides: int) -> Column:
+    """Cells that a search from a value to these sides (-1, 0, 1) looks into: two at most."""
+    return F.array_distinct(F.array(*[_cell(value + side * F.pow(F.lit(2.0), level), level) for side in sides]))
 
 
 def _widen(asked: DataFrame, boxes: DataFrame, on: list[str], cells, of_box, fits: Column, page: str) -> DataFrame:
     """(page, control_id, label_id) of the boxes at the least cost. asked: page, control_id, x0, top, middle, level, last.
 
-    Round by round the cells grow fourfold. A control looks into the cells around its own, which hold all boxes as near as one cell is wide; once its best
-    box is that near, or a cell is as wide as the page, it is done."""
+    Round by round the radius grows fourfold. A control looks into the cells that its radius touches, which hold all boxes as near as that; once its best
+    box is that near, or the radius is as wide as the page, it is done."""
     cost = F.abs(F.col("bottom") - F.col("top")) + F.abs(F.col("x1") - F.col("x0"))
     out, grown = None, 0
     while True:
@@ -41,8 +49,9 @@ def nearest_labels(controls: DataFrame, labels: DataFrame, *, page: str = "page"
     """(page, control_id, label_id, same_line) of controls(page, control_id, x0, top, x1, bottom) and labels(page, label_id, x0, top, x1, bottom).
 
     Labels on the control's line that end to its left come first; else all labels of the page. Of these the one whose right bottom corner is nearest to the
-    control's left top corner (Manhattan distance; ties to the smaller id). Ids are unique on a page; boxes with a null side take no part. Labels lie in a grid whose cells hold about one each,
-    and controls look into few of them, so a page of many boxes makes no pairs of all with all."""
+    control's left top corner (Manhattan distance; ties to the smaller id). Ids are unique on a page; boxes with a null side take no part. Labels lie in a grid whose cells hold a few each,
+    and controls look into few of them, so a page of many boxes makes no pairs of all with all. The first radius is one in which some labels are to be expected, by the
+    page's area for each label, so that most controls are done in the first round however many boxes a page holds."""
     whole = lambda df: df.dropna(subset=[page, "x0", "top", "x1", "bottom"])
     asked = whole(controls).select(page, "control_id", *[F.col(c).cast("double").alias(c) for c in ("x0", "top")], ((F.col("top") + F.col("bottom")) / 2).alias("middle"))
     boxes = whole(labels).select(page, "label_id", *[F.col(c).cast("double").alias(c) for c in ("x1", "bottom")], ((F.col("top") + F.col("bottom")) / 2).alias("label_middle"))
@@ -51,20 +60,24 @@ def nearest_labels(controls: DataFrame, labels: DataFrame, *, page: str = "page"
     wide = F.greatest("high_x0", "high_x1") - F.least("low_x0", "low_x1")
     high = F.greatest("high_top", "high_bottom") - F.least("low_top", "low_bottom")
     level = lambda x: F.floor(F.log2(F.greatest(x, F.lit(1.0))))
-    sizes = a.join(b, page).select(page, level(F.sqrt(wide * high / F.col("boxes"))).alias("level"), (level(F.greatest(wide, high)) + 1).alias("last"), level(wide * high / line / F.col("boxes")).alias("line_level"))
+    up = lambda x: F.ceil(F.log2(F.greatest(x, F.lit(1.0))))
+    each = FEW * wide * high / F.col("boxes")  # the area that holds FEW labels; on a line it is as high as the line, but no wider than high if labels lie close
+    sizes = a.join(b, page).select(page, up(F.sqrt(each / 2)).alias("level"), (level(F.greatest(wide, high)) + 1).alias("last"), up(F.greatest(F.sqrt(each), each / (2 * line))).alias("line_level"))
     asked, boxes = lineage.cut(asked.join(sizes, page)), lineage.cut(boxes.join(sizes.drop("last"), page))
-    # same line: bands as high as the tolerance, cells to the left; controls with no label's end to their left need not look
-    band = lambda c: F.floor(F.col(c) / line).cast("bigint")
-    beside = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    leftmost = boxes.groupBy(page, band("label_middle").alias("band")).agg(F.min("x1").alias("leftmost"))
-    bands = asked.select(page, "control_id", "x0", F.explode(F.transform(beside, lambda i: band("middle") + i)).alias("band"))
-    may = bands.join(leftmost, [page, "band"]).where("leftmost <= x0").select(page, "control_id").distinct()
-    lined = asked.join(may, [page, "control_id"], "left_semi").withColumn("level", F.col("line_level"))
-    cells = F.flatten(F.transform(beside, lambda i: F.transform(F.array(F.lit(-1), F.lit(0)), lambda j: F.struct((band("middle") + i).alias("band"), (_cell(F.col("x0"), F.col("level")) + j).alias("cx")))))
+    # same line: bands of a few lines, cells to the left; controls with no label's end to their left on lines that touch theirs need not look
+    on_line = lambda c: F.floor(c / line).cast("bigint")
+    leftmost = lineage.cut(boxes.groupBy(page, on_line(F.col("label_middle")).alias("_line")).agg(F.min("x1").alias("leftmost")))
+    lined = asked
+    for i in (-1, 0, 1):
+        lined = lined.withColumn("_line", on_line(F.col("middle")) + i).join(leftmost.withColumnRenamed("leftmost", f"_left{i + 1}"), [page, "_line"], "left").drop("_line")
+    lined = lined.where(F.least("_left0", "_left1", "_left2") <= F.col("x0")).drop("_left0", "_left1", "_left2").withColumn("level", F.col("line_level"))
+    band = lambda c: F.floor(c / (4 * line)).cast("bigint")
+    bands = F.array_distinct(F.array(band(F.col("middle") - line), band(F.col("middle") + line)))
+    cells = F.flatten(F.transform(bands, lambda i: F.transform(_touched(F.col("x0"), F.col("level"), -1, 0), lambda j: F.struct(i.alias("band"), j.alias("cx")))))
     fits = (F.abs(F.col("label_middle") - F.col("middle")) <= line) & (F.col("x1") <= F.col("x0"))
-    near = _widen(lined, boxes.withColumn("level", F.col("line_level")), ["band", "cx"], cells, [band("label_middle"), _cell(F.col("x1"), F.col("level"))], fits, page)
+    near = _widen(lined, boxes.withColumn("level", F.col("line_level")), ["band", "cx"], cells, [band(F.col("label_middle")), _cell(F.col("x1"), F.col("level"))], fits, page)
     rest = asked.join(near, [page, "control_id"], "left_anti")
-    cells = F.flatten(F.transform(beside, lambda i: F.transform(beside, lambda j: F.struct((_cell(F.col("x0"), F.col("level")) + i).alias("cx"), (_cell(F.col("top"), F.col("level")) + j).alias("cy")))))
+    cells = F.flatten(F.transform(_touched(F.col("x0"), F.col("level"), -1, 1), lambda i: F.transform(_touched(F.col("top"), F.col("level"), -1, 1), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
     far = _widen(rest, boxes, ["cx", "cy"], cells, [_cell(F.col("x1"), F.col("level")), _cell(F.col("bottom"), F.col("level"))], F.lit(True), page)
     return near.withColumn("same_line", F.lit(True)).unionByName(far.withColumn("same_line", F.lit(False)))
 

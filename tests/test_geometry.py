@@ -106,3 +106,16 @@ def test_blocks_must_repeat_and_agree(spark):
 def test_watermarks_stay(spark):
     gone, body, seen = judged(spark, page(1, ("COPIA", 30.0, 60.0, None, "watermark"), ("Contenido", 100.0, 130.0, None, None)), page(2, ("COPIA", 32.0, 62.0, None, "Watermark"), (None, 100.0, 130.0, None, None)))
     assert not gone and seen == {"COPIA": 2} and "COPIA" in body[1] and body[2] == "COPIA"
+
+
+def test_close_labels_are_found_in_the_first_round(spark, monkeypatch):
+    """A page with a label on every 14 units of area, as large tables have: the first radius suits it, so nearly no control is asked again."""
+    rng = random.Random(9)
+    some = lambda n: [(0, i, x := float(rng.randint(0, 170)), y := float(rng.randint(0, 170)), x + 12.0, y + 7.0) for i in range(n)]
+    controls, labels = some(300), some(2000)
+    judged, cut = [], G.lineage.cut
+    monkeypatch.setattr(G.lineage, "cut", lambda df: judged.append(cut(df)) or judged[-1])
+    got = {(r.page, r.control_id): (r.label_id, r.same_line) for r in G.nearest_labels(boxes(spark, controls, "control_id"), boxes(spark, labels, "label_id")).collect()}
+    assert got == nearest(controls, labels)
+    first = next(x for x in judged if "done" in x.columns)
+    assert first.where("not done").count() * 10 < first.count()
