@@ -21,8 +21,7 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where(~language_id.held_out()))
-    found = language_id.identify(docs, model).where("lang_pred <> 'und'").select("doc_id")
-    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    return language_id.identify(docs, model, keep=docs.columns).where("lang_pred <> 'und'").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +42,7 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), power=packing.POWER, keep=12 << 20, release_after=True).drop("ids")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), power=packing.POWER, keep=12 << 20, release_after=True, limit=1 << 19).drop("ids")
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("secrets", scan_secrets), ("packing", pack)]

@@ -12,20 +12,21 @@ labelled text at all every document is ``und``. Texts of any length are read who
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidara.llm.common import records
-from evidara.llm.textarrays import buffers, slices
+from evidara.llm.textarrays import buffers, leaves_nothing, slices
 from evidara.plans.registry import texts
 
 SLOTS = 1 << 15
 #: Bytes of text that a task works on at a time: some 50 bytes of arrays for each.
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: Training reads at most so many labelled texts per language, those with the smallest hashes of their ids.
 TRAINING_TEXTS = 4000
 LETTER = re.compile(r"[^\W\d_]")
@@ -75,7 +76,7 @@ def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
             at = np.flatnonzero(counts)
             yield pa.record_batch({"lang": pa.array([x] * len(at), pa.string()), "slot": pa.array(at), "n": pa.array(counts[at].astype(np.int64))})
 
-    counted = chosen.select("lang", "text").mapInArrow(count, "lang string, slot bigint, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    counted = chosen.select("lang", "text").mapInArrow(leaves_nothing(count), "lang string, slot bigint, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     model: dict[str, np.ndarray] = {}
     for x in counted.toPandas().groupby("lang"):  # at most SLOTS rows a language
         name, part = x
@@ -124,9 +125,13 @@ def mixture(counts: np.ndarray, logp: np.ndarray, *, rounds: int = 60, tol: floa
     return chosen, shares
 
 
-def identify(docs: DataFrame, model: dict[str, np.ndarray], *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Language mixture of every document: doc_id, lang_pred, score, languages (shares, largest first)."""
+def identify(docs: DataFrame, model: dict[str, np.ndarray], *, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Language mixture of every document: doc_id, lang_pred, score, languages (shares, largest first), then the columns ``keep``.
+
+    Kept columns go through with their rows, so whoever picks documents by language need not join texts to what was found."""
     names = list(model)
+    kept = [x for x in keep if x != key]
+    columns = [text, *(x for x in kept if x != text)]
     table = np.stack([model[x] for x in names]) if names else np.zeros((0, SLOTS))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +159,12 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], *, key: str = "doc_i
                     score.append(float(min(1.0, shares[order[0]])) if value is None else value)
                     sets.append([{"lang": names[chosen[j]], "share": float(shares[j])} for j in order])
                 kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-                yield pa.record_batch([part.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, kind)], names=["doc_id", "lang_pred", "score", "languages"])
+                found = [part.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, kind)]
+                yield pa.record_batch([*found, *(part.column(1 + columns.index(x)) for x in kept)], names=["doc_id", "lang_pred", "score", "languages", *kept])
 
-    rows = records(docs, key, text).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(predict, RESULT)
+    rows = records(docs, key, *columns).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *columns[1:])
+    schema = T.StructType([*T.StructType.fromDDL(RESULT).fields, *(T.StructField(x, docs.schema[x].dataType) for x in kept)])
+    return rows.mapInArrow(leaves_nothing(predict), schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from evidara.llm.common import dropped, records, written
 from evidara.llm.components import components
-from evidara.llm.textarrays import LOWER, buffers, mix, slices, word_hashes, word_spans
+from evidara.llm.textarrays import LOWER, buffers, leaves_nothing, mix, slices, word_hashes, word_spans
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -127,7 +127,7 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
                     }
                 )
 
-    made = written(rows.mapInArrow(sketches, "doc_id bigint, n int, same binary, parity array<bigint>, fine array<bigint>, prefix array<bigint>"))
+    made = written(rows.mapInArrow(leaves_nothing(sketches), "doc_id bigint, n int, same binary, parity array<bigint>, fine array<bigint>, prefix array<bigint>"))
     classes = written(made.groupBy("same").agg(F.min("doc_id").alias("first_doc")))
     sketch = made.select("doc_id", "n", "parity")
     entries = made.join(classes.select(F.col("first_doc").alias("doc_id")), "doc_id", "left_semi").select(F.explode("prefix").alias("h"), "doc_id")
@@ -155,7 +155,7 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
             last, low = h[-1], lows[-1]
             yield pa.record_batch({"h": pa.array(h[keep]), "doc_id": pa.array(d[keep])})
 
-    shared = written(entries.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(groups, "h bigint, doc_id bigint"))
+    shared = written(entries.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(leaves_nothing(groups), "h bigint, doc_id bigint"))
     side = lambda name: sketch.select(*[F.col(c).alias(f"{c}_{name}") for c in sketch.columns])
     apart = sum((F.bit_count(F.get("parity_a", F.lit(i)).bitwiseXOR(F.get("parity_b", F.lit(i)))) for i in range(WORDS)), F.lit(0))
     may = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (apart <= (F.col("n_a") + F.col("n_b")) * (1 - similarity) / (1 + similarity) + 1e-6)
@@ -186,7 +186,7 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
                     found = shingle_sets(part.column(1), shingle)
                     yield pa.record_batch({"doc_id": part.column(0), "shingles": pa.array([x.tobytes() for x in found], pa.binary())})
 
-        full = written(rows.withColumn("slot", slot).mapInArrow(sets, "doc_id bigint, shingles binary"))
+        full = written(rows.withColumn("slot", slot).mapInArrow(leaves_nothing(sets), "doc_id bigint, shingles binary"))
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -198,7 +198,7 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
                 yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
         of = lambda name: full.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"s_{name}"))
-        checked = written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(check, "a bigint, b bigint"))
+        checked = written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(leaves_nothing(check), "a bigint, b bigint"))
         dropped(full)
         dropped(pairs)
         return checked
@@ -230,7 +230,7 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
                 yield pa.record_batch({"h": pa.array(order[at]), "doc_id": same("doc_id"), "component": same("component"), "n": pa.array(np.full(len(at), row["n"], np.int32)), "at": pa.array(at.astype(np.int32)), "parity": pa.array(list(later(np.array(row["parity"], dtype=np.int64), order)[at]), pa.list_(pa.int64()))})
 
     kept = made.select("doc_id", "n", "parity", "prefix").join(held, "doc_id")
-    rest = written(kept.mapInArrow(placed, "h bigint, doc_id bigint, component bigint, n int, at int, parity array<bigint>"))
+    rest = written(kept.mapInArrow(leaves_nothing(placed), "h bigint, doc_id bigint, component bigint, n int, at int, parity array<bigint>"))
     end = lambda name: rest.select("h", *[F.col(c).alias(f"{c}_{name}") for c in ("doc_id", "component", "n", "at", "parity")])
     # a is the smaller set; from the first shared shingle on it must still hold as many shingles as the pair needs to share
     small = end("a").where(F.col("n_a") - F.col("at_a") >= 2 * similarity / (1 + similarity) * F.col("n_a") - 1e-6)

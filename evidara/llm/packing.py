@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.llm.common import records, written
-from evidara.llm.textarrays import slices
+from evidara.llm.textarrays import leaves_nothing, slices
 from evidara.llm.tokens import END_ID, KEEP, binary, encoder, id_width, release
 
 SIZE = 4096
 QUEUES = 1024
+#: Bytes of text that a task encodes at a time.
+SLICE = 2 << 20
 #: Power of the supplies that are the query's targets.
 POWER = 0.7
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
@@ -146,16 +148,16 @@ def queued(docs: DataFrame, *, key: str, text: str, source: str, named: list[str
     return found.select(F.coalesce("queue", F.lit(len(named))).alias("queue"), "doc_id", "text"), named
 
 
-def tokenised(rows: DataFrame, tokenizer: str, end: int = END_ID, keep: int = KEEP, release_after: bool = False) -> DataFrame:
+def tokenised(rows: DataFrame, tokenizer: str, end: int = END_ID, keep: int = KEEP, release_after: bool = False, limit: int = SLICE) -> DataFrame:
     """(queue, own, doc_id, n, ids, part) in order of queue and doc_id over parts; ids little-endian, two bytes each if the vocabulary
     allows, else four; own: ids before the document's in its part's queue."""
     width = id_width(tokenizer)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, int] = {}
         own = encoder(tokenizer, keep)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", limit):
                 ids, bounds = own.encode(part.column(2), end)
                 before = []
                 sizes = np.diff(bounds)
@@ -163,8 +165,10 @@ def tokenised(rows: DataFrame, tokenizer: str, end: int = END_ID, keep: int = KE
                     before.append(sums.get(q, 0))
                     sums[q] = before[-1] + n
                 yield pa.record_batch([part.column(0), pa.array(before, pa.int64()), part.column(1), pa.array(sizes), binary(ids.astype(width), bounds)], names=["queue", "own", "doc_id", "n", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from encode(batches)
         if release_after:
-            del own
             release()
 
     ordered = rows.repartitionByRange("queue", "doc_id").sortWithinPartitions("queue", "doc_id")
@@ -173,14 +177,15 @@ def tokenised(rows: DataFrame, tokenizer: str, end: int = END_ID, keep: int = KE
 
 def pack(
     docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", source: str = "source", size: int = SIZE, end: int = END_ID,
-    weights: dict[str | None, float] | None = None, power: float = 1.0, keep: int = KEEP, release_after: bool = False,
+    weights: dict[str | None, float] | None = None, power: float = 1.0, keep: int = KEEP, release_after: bool = False, limit: int = SLICE,
 ) -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     weights: target proportion of each source; without, targets are the supplies to the given power.
-    keep: bytes of a generation of a worker's store of ids. release_after: tasks give back the memory of their encoder, which the next task then loads anew."""
+    keep: bytes of a generation of a worker's store of ids. release_after: tasks give back the memory of their encoder, which the next task then loads anew.
+    limit: bytes of text that a task encodes at a time, some 75 bytes of arrays for each."""
     rows, named = queued(docs, key=key, text=text, source=source, named=None if weights is None else list(weights))
-    table = written(tokenised(rows, tokenizer, end, keep, release_after))
+    table = written(tokenised(rows, tokenizer, end, keep, release_after, limit))
     sums = table.groupBy("part", "queue").agg(F.sum("n").alias("n"))
     totals = [0] * (len(named) + 1)
     for x in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # one row a queue
@@ -223,7 +228,7 @@ def pack(
             kinds = [pa.int64()] * 7 + [pa.binary()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return placed.mapInArrow(cut_all, PIECES)
+    return placed.mapInArrow(leaves_nothing(cut_all) if release_after else cut_all, PIECES)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

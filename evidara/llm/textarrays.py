@@ -7,7 +7,10 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D; a null text is an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -20,19 +23,26 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+#: Tables of powers grow by so many entries.
+STEP = 1 << 17
+
+
 class Powers:
     """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
+        self.drop()
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
+            size = -(-n // STEP) * STEP
             self.up, self.down = self._table(self.base, size), self._table(self.inverse, size)
         return self.up[:n], self.down[:n]
 
+    def drop(self) -> None:
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
     @staticmethod
     def _table(base: int, size: int) -> np.ndarray:
         out = np.empty(size, dtype=np.uint64)
@@ -49,6 +59,27 @@ _BYTES = Powers(int(BASE))
 _WORDS = Powers(0xD6E8FEB86659FD93)
 
 
+def give_back() -> None:
+    """Return what this process holds free, or can make again. Workers are shared by all stages of an application; Arrow's pool and the C library
+    keep freed memory for themselves, so a stage should leave nothing behind for the next one to carry."""
+    _BYTES.drop()
+    _WORDS.drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def leaves_nothing(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The step of a task, with all that it held given back at the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        give_back()
+
+    return run
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ np.uint64(seed)
